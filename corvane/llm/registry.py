@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, mpeg_audio, packing, secret_scan, token_counts
+from corvane.llm import chat, decontaminate, language_id, mpeg_audio, packing, secret_scan, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": language_id.query,
         "op2_token_counts": token_counts.query,
+        "op3_chat_format": chat.query,
+        "op5_toxicity": toxicity.query,
         "op6_packing": packing.query,
         "op7_mpeg_audio": mpeg_audio.query,
         "op8_decontamination": decontaminate.query,
