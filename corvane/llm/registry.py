@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import chat, decontaminate, language_id, mpeg_audio, packing, secret_scan, token_counts, toxicity
+from corvane.llm import chat, decontaminate, language_id, mpeg_audio, packing, secret_scan, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,8 +19,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mpeg_audio": mpeg_audio.query,
         "op8_decontamination": decontaminate.query,
         "op9_secret_scan": secret_scan.query,
+        "op10_warc": warc.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": decontaminate.ORACLE}
+    return {"op8_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
