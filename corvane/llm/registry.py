@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import chat, decontaminate, language_id, mpeg_audio, packing, secret_scan, token_counts, toxicity, warc
+from corvane.llm import chat, decontaminate, jaccard_join, language_id, mpeg_audio, packing, secret_scan, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": language_id.query,
         "op2_token_counts": token_counts.query,
         "op3_chat_format": chat.query,
+        "op4_jaccard_join": jaccard_join.query,
         "op5_toxicity": toxicity.query,
         "op6_packing": packing.query,
         "op7_mpeg_audio": mpeg_audio.query,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op4_jaccard_join": jaccard_join.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
