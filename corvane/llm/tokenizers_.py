@@ -92,7 +92,6 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._full = full = Tokenizer.from_file(file)
-        full.encode_special_tokens = True
         model = full.model
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
