@@ -9,20 +9,22 @@ with equal sets are one class from the start, so exact copies never meet again.
    ordered by (counter, hash). Any common order is exact; this one is rare-first.
 2. ``postings``: each class sends its prefix, the rarest quarter of its set
    (size - ceil(0.75 size) + 1), dealt out by shingle as packed blocks.
-3. Classes that share a prefix shingle and pass the length and positional
-   filters are candidates. A list of up to ``SMALL`` classes gives all its pairs;
-   a longer one pairs a pivot with the others only, in ``ROUNDS`` rounds, each
-   between classes that verified links have not joined yet, and then all pairs
-   that are still in different components. Links inside one component change
-   nothing, so none that matters is lost, and a large group of near copies costs
-   few pairs for each of its members.
+3. Classes of similar size that share a prefix shingle are candidates. A list of
+   up to ``SMALL`` classes gives all its pairs with what they share there; summed
+   over lists, the positional filter bounds a pair's intersection by the shingles
+   shared in both prefixes plus what can follow (a class's longer lists count as
+   shared). A longer list pairs one pivot with the others; then each class tries
+   ``TRIES`` members of other components, turn by turn, in the end all of them.
+   Links inside a component change nothing, so none that matters is lost, and a
+   large group of near copies costs few pairs for each of its members. Lists with
+   the same pivot meet in one task, which gives a pair once.
 4. ``verify``: distinct candidate pairs, none twice, meet the sets of their two
    classes; a suffix filter (sizes by hash range) goes before the exact count.
    Sets are made anew for the classes that have candidates only, picked by a
    bitmap over text hashes of at most ``BITMAP_BITS`` bits; a full bitmap lets
    more texts through and stays exact.
 5. ``connected``: components of the links by hooking to random neighbours and
-   contracting, on tables in the shared folder.
+   contracting, on tables in the shared folder, until few edges are left.
 
 Nothing about documents is collected: the driver sees counts, the counters'
 bytes and the bitmap. A posting list is held by one task at 20 bytes a class.
@@ -53,8 +55,9 @@ WIDTH = 5
 SLOTS = 1 << 21
 SLICE = 1 << 16
 #: Posting lists up to this many classes give all their pairs at once.
-SMALL = 16
-ROUNDS = 2
+SMALL = 12
+#: Members of other components that a class of a longer list tries in each turn; None: all.
+TRIES = (8, 64, None)
 BITMAP_BITS = 1 << 27
 #: Postings packed before blocks go out, and bytes of them for a task.
 PACKED = 1 << 19
@@ -62,6 +65,10 @@ TASK_BYTES = 12 << 20
 BUCKETS = 256
 #: Ids that may be broadcast; beyond, rows are dropped by a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: Pairs counted at once.
+COUNTED = 1 << 16
+#: Edges that one task may join.
+FEW_EDGES = 200_000
 
 _POSTING = np.dtype([("shingle", "<u8"), ("cls", "<i8"), ("size", "<u4"), ("place", "<u4")])
 
@@ -187,36 +194,56 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
 
-def _pivot(classes: np.ndarray, turn: int) -> int:
-    """The same class for lists with much the same members."""
-    return int(wordhash.mix(classes.view(np.uint64) + np.uint64(0x2545F4914F6CDD1D * (turn + 1) % 2**64)).argmin())
+def _rank(classes: np.ndarray, turn: int) -> np.ndarray:
+    return wordhash.mix(classes.view(np.uint64) + np.uint64(0x2545F4914F6CDD1D * (turn + 1) % 2**64))
 
 
-def _star(members: np.ndarray, pivot: int, others: np.ndarray) -> np.ndarray:
-    p, m = members[pivot], members[others]
-    sizes, places = m["size"].astype(np.int64), m["place"].astype(np.int64)
-    ok = _passes(np.int64(p["size"]), np.int64(p["place"]), sizes, places)
+def _against(members: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+    """Pairs of a member and others of its list that pass the filters."""
+    p, m = members[one], members[others]
+    ok = _passes(np.int64(p["size"]), np.int64(p["place"]), m["size"].astype(np.int64), m["place"].astype(np.int64))
     return _pairs(np.full(ok.sum(), p["cls"]), m["cls"][ok])
 
 
-_FOUND = "a long, b long, shingle long, members binary"
+#: From short lists: a, b, sizes, shared shingles and the least that can follow; from longer ones: a, b; or a list.
+_FOUND = "a long, b long, size_a long, size_b long, shared long, rest long, shingle long, members binary"
 
 
-def _found(pairs: list[np.ndarray], lists: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    if pairs:
-        distinct = np.unique(np.concatenate(pairs), axis=0)
-        for at in range(0, len(distinct), 1 << 16):
-            part = distinct[at : at + (1 << 16)]
-            none = pa.nulls(len(part))
-            yield record(a=(pa.array(part[:, 0]), pa.int64()), b=(pa.array(part[:, 1]), pa.int64()), shingle=(none.cast(pa.int64()), pa.int64()), members=(none.cast(pa.binary()), pa.binary()))
+def _found(pairs: np.ndarray | None = None, counted: np.ndarray | None = None, lists: list[tuple[int, bytes]] = ()) -> Iterator[pa.RecordBatch]:
+    for rows in (pairs, counted):
+        for at in range(0, 0 if rows is None else len(rows), 1 << 16):
+            part = rows[at : at + (1 << 16)]
+            columns = [pa.array(part[:, k]) for k in range(part.shape[1])] + [pa.nulls(len(part), pa.int64())] * (6 - part.shape[1])
+            yield record(**{name: (c, pa.int64()) for name, c in zip(("a", "b", "size_a", "size_b", "shared", "rest"), columns, strict=True)}, shingle=(pa.nulls(len(part), pa.int64()), pa.int64()), members=(pa.nulls(len(part), pa.binary()), pa.binary()))
     for at in range(0, len(lists), 64):
         part = lists[at : at + 64]
-        none = [None] * len(part)
-        yield record(a=(none, pa.int64()), b=(none, pa.int64()), shingle=([k for k, _ in part], pa.int64()), members=([m for _, m in part], pa.binary()))
+        none = pa.nulls(len(part), pa.int64())
+        yield record(**{name: (none, pa.int64()) for name in ("a", "b", "size_a", "size_b", "shared", "rest")}, shingle=([k for k, _ in part], pa.int64()), members=([m for _, m in part], pa.binary()))
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Rows (a, b, size_a, size_b, shared, rest) by pair: shared summed, the least rest."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    starts = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
+    out = rows[starts].copy()
+    out[:, 4] = np.add.reduceat(rows[:, 4], starts)
+    out[:, 5] = np.minimum.reduceat(rows[:, 5], starts)
+    return out
+
+
+def _short(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Counted rows of pairs at shared shingles, similar sizes only."""
+    x, y = x.ravel(), y.ravel()
+    n, m = x["size"].astype(np.int64), y["size"].astype(np.int64)
+    ok = 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
+    x, y, n, m = x[ok], y[ok], n[ok], m[ok]
+    rest = np.minimum(n - 1 - x["place"], m - 1 - y["place"])
+    turned = x["cls"] > y["cls"]
+    return _summed(np.stack([np.minimum(x["cls"], y["cls"]), np.maximum(x["cls"], y["cls"]), np.where(turned, m, n), np.where(turned, n, m), np.ones_like(n), rest], axis=1)) if len(x) else np.zeros((0, 6), dtype=np.int64)
 
 
 def candidates(blocks: DataFrame, partitions: int) -> DataFrame:
-    """Candidate pairs (a, b), and rows (shingle, members) of lists that have pairs left."""
+    """Pairs and longer lists, in the columns of _FOUND."""
 
     def run(batches):
         raw = [x for batch in batches for x in batch.column(1).to_pylist()]
@@ -238,91 +265,106 @@ def candidates(blocks: DataFrame, partitions: int) -> DataFrame:
         all_ = all_[fresh]
         starts = np.flatnonzero(np.concatenate(([True], all_["shingle"][1:] != all_["shingle"][:-1])))
         lengths = np.diff(np.append(starts, len(all_)))
-        pairs: list[np.ndarray] = []
-        lists: list[tuple[int, bytes]] = []
+        counted = [np.zeros((0, 6), dtype=np.int64)]
         for m in range(2, SMALL + 1):
             first = starts[lengths == m]
-            if len(first) == 0:
-                continue
             i, j = np.triu_indices(m, 1)
-            for part in np.array_split(first, -(-len(first) * len(i) // (1 << 20))):
-                x, y = all_[part[:, None] + i], all_[part[:, None] + j]
-                ok = _passes(x["size"].astype(np.int64), x["place"].astype(np.int64), y["size"].astype(np.int64), y["place"].astype(np.int64))
-                pairs.append(np.unique(_pairs(x["cls"][ok], y["cls"][ok]), axis=0))
+            for part in np.array_split(first, -(-len(first) * len(i) // COUNTED)) if len(first) else ():
+                counted.append(_short(all_[part[:, None] + i], all_[part[:, None] + j]))
+                if sum(map(len, counted)) > 4 * COUNTED:
+                    yield from _found(counted=_summed(np.concatenate(counted)))
+                    counted = counted[:1]
+        if sum(map(len, counted)):
+            yield from _found(counted=_summed(np.concatenate(counted)))
+        pairs: list[np.ndarray] = []
+        lists: list[tuple[int, bytes]] = []
         for start, n in zip(starts[lengths > SMALL].tolist(), lengths[lengths > SMALL].tolist(), strict=True):
             members = all_[start : start + n]
-            pivot = _pivot(members["cls"], 0)
-            others = np.delete(np.arange(n), pivot)
-            pairs.append(_star(members, pivot, others))
-            lists.append((int(members["shingle"][:1].view(np.int64)[0]), members[others].tobytes()))
-        yield from _found(pairs, lists)
+            pivot = int(_rank(members["cls"], 0).argmin())
+            pairs.append(_against(members, pivot, np.delete(np.arange(n), pivot)))
+            lists.append((int(members["shingle"][:1].view(np.int64)[0]), members.tobytes()))
+        yield from _found(np.unique(np.concatenate(pairs), axis=0) if pairs else None, None, lists)
 
     return blocks.repartition(partitions, "bucket").mapInArrow(run, _FOUND)
 
 
-def more_candidates(lists: DataFrame, labels: DataFrame, turn: int, all_pairs: bool) -> DataFrame:
-    """Candidates between classes of a list that are in different components, in the form of ``candidates``."""
+def _unpacked(lists: DataFrame) -> DataFrame:
+    """(pivot, shingle, cls, size, place) of each member of each list."""
 
-    def unpack(batches):
+    def run(batches):
         for batch in batches:
             for shingle, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 m = np.frombuffer(raw, dtype=_POSTING)
-                yield record(shingle=([shingle] * len(m), pa.int64()), cls=(pa.array(m["cls"]), pa.int64()), size=(pa.array(m["size"].astype(np.int64)), pa.int64()), place=(pa.array(m["place"].astype(np.int64)), pa.int64()))
+                pivot = int(m["cls"][_rank(m["cls"], 0).argmin()])
+                yield record(pivot=([pivot] * len(m), pa.int64()), shingle=([shingle] * len(m), pa.int64()), cls=(pa.array(m["cls"]), pa.int64()), size=(pa.array(m["size"].astype(np.int64)), pa.int64()), place=(pa.array(m["place"].astype(np.int64)), pa.int64()))
+
+    return lists.select("shingle", "members").mapInArrow(run, "pivot long, shingle long, cls long, size long, place long")
+
 
-    members = lists.select("shingle", "members").mapInArrow(unpack, "shingle long, cls long, size long, place long")
-    known = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("shingle", "cls", "size", "place", F.coalesce("label", "cls").alias("label"))
+def positional(counted: DataFrame, lists: DataFrame) -> DataFrame:
+    """(a, b) of the counted pairs whose sets may still be linked."""
+    in_long = _unpacked(lists).groupBy("cls").agg(F.count("*").alias("k"))
+    summed = counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"), F.min("rest").alias("rest"))
+    known = summed.join(in_long.select(F.col("cls").alias("a"), F.col("k").alias("long_a")), "a", "left").join(in_long.select(F.col("cls").alias("b"), F.col("k").alias("long_b")), "b", "left")
+    # common shingles outside the shorter-reaching prefix lie in what is left of that set
+    left = F.greatest(F.expr("(3 * size_a + 3) div 4"), F.expr("(3 * size_b + 3) div 4")) - 1
+    most = F.col("shared") + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0))) + F.least(F.col("rest"), left)
+    return known.where(most >= F.expr("(3 * (size_a + size_b) + 6) div 7")).select("a", "b")
 
-    def pair(members: np.ndarray, label: np.ndarray, pairs: list, lists: list) -> None:
+
+def more_candidates(lists: DataFrame, labels: DataFrame, turn: int, tries: int | None, partitions: int) -> DataFrame:
+    """Pairs between members of a list that are in different components, and lists that have such members."""
+    known = _unpacked(lists).join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("pivot", "shingle", "cls", "size", "place", F.coalesce("label", "cls").alias("label"))
+
+    def pair(members: np.ndarray, label: np.ndarray, pairs: list[np.ndarray]) -> bool:
         names, group, counts = np.unique(label, return_inverse=True, return_counts=True)
         if len(names) < 2:
-            return
-        if all_pairs:
-            order = np.argsort(group, kind="stable")
-            members, group = members[order], group[order]
-            for i in range(len(members)):
-                later = np.arange(int(np.searchsorted(group, group[i], "right")), len(members))
-                if len(later):
-                    pairs.append(_star(members, i, later))
-            return
-        largest = np.flatnonzero(group == counts.argmax())
-        pivot = int(largest[_pivot(members["cls"][largest], turn)])
-        pairs.append(_star(members, pivot, np.flatnonzero(group != group[pivot])))
-        rest = np.delete(np.arange(len(members)), pivot)
-        if len(np.unique(label[rest])) > 1:
-            lists.append((int(members["shingle"][:1].view(np.int64)[0]), members[rest].tobytes()))
+            return False
+        # every pair across components has an end outside the largest
+        largest = int(counts.argmax())
+        order = _rank(members["cls"], turn)
+        for i in np.flatnonzero(group != largest).tolist():
+            others = np.flatnonzero((group != group[i]) & ((group == largest) | (members["cls"] > members["cls"][i])) if tries is None else group != group[i])
+            if tries is not None and len(others) > tries:
+                others = others[np.argpartition(order[others] ^ order[i], tries)[:tries]]
+            pairs.append(_against(members, i, others))
+        return True
 
     def run(batches):
         pairs: list[np.ndarray] = []
-        lists: list[tuple[int, bytes]] = []
+        kept: list[tuple[int, bytes]] = []
         held: list[list[np.ndarray]] = []
-        current = None
 
         def close():
             if held:
-                shingle, cls, size, place, label = (np.concatenate(x) for x in zip(*held, strict=True))
+                _, shingle, cls, size, place, label = (np.concatenate(x) for x in zip(*held, strict=True))
                 m = np.empty(len(cls), dtype=_POSTING)
                 m["shingle"], m["cls"], m["size"], m["place"] = shingle.view(np.uint64), cls, size, place
                 order = np.argsort(cls, kind="stable")
-                pair(m[order], label[order], pairs, lists)
+                if pair(m[order], label[order], pairs) and tries is not None:
+                    kept.append((int(shingle[0]), m[order].tobytes()))
+                held.clear()
+                if sum(map(len, pairs)) > 1 << 20:
+                    pairs[:] = [np.unique(np.concatenate(pairs), axis=0)]
 
+        before = None
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            cuts = [0, *(np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1).tolist(), batch.num_rows]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            cuts = [0, *(np.flatnonzero(columns[1][1:] != columns[1][:-1]) + 1).tolist(), batch.num_rows]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 if y > x:
-                    if current is not None and columns[0][x] != current:
+                    here = int(columns[0][x]), int(columns[1][x])
+                    if before is not None and here != before:
                         close()
-                        held = []
-                        if sum(map(len, pairs)) > 1 << 19:
-                            yield from _found(pairs, lists)
-                            pairs.clear()
-                            lists.clear()
-                    current = columns[0][x]
+                        if here[0] != before[0]:
+                            yield from _found(np.unique(np.concatenate(pairs), axis=0) if pairs else None, None, kept)
+                            pairs, kept = [], []
+                    before = here
                     held.append([c[x:y] for c in columns])
         close()
-        yield from _found(pairs, lists)
+        yield from _found(np.unique(np.concatenate(pairs), axis=0) if pairs else None, None, kept)
 
-    return known.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, _FOUND)
+    return known.repartition(partitions, "pivot").sortWithinPartitions("pivot", "shingle").mapInArrow(run, _FOUND)
 
 
 def bitmap(keys: DataFrame, count: int) -> tuple[int, Broadcast]:
@@ -384,7 +426,7 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return int((a[np.minimum(at, len(a) - 1)] == b).sum()) >= least
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
     """The pairs (a, b) whose sets are linked."""
     with_b = pairs.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "b", "shingles")
     pivots = sets.withColumnRenamed("cls", "a").join(pairs.select("a").distinct(), "a", "left_semi").select("a", F.lit(None).cast("long").alias("b"), "shingles")
@@ -403,28 +445,52 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     out.append((a, b))
             yield record(a=([x for x, _ in out], pa.int64()), b=([y for _, y in out], pa.int64()))
 
-    return with_b.unionByName(pivots).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    return with_b.unionByName(pivots).repartition(partitions, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+
+
+def _joined_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over the edges of one task; a component's label is its smallest node."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
 
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield record(node=(nodes, pa.int64()), label=([root(x) for x in nodes], pa.int64()))
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, label): equal labels in a component. Nodes without an edge are not listed."""
+
+def connected(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """(node, label): equal labels in a component. Nodes without an edge are not listed.
+
+    While there are more than ``few`` edges, each node hooks to the neighbour of
+    the least random rank and the graph is contracted; ``few`` edges, a bound
+    of 16 bytes each, are finished by one task.
+    """
     labels: DataFrame | None = None
     level = 0
-    while True:
+    while edges.count() > few:
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(level), F.col(c)).alias("rank"), F.col(c).alias("node"))  # noqa: E731, B023
+        rank = lambda c, level=level: F.struct(F.xxhash64(F.lit(level), F.col(c)).alias("rank"), F.col(c).alias("node"))
         hooked = stored(both.groupBy("a").agg(F.min(rank("b")).alias("near")).select(F.col("a").alias("node"), F.least(F.col("near"), rank("a"))["node"].alias("label")), "hooked")
-        if labels is None:
-            labels = hooked
-        else:
-            step = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            labels = labels.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+        labels = hooked if labels is None else _moved(labels, hooked)
         a = hooked.select(F.col("node").alias("a"), F.col("label").alias("la"))
         b = hooked.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         edges = stored(edges.join(a, "a").join(b, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "contracted")
-        if edges.isEmpty():
-            return labels
         level += 1
+    last = edges.select("a", "b").repartition(1).mapInArrow(_joined_in_task, "node long, label long")
+    return last if labels is None else _moved(labels, last)
+
+
+def _moved(labels: DataFrame, step: DataFrame) -> DataFrame:
+    """Labels after their own labels have moved."""
+    return labels.join(step.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -445,49 +511,58 @@ def components(documents: DataFrame) -> DataFrame:
             break
     else:
         raise RuntimeError("sets keep colliding")
-    links = _links(documents, both.where("slice IS NOT NULL").select("slice", "counters"), classes, seed)
-    if links is None:
+    labels = _labels(documents, both.where("slice IS NOT NULL").select("slice", "counters"), classes, seed)
+    if labels is None:
         named = classes.select("cls", F.col("doc_id").alias("component_id"))
     else:
-        own = classes.select("cls", "doc_id").join(connected(links).withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
+        own = classes.select("cls", "doc_id").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
         least = own.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         named = own.join(least, "label").select("cls", "component_id")
     out = rows.join(named, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _links(documents: DataFrame, counters: DataFrame, classes: DataFrame, seed: int) -> DataFrame | None:
-    """Verified links between classes, enough to give the components; None without candidates."""
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after more links: only what the links join is worked out anew."""
+    if labels is None:
+        return stored(connected(links), "labels")
+    a, b = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y")).where("x <> y")
+    step = stored(connected(stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "joins")), "steps")
+    # ends that had no link before are nodes of their own
+    new = step.join(labels.select("node"), "node", "left_anti").select("node", "label")
+    return stored(_moved(labels, step).unionByName(new).distinct(), "labels")
+
+
+def _labels(documents: DataFrame, counters: DataFrame, classes: DataFrame, seed: int) -> DataFrame | None:
+    """(node, label) of the classes that have links; None where there are none."""
     order = rarity(counters)
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     partitions = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 4 * _POSTING.itemsize // TASK_BYTES))
     found = stored(candidates(postings(documents, order, seed, max(BUCKETS, 4 * partitions)), partitions), "candidates")
-    pairs = stored(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
     lists = found.where("shingle IS NOT NULL").select("shingle", "members")
-    in_pairs = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls")))
-
-    def in_lists(batches):
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                yield record(cls=(pa.array(np.frombuffer(raw, dtype=_POSTING)["cls"]), pa.int64()))
-
-    wanted = in_pairs.unionAll(lists.select("members").mapInArrow(in_lists, "cls long")).distinct()
+    counted = found.where("shared IS NOT NULL").select("a", "b", "size_a", "size_b", "shared", "rest")
+    stars = found.where("a IS NOT NULL AND shared IS NULL").select("a", "b")
+    pairs = stored(positional(counted, lists).unionByName(stars).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).unionAll(_unpacked(lists).select("cls")).distinct()
     keys = stored(classes.join(wanted, "cls", "left_semi").select("key"), "keys")
     count = keys.count()
     if count == 0:
         return None
     sets = stored(sets_of(documents, *bitmap(keys, count), seed), "sets")
-    links, tested = [], []
-    for turn in range(1, ROUNDS + 3):
-        links.append(stored(verify(pairs, sets), "links"))
-        tested.append(pairs)
-        if turn > ROUNDS + 1 or lists.isEmpty():
+    labels, tested = None, []
+    for turn, tries in enumerate((*TRIES, 0), 1):
+        links = stored(verify(pairs, sets, partitions), "links")
+        if not links.isEmpty():
+            labels = _joined(labels, links)
+        if tries == 0 or lists.isEmpty():
             break
-        labels = connected(_union(links))
-        found = stored(more_candidates(lists, labels, turn, all_pairs=turn == ROUNDS + 1), "candidates")
+        tested.append(pairs)
+        now = documents.sparkSession.createDataFrame([], "node long, label long") if labels is None else labels
+        found = stored(more_candidates(lists, now, turn, tries, partitions), "candidates")
         pairs = stored(found.where("a IS NOT NULL").select("a", "b").distinct().join(_union(tested), ["a", "b"], "left_anti"), "pairs")
         lists = found.where("shingle IS NOT NULL").select("shingle", "members")
-    return _union(links)
+    return labels
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
