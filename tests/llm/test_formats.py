@@ -61,7 +61,7 @@ def test_chat_query(spark, monkeypatch):
 
 def test_chat_chunks(monkeypatch):
     """A conversation in several rows reads back as one."""
-    monkeypatch.setattr(chat, "CHUNK_CHARS", 20)
+    monkeypatch.setattr(chat, "CHUNK_CHARS", 30)
     turns = [(1, "user", "x" * 15), (1, "assistant", "y" * 15), (1, "user", "z"), (2, "assistant", "w")]
     rows = list(chat.formatted(iter(turns), tokenizers_.path(chat.VOCABULARY)))
     assert [(f.conv_id, f.chunk) for f in rows] == [(1, 0), (1, 1), (2, 0)]
