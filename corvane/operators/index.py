@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from corvane.functions import text as T
 from corvane.functions.hashing import content_hash
 from corvane.operators.chunking import chunk_notes
 from corvane.operators.ranking import surfaces
-from corvane.operators.vectors import HashingEmbedder
+from corvane.operators.vectors import Embedder, HashingEmbedder
 from corvane.storage import remove, stored
 
 
@@ -90,10 +90,7 @@ class Index:
     spark: SparkSession
     root: str
     settings: Settings = Settings()
-
-    @property
-    def embedder(self) -> HashingEmbedder:
-        return HashingEmbedder()
+    embedder: Embedder = field(default_factory=HashingEmbedder)
 
     @property
     def _home(self) -> str:
