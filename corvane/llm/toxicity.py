@@ -2,7 +2,8 @@
 
 A word is its whole form and its character n-grams of 3 to 5 with boundary
 marks, each hashed into ``BUCKETS``; its vector is the mean of their
-embeddings, a text's vector the mean over its words, so an unseen misspelling
+embeddings, a text's vector the mean over the words of its distinct parts between
+white space, so a part that is repeated counts once, and an unseen misspelling
 shares the n-grams of the words it resembles. Embeddings and softmax are
 trained jointly in numpy (mini-batches, Adam) on a bounded sample of labelled
 rows: at most about ``MAX_ROWS`` of each class, taken by a hash of the id,
@@ -26,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from zlib import crc32
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,55 +43,73 @@ from corvane.storage import table
 BUCKETS = 1 << 18
 DIMENSIONS = 4
 #: Sampled rows by label.
-MAX_ROWS = {1: 1500, 0: 3500}
-MIN_TEXTS = 3
-EPOCHS = 8
+MAX_ROWS = {1: 2000, 0: 6000}
+MIN_TEXTS = 5
+EPOCHS = 10
 BATCH = 128
 STEP = 0.05
-PENALTY = 0.3
+PENALTY = 0.5
 #: Texts' vectors are scaled up, as a few telling words stand among hundreds.
 SCALE = 30.0
 #: Parts of a text whose words are kept scored by a task.
-KEPT = 200_000
-#: Longer parts are scored each time.
-KEPT_CHARS = 64
+KEPT = 300_000
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a lower-case word and of its n-grams."""
-    marked = f"<{word}>"
-    try:
-        raw, k = marked.encode("latin-1"), 1
-    except UnicodeEncodeError:
-        raw, k = marked.encode("utf-32-le", "replace"), 4
-    n, mask = len(raw), BUCKETS - 1
-    found = [crc32(raw) & mask]
-    for size in (3 * k, 4 * k, 5 * k):
-        found += [crc32(raw[i : i + size]) & mask for i in range(0, n - size + 1, k)]
-    return found
-
-
-def bag(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their weights, which add up to 1."""
-    words = Counter(_WORD.findall(text.lower()))
-    if not words:
-        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
-    parts, weights = [], []
-    total = sum(words.values())
-    for w, n in words.items():
-        if (ids := known.get(w)) is None:
-            if len(known) >= KEPT // 2:
-                known.clear()
-            ids = known[w] = np.array(subwords(w), dtype=np.int32)
-        parts.append(ids)
-        weights.append(n / total / len(ids))
-    each = np.repeat(weights, [len(p) for p in parts])
-    distinct, place = np.unique(np.concatenate(parts), return_inverse=True)
-    return distinct.astype(np.int32), np.bincount(place, weights=each).astype(np.float32)
+_KEYS = [np.uint64(0x9E3779B97F4A7C15 * (2 * j + 1) % 2**64) for j in range(5)]
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of lower-case words and of their n-grams, and the number of each one's word; not in order."""
+    sizes = np.fromiter((len(w) + 2 for w in words), dtype=np.int64, count=len(words))
+    codes = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
+    # the word as a whole
+    place = np.arange(len(codes)) - starts[owner]
+    found, owners = [np.add.reduceat(codes * wordhash.powers(int(sizes.max()))[place], starts) + np.uint64(1)], [np.arange(len(words))]
+    for n in (3, 4, 5):
+        count = len(codes) - n + 1
+        if count <= 0:
+            continue
+        inside = np.flatnonzero(owner[:count] == owner[n - 1 :])
+        value = codes[inside] * _KEYS[0]
+        for j in range(1, n):
+            value += codes[inside + j] * _KEYS[j]
+        found.append(value + np.uint64(n))
+        owners.append(owner[inside])
+    return (wordhash.mix(np.concatenate(found)) >> np.uint64(46)).astype(np.int32), np.concatenate(owners)
+
+
+class Bags:
+    """For each text its distinct buckets and their weights, which add up to 1 (none: no words); made anew each time they are gone through."""
+
+    def __init__(self, texts: list[str]):
+        numbers: dict[str, int] = {}
+        self._counts = []
+        for t in texts:
+            own = Counter(w for part in set(t.split()) for w in _WORD.findall(part.lower()))
+            index = np.fromiter((numbers.setdefault(w, len(numbers)) for w in own), dtype=np.int32, count=len(own))
+            order = np.argsort(index)
+            self._counts.append((index[order], np.fromiter(own.values(), dtype=np.int32, count=len(own))[order]))
+        words = list(numbers)
+        parts, sizes = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(words), 1 << 15):
+            ids, owner = subwords(words[at : at + (1 << 15)])
+            parts.append(ids[np.argsort(owner, kind="stable")])
+            sizes.append(np.bincount(owner, minlength=min(1 << 15, len(words) - at)))
+        self._table, self._size = np.concatenate(parts), np.concatenate(sizes)
+        self._start = np.cumsum(self._size) - self._size
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for index, n in self._counts:
+            own = self._size[index]
+            flat = np.repeat(self._start[index] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            distinct, place = np.unique(self._table[flat], return_inverse=True)
+            yield distinct, np.bincount(place, weights=np.repeat(n / max(1, n.sum()) / np.maximum(1, own), own)).astype(np.float32)
 
 
 def first_of_copies(texts: list[str]) -> list[int]:
@@ -115,38 +134,44 @@ class Model:
         return Scorer(self)
 
 
-class Scorer(dict):
-    """Part of a text -> (sum of its words' numbers) + (its words) i."""
+class Scorer:
+    """Scores texts; keeps (sum of its words' numbers) + (its words) i of parts between white space."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self._values = model.by_bucket.astype(float).tolist()
-        self._bias = model.bias
-        self._words: dict[str, float] = {}
-
-    def _word(self, word: str) -> float:
-        if (value := self._words.get(word)) is None:
-            ids = subwords(word)
-            value = sum(map(self._values.__getitem__, ids)) / len(ids)
-            if len(word) <= KEPT_CHARS:
-                if len(self._words) >= KEPT:
-                    self._words.clear()
-                self._words[word] = value
-        return value
-
-    def __missing__(self, part: str) -> complex:
-        words = _WORD.findall(part.lower())
-        value = complex(sum(map(self._word, words)), len(words))
-        if len(part) <= KEPT_CHARS:
-            if len(self) >= KEPT:
-                self.clear()
-            self[part] = value
-        return value
+        self._values, self._bias = model.by_bucket.astype(np.float64), model.bias
+        self._known: dict[str, complex] = {}
+
+    def _add(self, parts: list[str]) -> None:
+        words, owner = [], []
+        for i, part in enumerate(parts):
+            own = _WORD.findall(part.lower())
+            words += own
+            owner += [i] * len(own)
+        sums, n = np.zeros(len(parts)), np.bincount(owner, minlength=len(parts)) if owner else np.zeros(len(parts))
+        if words:
+            ids, of = subwords(words)
+            sums = np.bincount(owner, weights=np.bincount(of, weights=self._values[ids]) / np.bincount(of), minlength=len(parts))
+        self._known.update(zip(parts, (sums + 1j * n).tolist(), strict=True))
+
+    def scores(self, texts: list[str]) -> list[float]:
+        out = []
+        for at in range(0, len(texts), 128):
+            split = [t.split() for t in texts[at : at + 128]]
+            new = {p for parts in split for p in parts if p not in self._known}
+            if len(self._known) + len(new) > KEPT:
+                self._known.clear()
+                new = {p for parts in split for p in parts}
+            if new:
+                self._add(sorted(new))
+            get = self._known.__getitem__
+            for parts in split:
+                found = sum(map(get, sorted(set(parts))), 0j)
+                margin = self._bias + (found.real / found.imag if found.imag else 0.0)
+                out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, margin)))))
+        return out
 
     def score(self, text: str) -> float:
-        found = sum(map(self.__getitem__, text.split()), 0j)
-        margin = self._bias + (found.real / found.imag if found.imag else 0.0)
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, margin))))
+        return self.scores([text])[0]
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
@@ -156,14 +181,13 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(BUCKETS), 60.0 if share else -60.0)
-    known: dict[str, np.ndarray] = {}
-    bags = [bag(texts[i], known) for i in chosen]
-    del known
+    found = Bags([texts[i] for i in chosen])
     held_by = np.zeros(BUCKETS, dtype=np.int32)
-    for ids, _ in bags:
+    for ids, _ in found:
         held_by[ids] += 1
     kept = held_by >= MIN_TEXTS
-    bags = [(ids[kept[ids]], weights[kept[ids]]) for ids, weights in bags]
+    bags = [(ids[kept[ids]], weights[kept[ids]]) for ids, weights in found]
+    del found
     rng = np.random.default_rng(11)
     # a bucket that is never trained must add nothing: the softmax starts at random, embeddings at zero
     params = {"E": np.zeros((BUCKETS, DIMENSIONS), dtype=np.float32), "W": rng.normal(0, 1, (DIMENSIONS, 2)).astype(np.float32), "b": np.zeros(2, dtype=np.float32)}
@@ -211,8 +235,8 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: dict[int, int] = MA
     sample = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share)
     # about max_rows ids: a bounded broadcast, and as many texts come back
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([r["text"] or "" for r in rows], [r["toxic"] for r in rows])
+    rows = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for r in rows)
+    return fit([t for _, t, _ in rows], [x for _, _, x in rows])
 
 
 def score(documents: DataFrame, model: Broadcast) -> DataFrame:
@@ -221,7 +245,7 @@ def score(documents: DataFrame, model: Broadcast) -> DataFrame:
     def run(batches):
         known = model.value.scorer()
         for batch in pieces(batches):
-            found = [known.score(t) for t in as_texts(batch.column(2))]
+            found = known.scores(as_texts(batch.column(2)))
             yield record(doc_id=(batch.column(0), pa.int64()), held_out=(batch.column(1), pa.bool_()), score=(found, pa.float64()), predicted=([int(x >= 0.5) for x in found], pa.int32()))
 
     return documents.select(F.col("doc_id").cast("long"), (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
@@ -240,7 +264,7 @@ def drop_toxic(documents: DataFrame, model: Broadcast) -> DataFrame:
     def run(batches):
         known = model.value.scorer()
         for batch in pieces(batches):
-            yield batch.filter(pa.array([known.score(t) < 0.5 for t in as_texts(batch.column(at))], pa.bool_()))
+            yield batch.filter(pa.array([x < 0.5 for x in known.scores(as_texts(batch.column(at)))], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
 

@@ -49,7 +49,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _powers = np.ones(1, dtype=np.uint64)
 
 
-def _power_table(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
+    """At least ``n`` powers of an odd number modulo 2^64."""
     global _powers
     if len(_powers) < n:
         steps = np.full(max(n, 256), _STEP, dtype=np.uint64)
@@ -95,7 +96,7 @@ def split(texts: Sequence[bytes], separators: np.ndarray) -> Words:
     total = int(sizes.sum())
     place = np.arange(total, dtype=np.int64) - np.repeat(first, sizes)
     keys = _LOWER_KEYS[raw[inside[1:-1].view(bool)]]
-    keys *= _power_table(int(sizes.max()))[place]
+    keys *= powers(int(sizes.max()))[place]
     hashes = mix(np.add.reduceat(keys, first) + sizes.astype(np.uint64))
     return Words(data, starts, ends, hashes, np.searchsorted(starts, text_starts))
 

@@ -1,5 +1,7 @@
 """Language identification and toxicity by held-out accuracy on the driver's smaller tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from corvane.llm import language_id, toxicity
@@ -43,8 +45,8 @@ def test_toxicity(spark):
 
 
 def test_toxicity_awkward(spark):
-    bad, good = "you utter idiot and moron number %d of many", "a calm and friendly remark number %d of many"
-    texts = [(bad if i % 2 else good) % i for i in range(60)]
+    rng = random.Random(3)
+    texts = [" ".join([*(f"w{rng.randrange(50)}" for _ in range(12)), "an idiot moron" if i % 2 else "a friendly remark", *(f"w{rng.randrange(50)}" for _ in range(12))]) for i in range(60)]
     docs = documents(spark, texts)
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 1), (2, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
