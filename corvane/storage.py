@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -26,8 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Folders written by this application; they go when it ends.
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
+    """A folder of the shared store that lives as long as the application."""
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append(f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def _remove_written() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in _written:
+        # the session may be gone, or the store: what is left then is for the store's own clean-up
+        with contextlib.suppress(Exception):
+            if spark is not None and spark.sparkContext._jsc is not None:
+                remove(spark, path)
+            elif "://" not in path or path.startswith("file:"):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
