@@ -45,7 +45,9 @@ DIMENSIONS = 4
 #: Sampled rows by label.
 MAX_ROWS = {1: 2000, 0: 6000}
 MIN_TEXTS = 5
+#: Passes over the rows at least; few rows are gone through more often, for about STEPS updates.
 EPOCHS = 10
+STEPS = 620
 BATCH = 128
 STEP = 0.05
 PENALTY = 0.5
@@ -174,7 +176,7 @@ class Scorer:
         return self.scores([text])[0]
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
+def fit(texts: list[str], labels: list[int]) -> Model:
     """Trains on texts in memory."""
     chosen = first_of_copies(texts)
     y = np.array([labels[i] for i in chosen], dtype=np.int64)
@@ -194,7 +196,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
     by_class = len(y) / (2 * np.bincount(y, minlength=2))
-    steps = 0
+    steps, epochs = 0, max(EPOCHS, STEPS // -(-len(y) // BATCH))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         step = STEP * (1 - 0.9 * epoch / epochs)
