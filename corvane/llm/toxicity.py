@@ -7,9 +7,10 @@ white space, so a part that is repeated counts once, and an unseen misspelling
 shares the n-grams of the words it resembles. Embeddings and softmax are
 trained jointly in numpy (mini-batches, Adam) on a bounded sample of labelled
 rows: at most about ``MAX_ROWS`` of each class, taken by a hash of the id,
-whole texts. Near copies within the sample count once, buckets of fewer than
-``MIN_TEXTS`` sample texts are left out, and a group penalty on embeddings
-keeps those that only a few texts would need at zero.
+whole texts. A row of the sample goes only as a near copy (``COPY``) of a row kept
+before with the same label; buckets of fewer than ``MIN_TEXTS`` sample texts
+are left out, and a group penalty on embeddings keeps those that only a few
+texts would need at zero.
 
 Scoring uses that the model is linear in the bucket vectors: the margin of a
 text is the mean over words of a number for each word. The broadcast is one
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,6 +46,8 @@ BUCKETS = 1 << 18
 DIMENSIONS = 4
 #: Sampled rows by label.
 MAX_ROWS = {1: 2000, 0: 6000}
+#: Jaccard similarity of 5-word shingles from which two rows of one label are near copies.
+COPY = 0.75
 MIN_TEXTS = 5
 #: Passes over the rows at least; few rows are gone through more often, for about STEPS updates.
 EPOCHS = 10
@@ -114,15 +118,36 @@ class Bags:
             yield distinct, np.bincount(place, weights=np.repeat(n / max(1, n.sum()) / np.maximum(1, own), own)).astype(np.float32)
 
 
-def first_of_copies(texts: list[str]) -> list[int]:
-    """Numbers of the texts that share none of three smallest shingle hashes with one before."""
-    seen: set[tuple[int, int]] = set()
+def first_of_copies(texts: list[str], labels: list[int]) -> list[int]:
+    """Numbers of the texts that are no near copy of one kept before with the same label: their shingle sets have a Jaccard similarity below ``COPY``; exact."""
+    sets = list(wordhash.shingle_sets([t.encode("utf-8", "replace") for t in texts]))
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    every = np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]))
+    # most shingles are in one text only and can be in no overlap: their number is enough
+    shared = np.unique(every[1:][every[1:] == every[:-1]])
+    held_by = np.searchsorted(every, shared, "right") - np.searchsorted(every, shared)
+    del every
+    for i, s in enumerate(sets):
+        at = np.searchsorted(shared, s)
+        sets[i] = at[(at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == s)].astype(np.int32) if len(shared) else at[:0].astype(np.int32)
+    inside = np.zeros(len(shared), dtype=bool)
+    # two sets as similar as that meet within the rarest of either, so only these are looked up
+    holders: dict[int, dict[int, array]] = {}
     out = []
-    for i, shingles in enumerate(wordhash.shingle_sets([t.encode("utf-8", "replace") for t in texts])):
-        marks = {(k, int((shingles * np.uint64(k)).min())) for k in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)} if len(shingles) else {(0, 0)}
-        if not marks & seen:
-            seen |= marks
-            out.append(i)
+    for i, own in enumerate(sets):
+        n = int(sizes[i])
+        rare = own[np.argsort(held_by[own], kind="stable")][: max(0, len(own) - math.ceil(COPY * n) + 1)].tolist() if n else [-1]
+        known = holders.setdefault(labels[i], {})
+        near = np.unique(np.concatenate([np.zeros(0, dtype=np.int32), *(np.frombuffer(known[h], dtype=np.int32) for h in rare if h in known)]))
+        if len(near):
+            inside[own] = True
+            both = np.bincount(np.repeat(np.arange(len(near)), [len(sets[j]) for j in near]), weights=inside[np.concatenate([sets[j] for j in near])], minlength=len(near))
+            inside[own] = False
+            if (both >= COPY * (n + sizes[near] - both)).any():
+                continue
+        out.append(i)
+        for h in rare:
+            known.setdefault(h, array("i")).append(i)
     return out
 
 
@@ -178,7 +203,7 @@ class Scorer:
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Trains on texts in memory."""
-    chosen = first_of_copies(texts)
+    chosen = first_of_copies(texts, labels)
     y = np.array([labels[i] for i in chosen], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0

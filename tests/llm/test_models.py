@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from corvane.llm import language_id, toxicity
-from tests.llm.common import awkward, documents
+from tests.llm.common import awkward, documents, words
 
 SF = "/root/testdata/sf0.01"
 
@@ -61,3 +61,39 @@ def test_toxicity_awkward(spark):
     one_class = toxicity.train(docs, labels.where("toxic = 0"))
     assert one_class.scorer().score("idiot") < 0.5
     assert toxicity.train(docs.limit(0), labels).scorer().score("idiot") < 0.5
+
+
+def shingles(text):
+    own = words(text)
+    return {tuple(own[k : k + 5]) for k in range(max(1, len(own) - 4))} if own else set()
+
+
+def test_first_of_copies():
+    rng = random.Random(5)
+    draw = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    # a passage that is half of each text makes no copies, whatever its hashes
+    passage = draw(60)
+    texts = [" ".join(passage + draw(60)) for _ in range(60)]
+    assert toxicity.first_of_copies(texts, [i % 2 for i in range(60)]) == list(range(60))
+    # a copy goes if it has the label of one kept before, and only then
+    assert toxicity.first_of_copies([texts[0], texts[0], texts[0], texts[0]], [0, 1, 0, 1]) == [0, 1]
+    assert toxicity.first_of_copies(["", " ", "a", "a", "b"], [0] * 5) == [0, 2, 4]
+    assert toxicity.first_of_copies([], []) == []
+    # the same rows as by comparing all pairs, on both sides of the bound
+    texts, labels = [], []
+    for _ in range(30):
+        base = draw(rng.randrange(20, 80))
+        for _ in range(8):
+            own = list(base)
+            for at in rng.sample(range(len(own)), rng.randrange(4)):
+                own[at : at + 1] = draw(rng.randrange(3))
+            texts.append(" ".join(own))
+            labels.append(rng.randrange(2))
+    kept, near = [], []
+    for i, own in enumerate(map(shingles, texts)):
+        found = [len(own & shingles(texts[j])) / len(own | shingles(texts[j])) for j in kept if labels[j] == labels[i]]
+        near += [x for x in found if x]
+        if not any(x >= toxicity.COPY for x in found):
+            kept.append(i)
+    assert min(near) < 0.75 < max(near) and len(kept) < 200
+    assert toxicity.first_of_copies(texts, labels) == kept
