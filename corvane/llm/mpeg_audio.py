@@ -13,7 +13,9 @@ byte offset of every audio frame. Junk between frames is skipped and counted.
 
 Defined results: a null or empty payload is 64 zero bytes; equal texts give
 equal values; bytes without a frame have none and duration 0; cut-off last
-frames are not counted; repeated rows repeat. Nothing is shuffled.
+frames are not counted, and a stored payload that is not there whole raises; an
+ID3v1 tag is none where a whole frame in step covers it; repeated rows repeat.
+Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -205,16 +207,17 @@ def _tags(data: bytes) -> tuple[dict[str, str], int]:
 def read(data: bytes) -> Audio:
     out = Audio()
     out.tags, at = _tags(data)
-    end = len(data)
-    if end - at >= 128 and data[-128:-125] == b"TAG":
-        end -= 128
-        for key, low, high in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
-            if text := data[end + low : end + high].rstrip(b" \0").decode("latin-1"):
-                out.tags.setdefault(key, text)
+    tagged = len(data) - at >= 128 and data[-128:-125] == b"TAG"
+    end = len(data) - 128 * tagged
     stream: Header | None = None
     locked = False
-    while at + 4 <= end:
+    while at < end and at + 4 <= len(data):
         h = header(data[at : at + 4])
+        if h is not None and at < end < at + h.size <= len(data) and (stream is None or h.alike(stream)):
+            # what looks like a tag is the frame's own if the frame ends the stream or the next one follows
+            follow = header(data[at + h.size : at + h.size + 4])
+            if at + h.size == len(data) or follow is not None and follow.alike(h):
+                end = len(data)
         ok = h is not None and at + h.size <= end and (stream is None or h.alike(stream))
         if ok and not locked:
             # out of step: the next header must stand where this one says
@@ -256,13 +259,21 @@ def read(data: bytes) -> Audio:
         stream, locked = h, True
         at += h.size
     out.skipped += max(0, end - at)
+    if end < len(data):
+        for key, low, high in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
+            if text := data[end + low : end + high].rstrip(b" \0").decode("latin-1"):
+                out.tags.setdefault(key, text)
     return out
 
 
 def payload(data: bytes, audio: Audio | None = None) -> bytes:
-    """The payload that ``store`` laid down."""
+    """The payload that ``store`` laid down; raises if some of it is missing."""
     audio = audio or read(data)
-    return b"".join(data[a:b] for a, b in audio.bodies)[: int(audio.tags["payload_bytes"])]
+    n = int(audio.tags["payload_bytes"])
+    back = b"".join(data[a:b] for a, b in audio.bodies)[:n]
+    if len(back) < n:
+        raise ValueError(f"{len(back)} of {n} payload bytes found")
+    return back
 
 
 def padded(content: bytes) -> bytes:

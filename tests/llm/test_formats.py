@@ -100,6 +100,21 @@ def test_audio_resynchronises():
     assert (h.version, h.layer, h.protected, h.kbps, h.rate, h.size, h.samples, h.side) == (2, 3, False, 64, 22050, 208, 576, 9)
 
 
+def test_audio_payload_like_a_tag():
+    texts = [b"x" * 14 + b"TAG" + b"x" * 60, b"TAG" * 500, *(b"x" * k + b"TAG" + b"x" * (n - k) for n in (61, 2000) for k in range(n + 1))]
+    for content in texts:
+        data = mpeg_audio.store(mpeg_audio.padded(content), len(content))
+        audio = mpeg_audio.read(data)
+        assert mpeg_audio.payload(data, audio) == mpeg_audio.padded(content) and audio.skipped == 0 and set(audio.tags) == {"payload_bytes", "content_bytes"}
+    # a tag after the frames, after junk and after a cut-off frame is still one
+    tag = b"TAG" + b"Title".ljust(125, b"\0")
+    for kept, frames, skipped in ((data, 2, 0), (data + b"junk", 2, 4), (data[:-5], 1, audio.sizes[-1] - 5)):
+        found = mpeg_audio.read(kept + tag)
+        assert (found.frames, found.skipped, found.tags["title"]) == (frames, skipped, "Title")
+    with pytest.raises(ValueError, match="payload bytes"):
+        mpeg_audio.payload(data[:-5])
+
+
 def test_audio_column(spark):
     docs = awkward(spark)
     rows = mpeg_audio.report(mpeg_audio.to_media(docs)).collect()
