@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from corvane.llm import packing, secret_scan
+from corvane.llm import packing, secret_scan, toxicity
 from tests.llm.common import LOW
 from tests.llm.test_join import brute
 from tests.llm.test_scans import plain
@@ -41,3 +41,14 @@ def test_stages(spark, tmp_path):
     words = re.compile(r"\b(idiot|moron|scum|pathetic|worthless|clown|loser|trash|disgusting|stupid)\b")
     toxic = lambda rows: sum(len(set(words.findall((r["text"] or "").translate(LOW)))) >= 3 for r in rows)
     assert toxic(after) < toxic(before) and len(after) > 0.8 * len(before)
+
+
+def test_toxicity_stage(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    after = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, SF).select("doc_id").collect()}
+    model = toxicity.trained(spark, docs.select("doc_id", "text"), SF).value
+    rows = docs.select("doc_id", "text").collect()
+    assert after == {r["doc_id"] for r in rows if model.scorer().score(r["text"] or "") < 0.5}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    clean, toxic = ({d for d, x in labels.items() if x == k} for k in (0, 1))
+    assert len(clean - after) <= 0.05 * len(clean) and len(toxic - after) >= 0.8 * len(toxic)
