@@ -31,6 +31,9 @@ def mean_metrics(each: DataFrame) -> DataFrame:
 
 def grounding_check(scored: DataFrame) -> DataFrame:
     """One row (questions, accuracy_at_1, mrr) of (question, candidate, score, positive)."""
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("question").orderBy(F.desc("score"), "candidate")))
-    first = ranked.groupBy("question").agg(F.min(F.when(F.col("positive"), F.col("rank"))).alias("first"))
+    # the best positive and what stands before it, so that no question's candidates are sorted or kept
+    falling = F.coalesce(F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(-F.col("score")), F.lit(float("inf")))
+    placed = scored.select("question", "positive", F.struct(falling.alias("falling"), "candidate").alias("place"))
+    best = placed.groupBy("question").agg(F.min(F.when(F.col("positive"), F.col("place"))).alias("best"))
+    first = placed.join(best, "question").groupBy("question").agg(F.when(F.max("best").isNotNull(), 1 + F.count_if(F.col("place") < F.col("best"))).alias("first"))
     return first.agg(F.count("*").alias("questions"), F.round(F.coalesce(F.avg((F.coalesce("first", F.lit(0)) == 1).cast("double")), F.lit(0.0)), 6).alias("accuracy_at_1"), F.round(F.coalesce(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), F.lit(0.0)), 6).alias("mrr"))

@@ -254,10 +254,9 @@ def eval_all_modes(spark, d):
 
 @query
 def grounding_check(spark, d):
-    q = b.vector_queries(spark, d)
-    scored = vectors.knn_exact(q, b.vectors(spark, d), 1000).where("query_id <> id")
-    rows = scored.join(q.select("query_id", "query_label"), "query_id").join(b.vectors(spark, d).select("id", "label"), "id")
-    return evaluation.grounding_check(rows.select(F.col("query_id").alias("question"), F.col("id").alias("candidate"), "score", (F.col("label") == F.col("query_label")).alias("positive")))
+    q = b.vector_queries(spark, d).select("query_id", F.col("embedding").alias("q"), "query_label")
+    rows = b.vectors(spark, d).crossJoin(q).where("query_id <> id")
+    return evaluation.grounding_check(rows.select(F.col("query_id").alias("question"), F.col("id").alias("candidate"), F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("score"), (F.col("label") == F.col("query_label")).alias("positive")))
 
 
 # index and change stream

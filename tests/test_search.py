@@ -98,3 +98,13 @@ def test_refusal(spark, chunks):
     got = {r["query_id"]: r for r in chat.ask(q, ctx, 0.3).collect()}
     assert got[0]["refused"] and got[0]["content"] == chat.REFUSAL and got[0]["citations"] == ""
     assert not got[1]["refused"] and got[1]["citations"].startswith("caffeine.md")
+
+
+def test_grounding_check_ranks_all(spark, tmp_path):
+    from corvane.plans import queries
+
+    # question 0 has one positive, the last of 1,499 candidates; the 29 others have none
+    rows = [(i, [math.cos(i / 1000), math.sin(i / 1000)], 0 if i == 1499 else i) for i in range(1500)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    row = queries.grounding_check(spark, str(tmp_path)).head()
+    assert (row["questions"], row["accuracy_at_1"], row["mrr"]) == (30, 0.0, round(1 / 1499 / 30, 6))
