@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.config import CONTEXT_CHUNKS, HISTORY_MESSAGES, MODELS, SIMILARITY_FLOOR, TOP_K, Settings
+from corvane.functions import text as T
 from corvane.operators import chat, generation, ranking, vectors
 from corvane.operators.index import Index, stats
+from corvane.operators.lexical import LexicalIndex
 
 _CHUNK = ("id", "note_path", "note_title", "heading", "ordinal", "text")
 
@@ -24,6 +26,11 @@ class Engine:
     settings: Settings = Settings()
     embedder: vectors.Embedder = field(default_factory=vectors.HashingEmbedder)
     rows: DataFrame | None = None
+    size: int = 0
+
+    def _opened(self, rows: DataFrame) -> Engine:
+        self.rows, self.size = rows, rows.count()
+        return self
 
     @property
     def index(self) -> Index:
@@ -31,18 +38,15 @@ class Engine:
 
     def open(self, notes: DataFrame) -> Engine:
         """Loads the index, or builds it from (path, title, content) where there is none."""
-        self.rows = self.index.open_or_build(notes)
-        return self
+        return self._opened(self.index.open_or_build(notes))
 
     def rebuild(self, notes: DataFrame) -> Engine:
         self.index.rebuild(notes)
-        self.rows = self.index.load()
-        return self
+        return self._opened(self.index.load())
 
     def update(self, notes: DataFrame, gone: DataFrame) -> Engine:
         self.index.merge(notes, gone)
-        self.rows = self.index.load()
-        return self
+        return self._opened(self.index.load())
 
     @property
     def chunks(self) -> DataFrame:
@@ -52,13 +56,15 @@ class Engine:
 
     def stats(self) -> dict:
         row = stats(self.chunks).head()
-        return {"notes": row["notes"], "chunks": row["chunks"], "model_id": self.embedder.model_id, "approximate": row["chunks"] > self.settings.ann_threshold}
+        return {"notes": row["notes"], "chunks": row["chunks"], "model_id": self.embedder.model_id, "approximate": self.size > self.settings.ann_threshold}
 
     def search(self, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K) -> DataFrame:
         """Ranked chunks for (query_id, query); queries that are blank give none."""
-        asked = queries.where(F.trim("query") != "")
-        ranked = ranking.rank(self.chunks, asked, mode, k, self.settings.alpha, self.embedder, embedded=self.rows.select("id", "embedding"))
-        return ranking.with_chunks(ranked, self.chunks)
+        chunks = self.chunks
+        asked = queries.where(T.trimmed(F.col("query")) != "")
+        index, embedded = LexicalIndex(self.rows.select("id", "dl", "terms")), self.rows.select("id", "embedding", "signature")
+        ranked = ranking.rank(chunks, asked, mode, k, self.settings.alpha, self.embedder, index, embedded, self.settings.ann_threshold, self.size)
+        return ranking.with_chunks(ranked, chunks)
 
     def session(self, generate: Callable[[str], str] | None = None, **options) -> Session:
         """A conversation over this snapshot; ``generate`` defaults to the backend of the settings."""

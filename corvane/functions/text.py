@@ -6,12 +6,14 @@ fewer characters.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.config import SNIPPET_CHARS
 
-#: White space, and the same without the line feed.
+#: Fixed values of the accepted syntax: white space, the same without the line feed, headings, YAML lines and frontmatter.
 WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 WS_IN_LINE = WS.replace(r"\n", "")
 _NOT_WS = WS.replace("[", "[^", 1)
@@ -20,6 +22,11 @@ _YAML_LINE = rf"^(?:{WS}*#|{WS}*-{WS}|{WS}+{_NOT_WS}|[A-Za-z0-9_.$-]+{WS}*:)"
 _FENCE = r"^(---\r?\n((?:[\s\S]*?\r?\n)?)---\r?\n?)"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once; a plain column would be repeated wherever f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
 
@@ -64,8 +71,7 @@ def without_extension(path: Column) -> Column:
 def snippet(c: Column, size: int = SNIPPET_CHARS) -> Column:
     flat = trimmed(F.regexp_replace(c, WS + "+", " "))
     cut = lambda x: F.when(F.length(x) > size, F.concat(F.regexp_replace(F.substring(x, 1, size), r" +\z", ""), F.lit("…"))).otherwise(x)
-    # a lambda's variable is worked out once
-    return F.element_at(F.transform(F.array(flat), cut), 1)
+    return bound(flat, cut)
 
 
 def embed_surface(heading: Column, text: Column) -> Column:

@@ -9,11 +9,6 @@ from corvane.config import CHUNK_OVERLAP, CHUNK_TOKENS
 from corvane.functions import text as T
 
 
-def bound(value, f):
-    """f(value) with the value worked out once; a plain column would be repeated wherever f names it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def windows(tokens, size: int, overlap: int):
     """Window texts of a token array: array<string>, one window for up to ``size`` tokens."""
     overlap = min(overlap, max(0, size - 1))
@@ -24,12 +19,12 @@ def windows(tokens, size: int, overlap: int):
         last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / F.lit(step)).cast("int"))
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tk, i * step + 1, F.lit(size)), " "))
 
-    return bound(tokens, cut)
+    return T.bound(tokens, cut)
 
 
 def chunk_notes(notes: DataFrame, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """(path, title, content) to (id, note_path, note_title, heading, ordinal, text)."""
-    sections = bound(T.without_frontmatter(F.coalesce("content", F.lit(""))), T.sections)
+    sections = T.bound(T.without_frontmatter(F.coalesce("content", F.lit(""))), T.sections)
     parts = F.transform(sections, lambda s: F.transform(F.when(s["body"] != "", windows(T.tokens(s["body"]), size, overlap)).otherwise(F.array(s["heading"])), lambda w: F.struct(s["heading"].alias("heading"), w.alias("text"))))
     out = notes.select(F.col("path").alias("note_path"), F.col("title").alias("note_title"), F.posexplode(F.flatten(parts)).alias("ordinal", "chunk"))
     return out.select(F.concat("note_path", F.lit("#"), F.col("ordinal").cast("string")).alias("id"), "note_path", "note_title", "chunk.heading", "ordinal", "chunk.text")

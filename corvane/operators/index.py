@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,9 +15,10 @@ from corvane.config import INDEX_VERSION, Settings
 from corvane.functions import text as T
 from corvane.functions.hashing import content_hash
 from corvane.operators.chunking import chunk_notes
+from corvane.operators.lexical import forward
 from corvane.operators.ranking import surfaces
-from corvane.operators.vectors import Embedder, HashingEmbedder
-from corvane.storage import remove, stored
+from corvane.operators.vectors import Embedder, HashingEmbedder, signed
+from corvane.storage import create, listed, remove, small_text, stored
 
 
 def hashed(chunks: DataFrame) -> DataFrame:
@@ -79,55 +80,102 @@ def stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count_distinct("note_path").alias("notes"), F.count("*").alias("chunks"))
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed since the snapshot that a change was based on."""
+
+
 @dataclass(frozen=True)
 class Index:
-    """Snapshots under ``root``, one folder for each (model, dim, version); ``current`` names the one in use.
-
-    A snapshot is written whole before the pointer moves, so a reader sees the
-    old or the new one; who opened a snapshot keeps reading it.
+    """Snapshots under ``root``, one folder for each (model, dim, version).
+
+    A row of a snapshot is a chunk with hash, embedding, signature, and its terms
+    with their counts, so vectors and lexical index always belong to the same
+    state and both change only for chunks whose text has changed. A snapshot is
+    written whole, then named by the next numbered pointer. A pointer is a small
+    file that is created once and never changed: of two writers one gets the
+    number, the other raises ``Conflict`` or tries again; readers take the highest
+    pointer that is complete, so a writer that dies at any point leaves the
+    former state. The last ``keep`` snapshots stay for those who still read them.
     """
 
     spark: SparkSession
     root: str
     settings: Settings = Settings()
     embedder: Embedder = field(default_factory=HashingEmbedder)
+    keep: int = 3
 
     @property
     def _home(self) -> str:
         return f"{self.root}/{self.embedder.model_id}-{self.embedder.dim}-v{INDEX_VERSION}"
 
-    def rows(self, notes: DataFrame) -> DataFrame:
-        """Chunks with hash and embedding, of notes outside excluded folders."""
+    def _chunked(self, notes: DataFrame) -> DataFrame:
         kept = notes.where(~T.excluded(F.col("path"), self.settings.excluded_folders))
-        return self.embedded(hashed(chunk_notes(kept, self.settings.chunk_tokens, self.settings.chunk_overlap)))
+        return hashed(chunk_notes(kept, self.settings.chunk_tokens, self.settings.chunk_overlap))
 
-    def embedded(self, chunks: DataFrame) -> DataFrame:
-        return chunks.join(self.embedder.embed(surfaces(chunks)[0]), "id")
+    def rows(self, notes: DataFrame) -> DataFrame:
+        """Chunks with all that a snapshot holds of them, of notes outside excluded folders."""
+        return self.embedded(self._chunked(notes))
 
-    def _commit(self, rows: DataFrame) -> str:
+    def embedded(self, chunks: DataFrame) -> DataFrame:
+        """Chunks (stored, as they are read by each step) with embedding, signature, length and terms."""
+        kept = stored(chunks, "chunks")
+        for_vectors, for_terms = surfaces(kept)
+        return kept.join(signed(self.embedder.embed(for_vectors)), "id").join(forward(for_terms), "id")
+
+    def _pointers(self) -> list[tuple[int, dict]]:
+        """Complete pointers, the last first."""
+        out = []
+        for name in sorted(listed(self.spark, f"{self._home}/pointers"), reverse=True):
+            if name.endswith(".json") and not name.startswith((".", "_")):
+                # one that its writer has not finished does not count
+                with contextlib.suppress(ValueError):
+                    out.append((int(name.removesuffix(".json")), json.loads(small_text(self.spark, f"{self._home}/pointers/{name}"))))
+        return out
+
+    def _write(self, rows: DataFrame) -> str:
         name = uuid.uuid4().hex
         rows.write.parquet(f"{self._home}/{name}")
-        meta = {"version": INDEX_VERSION, "model_id": self.embedder.model_id, "dim": self.embedder.dim, "snapshot": name, "count": self.spark.read.parquet(f"{self._home}/{name}").count()}
-        self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self._home}/current")
+        return name
+
+    def _commit(self, name: str, base: int | None) -> str:
+        """Names the snapshot by the pointer after ``base``; None: after whatever is there."""
+        written = self.spark.read.parquet(f"{self._home}/{name}")
+        if not written.where(F.size("embedding") != self.embedder.dim).isEmpty():
+            remove(self.spark, f"{self._home}/{name}")
+            raise ValueError(f"embeddings must have dimension {self.embedder.dim}")
+        meta = {"version": INDEX_VERSION, "model_id": self.embedder.model_id, "dim": self.embedder.dim, "snapshot": name, "count": written.count()}
+        while True:
+            names = [int(x.removesuffix(".json")) for x in listed(self.spark, f"{self._home}/pointers") if x.endswith(".json") and not x.startswith((".", "_"))]
+            last = max(names, default=0)
+            complete = self._pointers()
+            if base is not None and (complete[0][0] if complete else 0) != base:
+                remove(self.spark, f"{self._home}/{name}")
+                raise Conflict(f"the index has changed since snapshot {base}")
+            if create(self.spark, f"{self._home}/pointers/{last + 1:012d}.json", json.dumps(meta)):
+                break
+        for number, old in self._pointers()[self.keep :]:
+            remove(self.spark, f"{self._home}/{old['snapshot']}")
+            remove(self.spark, f"{self._home}/pointers/{number:012d}.json")
         return name
 
     def rebuild(self, notes: DataFrame) -> str:
-        return self._commit(self.rows(notes))
+        return self._commit(self._write(self.rows(notes)), None)
 
     def meta(self) -> dict | None:
-        """What the pointer says, None where there is no usable index."""
-        try:
-            found = self.spark.read.text(f"{self._home}/current").head()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-        meta = json.loads(found["value"]) if found else {}
+        """What the last complete pointer says, None where there is no usable index."""
+        found = self._pointers()
+        meta = found[0][1] if found else {}
         return meta if (meta.get("version"), meta.get("model_id"), meta.get("dim")) == (INDEX_VERSION, self.embedder.model_id, self.embedder.dim) else None
 
     def load(self) -> DataFrame | None:
+        """The rows of the current snapshot; raises if there are not as many as its pointer says."""
         meta = self.meta()
-        return None if meta is None else self.spark.read.parquet(f"{self._home}/{meta['snapshot']}")
+        if meta is None:
+            return None
+        rows = self.spark.read.parquet(f"{self._home}/{meta['snapshot']}")
+        if (n := rows.count()) != meta["count"]:
+            raise ValueError(f"the snapshot has {n} chunks, its pointer says {meta['count']}")
+        return rows
 
     def open_or_build(self, notes: DataFrame) -> DataFrame:
         found = self.load()
@@ -136,22 +184,35 @@ class Index:
             found = self.load()
         return found
 
-    def merge(self, notes: DataFrame, gone: DataFrame) -> str:
+    def merge(self, notes: DataFrame, gone: DataFrame, attempts: int = 3) -> str:
         """Writes the snapshot after ``notes`` (path, title, content) were written and paths ``gone`` deleted.
 
-        Only chunks that are new or whose text has changed are embedded.
+        Only chunks that are new or whose text has changed are embedded and
+        tokenised. Where another writer was first, the change is made again on
+        top of theirs, up to ``attempts`` times.
         """
-        old = self.load()
+        for attempt in range(attempts):
+            try:
+                return self._merge(notes, gone)
+            except Conflict:
+                if attempt == attempts - 1:
+                    raise
+        raise ValueError("attempts must be positive")
+
+    def _merge(self, notes: DataFrame, gone: DataFrame) -> str:
+        found = self._pointers()
+        base, old = found[0][0] if found else 0, self.load()
         if old is None:
             return self.rebuild(notes)
+        new = stored(self._chunked(notes), "chunks")
         kept_notes = notes.where(~T.excluded(F.col("path"), self.settings.excluded_folders))
-        new = hashed(chunk_notes(kept_notes, self.settings.chunk_tokens, self.settings.chunk_overlap))
         touched = kept_notes.select(F.col("path").alias("note_path")).unionByName(gone.select(F.col("path").alias("note_path"))).distinct()
         untouched = old.join(touched, "note_path", "left_anti")
         same = old.join(new.select("id", "hash"), ["id", "hash"], "left_semi")
         changed = new.join(old.select("id", "hash"), ["id", "hash"], "left_anti")
         columns = old.columns
-        return self._commit(untouched.select(*columns).unionByName(same.join(touched, "note_path", "left_semi").select(*columns)).unionByName(self.embedded(changed).select(*columns)))
+        parts = [untouched, same.join(touched, "note_path", "left_semi"), self.embedded(changed)]
+        return self._commit(self._write(parts[0].select(*columns).unionByName(parts[1].select(*columns)).unionByName(parts[2].select(*columns))), base)
 
     def clean(self) -> None:
         remove(self.spark, self._home)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators.chat import ordered
 from corvane.operators.chunking import chunk_notes
+from corvane.operators.passages import containing
 from corvane.storage import stored, table
 
 FIELDS = ("path", "title", "content")
@@ -77,9 +78,10 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, note, doc_id): documents that hold the start of a benchmark passage. A stated query set against all rows."""
-    q = queries(spark, sf_dir).where("query <> ''").select("query_id", F.lower(F.substring("query", 1, 40)).alias("start"))
-    return notes(spark, sf_dir).select("doc_id", "path", F.lower("content").alias("low")).join(q, F.contains("low", "start")).select("query_id", F.col("path").alias("note"), "doc_id")
+    """(query_id, note, doc_id): documents that hold a benchmark passage, whole and in any case. A stated query set against all rows."""
+    q = queries(spark, sf_dir).where("query <> ''").select("query_id", F.lower("query").alias("passage"))
+    found = containing(notes(spark, sf_dir).select("doc_id", "path", F.lower("content").alias("low")), "low", q, "passage")
+    return found.select("query_id", F.col("path").alias("note"), "doc_id")
 
 
 def edited(spark: SparkSession, sf_dir: str) -> DataFrame:

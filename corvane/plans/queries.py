@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.config import ALPHA, CONTEXT_CHUNKS, DEBOUNCE_MS, HISTORY_MESSAGES, TOP_K, Settings
+from corvane.config import ALPHA, CONTEXT_CHUNKS, DEBOUNCE_MS, HISTORY_MESSAGES, MODES, TOP_K, Settings
 from corvane.functions import text as T
 from corvane.operators import chat, evaluation, generation, index, lexical, ranking, vectors
 from corvane.plans import bindings as b
@@ -121,7 +121,7 @@ def term_freq(spark, d):
 
 @query
 def doc_freq(spark, d):
-    return lexical.LexicalIndex.build(_surface(spark, d), keep=False).postings.groupBy("term").agg(F.count("*").alias("df"))
+    return lexical.LexicalIndex.build(_surface(spark, d), keep=False).df
 
 
 @query
@@ -132,7 +132,7 @@ def corpus_stats(spark, d):
 @query
 def idf(spark, d):
     i = lexical.LexicalIndex.build(_surface(spark, d))
-    return i.postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(i.stats)).select("term", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return i.df.crossJoin(F.broadcast(i.stats)).select("term", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query
@@ -142,13 +142,13 @@ def bm25_score(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    return lexical.top(bm25_score(spark, d), TOP_K)
+    return lexical.search(lexical.LexicalIndex.build(_surface(spark, d)), b.queries(spark, d), TOP_K)
 
 
 @query
 def bm25_after_delete(spark, d):
     kept = b.chunks(spark, d).join(b.notes(spark, d).where("doc_id % 7 = 0").select(F.col("path").alias("note_path")), "note_path", "left_anti")
-    return lexical.top(lexical.score(lexical.LexicalIndex.build(ranking.surfaces(kept)[1]), b.queries(spark, d)), TOP_K)
+    return lexical.search(lexical.LexicalIndex.build(ranking.surfaces(kept)[1]), b.queries(spark, d), TOP_K)
 
 
 # vectors
@@ -173,8 +173,7 @@ def l2_normalize(spark, d):
 
 @query
 def cosine_pairs(spark, d):
-    q = b.vector_queries(spark, d).select("query_id", F.col("embedding").alias("q"))
-    return b.vectors(spark, d).crossJoin(q).select("query_id", "id", F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    return vectors.cosines(b.vector_queries(spark, d), b.vectors(spark, d)).select("query_id", "id", "score")
 
 
 @query
@@ -184,7 +183,11 @@ def knn_exact(spark, d):
 
 @query
 def knn_ann(spark, d):
-    return vectors.knn_ann(b.vector_queries(spark, d), b.vectors(spark, d), TOP_K)
+    """Neighbours asked for, and whether the approximate search finds nine tenths of the exact ones."""
+    q, v = stored(b.vector_queries(spark, d), "queries"), stored(vectors.signed(b.vectors(spark, d).select("id", "embedding")), "signed")
+    exact = stored(vectors.knn_exact(q, v, TOP_K).select("query_id", "id"), "exact")
+    both = vectors.knn_ann(q, v, TOP_K).join(exact, ["query_id", "id"], "left_semi").agg(F.count("*").alias("both"))
+    return exact.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("neighbours")).crossJoin(both).select("queries", "neighbours", (10 * F.col("both") >= 9 * F.col("neighbours")).alias("recall_reached"))
 
 
 # ranking
@@ -192,7 +195,7 @@ def knn_ann(spark, d):
 
 @query
 def minmax_norm(spark, d):
-    return lexical.min_max(bm25_score(spark, d))
+    return lexical.min_max(stored(bm25_score(spark, d), "scores"))
 
 
 @query
@@ -202,7 +205,7 @@ def blend_full_outer(spark, d):
     e = vectors.HashingEmbedder()
     q = e.embed(b.queries(spark, d).select(F.col("query_id").alias("id"), F.col("query").alias("surface"))).withColumnRenamed("id", "query_id")
     semantic = vectors.knn_exact(q, e.embed(surface[0]), 100)
-    lex = lexical.min_max(lexical.score(lexical.LexicalIndex.build(surface[1]), b.queries(spark, d)))
+    lex = lexical.min_max(stored(lexical.score(lexical.LexicalIndex.build(surface[1]), b.queries(spark, d)), "scores"))
     return ranking.blend(semantic, lex, ALPHA)
 
 
@@ -229,9 +232,9 @@ def search_hybrid(spark, d):
 # evaluation
 
 
-def _ranking(spark, d, mode, chunks=None):
+def _ranking(spark, d, mode, chunks=None, **known):
     c = b.kept_chunks(spark, d) if chunks is None else chunks
-    hits = ranking.rank(c, b.queries(spark, d), mode, POOL_EVAL).join(c.select("id", F.col("note_path").alias("note")), "id")
+    hits = ranking.rank(c, b.queries(spark, d), mode, POOL_EVAL, **known).join(c.select("id", F.col("note_path").alias("note")), "id")
     return evaluation.note_ranking(hits)
 
 
@@ -242,21 +245,23 @@ def note_ranking(spark, d):
 
 @query
 def ndcg_recall(spark, d):
-    return evaluation.ndcg_recall(_ranking(spark, d, "lexical"), b.qrels(spark, d))
+    return evaluation.ndcg_recall(_ranking(spark, d, "lexical"), stored(b.qrels(spark, d), "qrels"))
 
 
 @query
 def eval_all_modes(spark, d):
     c, q = b.kept_chunks(spark, d), stored(b.qrels(spark, d), "qrels")
-    each = [evaluation.mean_metrics(evaluation.ndcg_recall(_ranking(spark, d, m, c), q)).select(F.lit(m).alias("mode"), "queries", "ndcg", "recall") for m in ("semantic", "lexical", "hybrid")]
+    surface = ranking.surfaces(c)
+    # built once for all modes
+    known = {"index": lexical.LexicalIndex.build(surface[1]), "embedded": stored(vectors.HashingEmbedder().embed(surface[0]), "embedded")}
+    each = [evaluation.mean_metrics(evaluation.ndcg_recall(_ranking(spark, d, m, c, **known), q)).select(F.lit(m).alias("mode"), "queries", "ndcg", "recall") for m in MODES]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query
 def grounding_check(spark, d):
-    q = b.vector_queries(spark, d).select("query_id", F.col("embedding").alias("q"), "query_label")
-    rows = b.vectors(spark, d).crossJoin(q).where("query_id <> id")
-    return evaluation.grounding_check(rows.select(F.col("query_id").alias("question"), F.col("id").alias("candidate"), F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("score"), (F.col("label") == F.col("query_label")).alias("positive")))
+    rows = vectors.cosines(b.vector_queries(spark, d), b.vectors(spark, d)).where("query_id <> id")
+    return evaluation.grounding_check(rows.select(F.col("query_id").alias("question"), F.col("id").alias("candidate"), "score", (F.col("label") == F.col("query_label")).alias("positive")))
 
 
 # index and change stream

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -60,11 +61,47 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared store, if it is there."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    files, where = _at(spark, path)
+    files.delete(where, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none where there is no folder."""
+    files, where = _at(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(where)) if files.exists(where) else []
+
+
+def create(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file that must not be there yet; False where it is. The store decides between two writers."""
+    files, where = _at(spark, path)
+    try:
+        out = files.create(where, False)
+    except Py4JJavaError as e:
+        if not files.exists(where):
+            raise e
+        return False
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def small_text(spark: SparkSession, path: str) -> str:
+    """A small file's text, read by the driver."""
+    files, where = _at(spark, path)
+    into = files.open(where)
+    try:
+        return bytes(into.readAllBytes()).decode()
+    finally:
+        into.close()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

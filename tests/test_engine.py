@@ -20,6 +20,42 @@ def test_search(spark, engine):
         Engine(spark, engine.root).search(q)
 
 
+def test_searches_use_the_snapshot(spark, engine, monkeypatch):
+    from corvane import storage
+    from corvane.operators import lexical
+
+    def never(*_, **__):
+        raise AssertionError("the index was built again")
+
+    monkeypatch.setattr(lexical, "forward", never)
+    written, new_path = [], storage.new_path
+    monkeypatch.setattr(storage, "new_path", lambda s, name: written.append(name) or new_path(s, name))
+    q = spark.createDataFrame([(0, "coffee")], "query_id long, query string")
+    for mode in ("lexical", "hybrid", "semantic"):
+        assert engine.search(q, mode).head()["note_path"] == "caffeine.md"
+    assert set(written) <= {"pool", "best"}
+
+
+def test_update_moves_both_sides(spark, engine):
+    notes = spark.createDataFrame([("tea.md", "Tea", "green tea with jasmine"), ("caffeine.md", "Caffeine", "cocoa")], "path string, title string, content string")
+    engine.update(notes, spark.createDataFrame([("sleep.md",)], "path string"))
+    q = spark.createDataFrame([(0, "jasmine"), (1, "coffee"), (2, "rest")], "query_id long, query string")
+    got = [(r["query_id"], r["note_path"]) for r in engine.search(q, "lexical").collect()]
+    assert got == [(0, "tea.md")]
+    assert engine.search(q, "semantic").where("note_path = 'sleep.md'").count() == 0
+
+
+def test_above_the_threshold(spark, tmp_path):
+    words = [f"word{i} other{i % 7} third{i % 11}" for i in range(300)]
+    notes = spark.createDataFrame([(f"n{i:03d}.md", f"N{i}", w) for i, w in enumerate(words)], "path string, title string, content string")
+    few = Engine(spark, str(tmp_path), Settings(ann_threshold=299)).open(notes)
+    many = Engine(spark, str(tmp_path), Settings(ann_threshold=300)).open(notes)
+    assert few.stats()["approximate"] and not many.stats()["approximate"]
+    q = spark.createDataFrame([(i, words[i]) for i in (5, 77, 201)], "query_id long, query string")
+    first = [sorted((r["query_id"], r["id"]) for r in e.search(q, "semantic", 1).collect()) for e in (few, many)]
+    assert first[0] == first[1] == [(5, "n005.md#0"), (77, "n077.md#0"), (201, "n201.md#0")]
+
+
 def test_conversation(engine):
     plain = engine.session(floor=0.3)
     assert plain.ask("zzz")["refused"]

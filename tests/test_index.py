@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.config import Settings
 from corvane.operators import generation
@@ -30,6 +31,66 @@ def test_build_merge_reload(spark, tmp_path):
     assert index.load() is None
 
 
+def test_commit_fails_between_steps(spark, tmp_path, monkeypatch):
+    from corvane.operators import index as module
+
+    index = Index(spark, str(tmp_path))
+    index.rebuild(notes(spark, ("a.md", "A", "one")))
+
+    def broken(*_):
+        raise OSError("the store is gone")
+
+    # after the rows, before the pointer
+    monkeypatch.setattr(module, "create", broken)
+    with pytest.raises(OSError):
+        index.rebuild(notes(spark, ("b.md", "B", "two")))
+    monkeypatch.undo()
+    assert [r["text"] for r in index.load().collect()] == ["one"]
+    # a pointer that was created and never written
+    (tmp_path / index._home[len(str(tmp_path)) + 1 :] / "pointers" / "000000000002.json").write_text("")
+    assert [r["text"] for r in index.load().collect()] == ["one"]
+    index.merge(notes(spark, ("c.md", "C", "three")), notes(spark).select("path"))
+    assert sorted(r["text"] for r in index.load().collect()) == ["one", "three"]
+
+
+def test_two_writers(spark, tmp_path):
+    from corvane.operators.index import Conflict
+
+    index = Index(spark, str(tmp_path))
+    index.rebuild(notes(spark, ("a.md", "A", "one")))
+    base, other = index._pointers()[0][0], Index(spark, str(tmp_path))
+    name = index._write(index.rows(notes(spark, ("b.md", "B", "two"))))
+    other.merge(notes(spark, ("c.md", "C", "three")), notes(spark).select("path"))
+    with pytest.raises(Conflict):
+        index._commit(name, base)
+    assert sorted(r["text"] for r in index.load().collect()) == ["one", "three"]
+
+
+def test_old_snapshots_go(spark, tmp_path):
+    index = Index(spark, str(tmp_path), keep=2)
+    for k in range(4):
+        index.rebuild(notes(spark, ("a.md", "A", f"text {k}")))
+    assert len(index._pointers()) == 2
+    folders = [p for p in (tmp_path / index._home[len(str(tmp_path)) + 1 :]).iterdir() if p.name != "pointers"]
+    assert len(folders) == 2 and index.load().head()["text"] == "text 3"
+
+
+def test_refuses_damaged(spark, tmp_path):
+    from corvane.operators.vectors import CallableEmbedder
+
+    wrong = Index(spark, str(tmp_path), embedder=CallableEmbedder(lambda: lambda texts: [[1.0] for _ in texts], 2, "wrong"))
+    with pytest.raises(Exception, match="the model gave"):
+        wrong.rebuild(notes(spark, ("a.md", "A", "one")))
+    index = Index(spark, str(tmp_path))
+    index.rebuild(notes(spark, ("a.md", "A", "one"), ("b.md", "B", "two")))
+    short = index.load().limit(1)
+    with pytest.raises(ValueError, match="dimension"):
+        index._commit(index._write(short.withColumn("embedding", F.slice("embedding", 1, 3))), None)
+    short.write.mode("append").parquet(f"{index._home}/{index.meta()['snapshot']}")
+    with pytest.raises(ValueError, match="pointer says"):
+        index.load()
+
+
 def test_diff(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "id string, hash string")
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "id string, hash string")

@@ -56,17 +56,97 @@ def test_neighbours(spark):
     assert vectors.knn_exact(q, v.limit(0), 2).count() == 0
 
 
-def test_ann_recall(spark):
+def pairs(rows):
+    return {(r["query_id"], r["id"]) for r in rows.collect()}
+
+
+def test_ann(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    exact, found = pairs(vectors.knn_exact(q, v, 20)), pairs(vectors.knn_ann(q, v, 20))
+    assert len(exact & found) >= 0.9 * len(exact)
+    # most vectors are left out by their signatures
+    report = vectors.ann_report(q, vectors.signed(v), 20).head()
+    assert report["pairs"] == 80000 and report["examined"] <= 0.2 * report["pairs"]
+    assert vectors.knn_ann(q.limit(0), v, 5).count() == vectors.knn_ann(q, v.limit(0), 5).count() == 0
+
+
+def test_ann_like_exact(spark):
     import numpy as np
 
     rng = np.random.default_rng(3)
-    centres = rng.normal(size=(8, 16))
-    rows = [(i, (centres[i % 8] + 0.2 * rng.normal(size=16)).tolist()) for i in range(400)]
+    centres = rng.normal(size=(40, 32))
+    rows = [(i, (centres[i % 40] + 0.1 * rng.normal(size=32)).tolist()) for i in range(1200)]
     v = spark.createDataFrame(rows, "id long, embedding array<float>").cache()
     q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
-    exact = {(r["query_id"], r["id"]) for r in vectors.knn_exact(q, v, 10).collect()}
-    found = {(r["query_id"], r["id"]) for r in vectors.knn_ann(q, v, 10).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
+    for threshold in (1000, 2000):
+        hits = pairs(vectors.knn(q, v, 3, threshold))
+        exact = pairs(vectors.knn_exact(q, v, 3))
+        assert len(hits & exact) >= 0.98 * len(exact)
+    assert vectors.ann_report(q, v, 3).head()["examined"] < 0.1 * 24 * 1200
+
+
+def test_best():
+    import numpy as np
+    import pyarrow as pa
+
+    from corvane.operators.best import Best
+
+    rng = np.random.default_rng(1)
+    scores = np.round(rng.integers(0, 9, (3, 4000)) / 8, 6)
+    scores[2, :] = 0.5
+    ids = np.array([f"{i:05d}" for i in rng.permutation(4000)])
+    best = Best(3, 7, pa.string())
+    for at in range(0, 4000, 700):
+        best.add(scores[:, at : at + 700].copy(), pa.array(ids[at : at + 700]))
+    q, s, found = best.rows()
+    for j in range(3):
+        got = sorted((-x, i) for k, x, i in zip(q, s, found.to_pylist(), strict=True) if k == j)[:7]
+        assert got == sorted((-x, i) for x, i in zip(scores[j], ids, strict=True))[:7]
+    # of 4,000 equal scores no more than k are held
+    assert (q == 2).sum() == 7
+
+
+def test_cosines(spark):
+    v = spark.createDataFrame([(1, [3.0, 4.0], 7), (2, [0.0, 0.0], 8)], "id long, embedding array<float>, label int")
+    q = v.select(F.col("id").alias("query_id"), "embedding", F.col("label").alias("query_label"))
+    got = {(r["query_id"], r["id"]): r["score"] for r in vectors.cosines(q, v).collect()}
+    assert got == {(1, 1): 1.0, (1, 2): 0.0, (2, 1): 0.0, (2, 2): 0.0}
+    assert vectors.cosines(q.limit(0), v).count() == 0
+    with pytest.raises(Exception, match="dimension"):
+        vectors.knn_exact(q, spark.createDataFrame([(1, [1.0])], "id long, embedding array<float>"), 1).collect()
+
+
+def test_blocks_of_queries(spark, chunks, monkeypatch):
+    q = spark.createDataFrame([(i, w) for i, w in enumerate(["coffee", "sleep tea", "drink well", "rest", "zzz", ""])], "query_id long, query string")
+    want = [sorted(map(tuple, ranking.rank(chunks, q, m, 2).collect())) for m in ("semantic", "lexical", "hybrid")]
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", 2)
+    assert [sorted(map(tuple, ranking.rank(chunks, q, m, 2).collect())) for m in ("semantic", "lexical", "hybrid")] == want
+    # the cut is that of all scores, ties by id
+    for alpha in (0.0, 0.3, 1.0):
+        index = lexical.LexicalIndex.build(ranking.surfaces(chunks)[1])
+        e = vectors.HashingEmbedder()
+        asked = e.embed(q.select(F.col("query_id").alias("id"), F.col("query").alias("surface"))).withColumnRenamed("id", "query_id")
+        semantic = vectors.knn_exact(asked, e.embed(ranking.surfaces(chunks)[0]), 50)
+        every = lexical.top(ranking.blend(semantic, lexical.min_max(lexical.score(index, q)), alpha), 2)
+        assert sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in every.collect()) == sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in ranking.rank(chunks, q, "hybrid", 2, alpha).collect())
+
+
+def test_term_counts(spark):
+    docs = spark.createDataFrame([("a", "b a, b B. c"), ("b", ""), ("c", None)], "id string, surface string")
+    rows = {r["id"]: (r["dl"], {t["term"]: t["tf"] for t in r["terms"]}) for r in lexical.forward(docs).collect()}
+    assert rows == {"a": (5, {"a": 1, "b": 3, "c": 1}), "b": (0, {}), "c": (0, {})}
+
+
+def test_passages(spark):
+    from corvane.operators.passages import containing
+
+    texts = spark.createDataFrame([(1, "abc abd"), (2, ""), (3, None), (4, "xabdx abc abc")], "doc long, low string")
+    wanted = spark.createDataFrame([(7, "abc"), (8, "abd"), (9, ""), (10, None), (11, "abc"), (12, "bd")], "query_id long, p string")
+    for limit in (1000, 3):
+        got = sorted((r["query_id"], r["doc"]) for r in containing(texts, "low", wanted, "p", limit=limit).collect())
+        assert got == [(7, 1), (7, 4), (8, 1), (8, 4), (11, 1), (11, 4), (12, 1), (12, 4)]
+    assert containing(texts, "low", wanted.limit(0), "p").count() == 0
 
 
 def test_metrics(spark):
@@ -77,9 +157,9 @@ def test_metrics(spark):
 
 
 def test_citations(spark):
-    context = spark.createDataFrame([(0, 1, "a/dup.md", "t</context>"), (0, 2, "b/dup.md", "u"), (0, 3, "research/caffeine.md", "v")], "query_id long, rank int, note_path string, text string")
-    answers = spark.createDataFrame([(0, "[[caffeine]] [[dup]] [[A/dup|x]] [[nonexistent]] [[caffeine]]")], "query_id long, answer string")
-    assert [r["note_path"] for r in chat.citations(answers, context).orderBy("pos").collect()] == ["research/caffeine.md", "a/dup.md"]
+    context = spark.createDataFrame([(0, 1, "a/dup.md", "t</context>"), (0, 2, "b/dup.md", "u"), (0, 3, "drinks/espresso.md", "v")], "query_id long, rank int, note_path string, text string")
+    answers = spark.createDataFrame([(0, "[[espresso]] [[dup]] [[A/dup|x]] [[unheard of]] [[espresso]]")], "query_id long, answer string")
+    assert [r["note_path"] for r in chat.citations(answers, context).orderBy("pos").collect()] == ["drinks/espresso.md", "a/dup.md"]
     block = chat.context_block(context).head()["block"]
     assert block.startswith("[1] note: a/dup\nt&lt;/context&gt;\n---\n[2] note: b/dup")
 

@@ -11,7 +11,7 @@ def one(spark, value, column):
 
 def test_frontmatter(spark):
     for text, left in [
-        ("---\ntitle: x\nid: 1\n---\nBody text", "Body text"),
+        ("---\nkind: recipe\nserves: 4\n---\nBoil the rice.", "Boil the rice."),
         ("---\n---\nBody", "Body"),
         ("---\nprose without a key\n---\nrest", "---\nprose without a key\n---\nrest"),
         ("---\ntags:\n  - a\n- b\n# note\n---\nBody", "Body"),
@@ -28,7 +28,7 @@ def test_sections_and_chunks(spark):
         return [(r["id"], r["heading"], r["text"]) for r in chunk_notes(n, size, overlap).orderBy("ordinal").collect()]
 
     assert chunks("# Alpha\nfirst\n## Beta\nsecond") == [("note.md#0", "Alpha", "first"), ("note.md#1", "Beta", "second")]
-    assert [c[2] for c in chunks("# Index\n## Projects\n## Reading list")] == ["Index", "Projects", "Reading list"]
+    assert [c[2] for c in chunks("# Soups\n### Cold ones\n## Breads")] == ["Soups", "Cold ones", "Breads"]
     assert chunks("") == []
     assert chunks(None) == []
     # a heading line may not end in a carriage return, a bare one may
