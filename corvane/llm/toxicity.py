@@ -6,11 +6,12 @@ embeddings, a text's vector the mean over the words of its distinct parts betwee
 white space, so a part that is repeated counts once, and an unseen misspelling
 shares the n-grams of the words it resembles. Embeddings and softmax are
 trained jointly in numpy (mini-batches, Adam) on a bounded sample of labelled
-rows: at most about ``MAX_ROWS`` of each class, taken by a hash of the id,
-whole texts. A row of the sample goes only as a near copy (``COPY``) of a row kept
-before with the same label; buckets of fewer than ``MIN_TEXTS`` sample texts
-are left out, and a group penalty on embeddings keeps those that only a few
-texts would need at zero.
+rows: at most about ``MAX_ROWS`` of each class and ``MAX_BYTES`` in all, taken
+by a hash of the id, whole texts. A row of the sample goes only as a near copy
+(``COPY``) of a row kept before with the same label. Of the buckets those are trained whose presence in
+a text departs far enough from independence of the label; their weights are
+scaled to one size and their embeddings decay. ``Setting`` is chosen by
+``toxicity_folds``, inside the rows that may be learnt from.
 
 Scoring uses that the model is linear in the bucket vectors: the margin of a
 text is the mean over words of a number for each word. The broadcast is one
@@ -25,22 +26,25 @@ is the share of toxic labels (0 if none); repeated rows repeat.
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.llm import wordhash
 from corvane.llm.arrow import as_texts, pieces, record
 from corvane.llm.language_id import fold
-from corvane.storage import table
+from corvane.storage import stored, table
 
 BUCKETS = 1 << 18
 DIMENSIONS = 4
@@ -48,15 +52,29 @@ DIMENSIONS = 4
 MAX_ROWS = {1: 2000, 0: 6000}
 #: Jaccard similarity of 5-word shingles from which two rows of one label are near copies.
 COPY = 0.75
-MIN_TEXTS = 5
+#: Bytes of the sampled texts, a quarter of them for label 1; the rows of the least hashes are taken.
+MAX_BYTES = 48 << 20
 #: Passes over the rows at least; few rows are gone through more often, for about STEPS updates.
 EPOCHS = 10
 STEPS = 620
 BATCH = 128
-STEP = 0.05
-PENALTY = 0.5
-#: Texts' vectors are scaled up, as a few telling words stand among hundreds.
-SCALE = 30.0
+
+
+@dataclass(frozen=True)
+class Setting:
+    """What ``toxicity_folds`` chooses from, by folds inside the rows that may be learnt from."""
+
+    #: Buckets of fewer sample texts are left out.
+    min_texts: int = 4
+    #: And those whose presence in a text tells less of its label than this, in standard deviations.
+    screen: float = 4.0
+    decay: float = 0.01
+    #: At most so many buckets are trained, those that tell most.
+    most: int = 150
+    step: float = 0.05
+
+
+SETTING = Setting()
 #: Parts of a text whose words are kept scored by a task.
 KEPT = 300_000
 
@@ -201,7 +219,18 @@ class Scorer:
         return self.scores([text])[0]
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
+def told(held_by: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """How far the presence of each bucket departs from independence of the label: the root of the likelihood ratio, 2 x buckets in."""
+    share = held_by.sum(axis=0) / texts.sum()
+
+    def gain(k: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
+        return np.where(k > 0, k * np.log(np.maximum(k, 1) / np.maximum(n * p, 1e-300)), 0.0)
+
+    total = sum(gain(k, n, share) + gain(n - k, n, 1 - share) for k, n in zip(held_by.astype(np.float64), texts.tolist(), strict=True))
+    return np.sqrt(np.maximum(0.0, 2 * total))
+
+
+def fit(texts: list[str], labels: list[int], setting: Setting = SETTING) -> Model:
     """Trains on texts in memory."""
     chosen = first_of_copies(texts, labels)
     y = np.array([labels[i] for i in chosen], dtype=np.int64)
@@ -209,26 +238,36 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(BUCKETS), 60.0 if share else -60.0)
     found = Bags([texts[i] for i in chosen])
-    held_by = np.zeros(BUCKETS, dtype=np.int32)
-    for ids, _ in found:
-        held_by[ids] += 1
-    kept = held_by >= MIN_TEXTS
-    bags = [(ids[kept[ids]], weights[kept[ids]]) for ids, weights in found]
+    held_by, squares = np.zeros((2, BUCKETS), dtype=np.int32), np.zeros(BUCKETS)
+    for label, (ids, weights) in zip(y.tolist(), found, strict=True):
+        held_by[label, ids] += 1
+        squares[ids] += weights.astype(np.float64) ** 2
+    # only telling buckets are trained: all others add nothing
+    tells = np.where(held_by.sum(axis=0) >= setting.min_texts, told(held_by, np.bincount(y, minlength=2)), 0.0)
+    kept = np.sort(np.argsort(-tells, kind="stable")[: min(setting.most, int((tells >= setting.screen).sum()))])
+    number = np.full(BUCKETS, -1, dtype=np.int32)
+    number[kept] = np.arange(len(kept))
+    # a rare bucket's weights are scaled to those of a common one
+    scale = np.concatenate([1 / np.sqrt(squares[kept] / len(y)), np.ones(int(not len(kept)))]).astype(np.float32)
+    bags = []
+    for ids, weights in found:
+        at = number[ids]
+        bags.append((at[at >= 0], weights[at >= 0] * scale[at[at >= 0]]))
     del found
-    rng = np.random.default_rng(11)
-    # a bucket that is never trained must add nothing: the softmax starts at random, embeddings at zero
-    params = {"E": np.zeros((BUCKETS, DIMENSIONS), dtype=np.float32), "W": rng.normal(0, 1, (DIMENSIONS, 2)).astype(np.float32), "b": np.zeros(2, dtype=np.float32)}
+    size, rng = max(1, len(kept)), np.random.default_rng(11)
+    # the softmax starts at random, embeddings at zero
+    params = {"E": np.zeros((size, DIMENSIONS), dtype=np.float32), "W": rng.normal(0, 1, (DIMENSIONS, 2)).astype(np.float32), "b": np.zeros(2, dtype=np.float32)}
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
     by_class = len(y) / (2 * np.bincount(y, minlength=2))
     steps, epochs = 0, max(EPOCHS, STEPS // -(-len(y) // BATCH))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
-        step = STEP * (1 - 0.9 * epoch / epochs)
+        step = setting.step * (1 - 0.9 * epoch / epochs)
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
             n = len(rows)
-            ids, weights = np.concatenate([bags[i][0] for i in rows]), np.concatenate([bags[i][1] for i in rows]) * np.float32(SCALE)
+            ids, weights = np.concatenate([bags[i][0] for i in rows]), np.concatenate([bags[i][1] for i in rows])
             owner = np.repeat(np.arange(n), [len(bags[i][0]) for i in rows])
             used = params["E"][ids]
             mean = np.stack([np.bincount(owner, weights=used[:, d] * weights, minlength=n) for d in range(DIMENSIONS)], axis=1)
@@ -238,20 +277,19 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             p[np.arange(n), y[rows]] -= 1
             p *= (by_class[y[rows]] / n)[:, None]
             back = (p @ params["W"].T).astype(np.float32)
-            grads = {"E": np.stack([np.bincount(ids, weights=back[owner, d] * weights, minlength=BUCKETS) for d in range(DIMENSIONS)], axis=1), "W": mean.T @ p, "b": p.sum(axis=0)}
+            grads = {"E": np.stack([np.bincount(ids, weights=back[owner, d] * weights, minlength=size) for d in range(DIMENSIONS)], axis=1) + setting.decay * params["E"], "W": mean.T @ p, "b": p.sum(axis=0)}
             steps += 1
             for name, grad in grads.items():
                 grad = grad.astype(np.float32)
                 first[name] += 0.1 * (grad - first[name])
                 second[name] += 0.01 * (grad * grad - second[name])
                 params[name] -= step * (first[name] / (1 - 0.9**steps)) / (np.sqrt(second[name] / (1 - 0.99**steps)) + 1e-8)
-            norms = np.sqrt((params["E"] ** 2).sum(axis=1)) + 1e-9
-            params["E"] *= np.maximum(0, 1 - step * PENALTY / norms)[:, None].astype(np.float32)
-    margin = params["E"] @ (params["W"][:, 1] - params["W"][:, 0]) * SCALE
-    return Model(margin, float(params["b"][1] - params["b"][0]))
+    by_bucket = np.zeros(BUCKETS)
+    by_bucket[kept] = (params["E"] @ (params["W"][:, 1] - params["W"][:, 0]) * scale)[: len(kept)]
+    return Model(by_bucket, float(params["b"][1] - params["b"][0]))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: dict[int, int] = MAX_ROWS) -> Model:
+def train(documents: DataFrame, labels: DataFrame, max_rows: dict[int, int] = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """From (doc_id, text) and (doc_id, toxic)."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -259,11 +297,19 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: dict[int, int] = MA
     share = F.lit(0)
     for label, n in sizes.items():
         share = F.when(F.col("toxic") == label, min(steps, -(-steps * max_rows.get(label, 0) // n))).otherwise(share)
-    sample = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share)
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(steps))
+    sample = marked.where(order < share)
     # about max_rows ids: a bounded broadcast, and as many texts come back
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for r in rows)
-    return fit([t for _, t, _ in rows], [x for _, _, x in rows])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = stored(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(sample), "doc_id").select(order.alias("place"), "doc_id", "text", "toxic", F.octet_length("text").cast("long").alias("size")), "toxic-sample")
+    before = F.coalesce(F.sum("size").over(W.partitionBy("toxic").orderBy("place", "doc_id", "text").rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+    most = F.when(F.col("toxic") == 1, max_bytes // 4).otherwise(max_bytes - max_bytes // 4)
+    # a window over the sample, not over the documents
+    bounded = rows.withColumn("so_far", before).where(F.col("so_far") <= most).select("doc_id", "text", "toxic").collect()
+    if (left := rows.count() - len(bounded)) > 0:
+        logging.getLogger(__name__).warning("%d sampled rows beyond %d bytes are left out of the fit", left, max_bytes)
+    chosen = sorted((r["doc_id"], r["text"], r["toxic"]) for r in bounded)
+    return fit([t for _, t, _ in chosen], [x for _, _, x in chosen])
 
 
 def score(documents: DataFrame, model: Broadcast) -> DataFrame:

@@ -1,6 +1,8 @@
 """Language identification and toxicity by held-out accuracy on the driver's smaller tables."""
 
+import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -39,10 +41,47 @@ def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = toxicity.query(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out")
-    right = rows.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double")), F.sum(F.col("toxic"))).head()
-    assert docs.count() == 10000 and right[1] > 50
-    # some 250 distinct toxic texts are few; with 2,000 (check_s) 99 % are right
-    assert right[0] > 0.91
+    found, missed, false, n = (rows.agg(*(F.count_if(c) for c in (F.expr("toxic = 1 AND predicted = 1"), F.expr("toxic = 1 AND predicted = 0"), F.expr("toxic = 0 AND predicted = 1"))), F.count("*")).head())
+    print(f"found {found}, missed {missed}, false alarms {false} of {n}")
+    assert docs.count() == 10000 and found + missed > 50
+    assert found >= 0.85 * (found + missed) and false <= 0.15 * (found + false)
+
+
+def test_scorer_by_hand(spark):
+    """Scores against a plain mean over words of the mean over their subwords."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["you", "utter", "idiot!", "kind", "friend", "the-idiot", "Moron,", "1234", "…", "été", "a"]) for _ in range(rng.randrange(40))) for _ in range(120)]
+    model = toxicity.fit(texts, [int("idiot" in t) for t in texts])
+    assert model.by_bucket.any()
+    scorer, softmax = model.scorer(), lambda x: 1 / (1 + math.exp(-x))
+    for t in [*texts, "", "idiotic idiots", "x " * 50000, "nothing known"]:
+        numbers = []
+        for part in set(t.split()):
+            for word in re.findall(r"[^\W\d_]+", part.lower()):
+                marked = f"<{word}>"
+                ids, _ = toxicity.subwords([word])
+                assert len(ids) == 1 + sum(max(0, len(marked) - n + 1) for n in (3, 4, 5))
+                numbers.append(sum(float(model.by_bucket[i]) for i in ids) / len(ids))
+        want = softmax(model.bias + (sum(numbers) / len(numbers) if numbers else 0.0))
+        assert abs(scorer.score(t) - want) < 1e-9
+    # a misspelling shares subwords with the word it resembles
+    assert scorer.score("idiott") > scorer.score("friend")
+
+
+def test_told():
+    import numpy as np
+
+    held = np.array([[10, 0, 5], [10, 12, 5]])
+    got = toxicity.told(held, np.array([100, 100]))
+    assert got[0] == got[2] == 0 and abs(got[1] - math.sqrt(2 * (12 * math.log(2) + 88 * math.log(88 / 94) + 100 * math.log(100 / 94)))) < 1e-9
+
+
+def test_sample_is_bounded(spark, caplog):
+    texts = [("an idiot " if i % 2 else "a friend ") * 50 + f"w{i}" for i in range(40)]
+    docs = documents(spark, [*texts, "idiot " * 100000])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(40, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, max_bytes=80_000)
+    assert "1 sampled rows beyond" in caplog.text and model.scorer().score("idiot") > 0.5
 
 
 def test_toxicity_awkward(spark):
