@@ -38,7 +38,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.llm import wordhash
@@ -302,12 +301,18 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: dict[int, int] = MA
     # about max_rows ids: a bounded broadcast, and as many texts come back
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = stored(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(sample), "doc_id").select(order.alias("place"), "doc_id", "text", "toxic", F.octet_length("text").cast("long").alias("size")), "toxic-sample")
-    before = F.coalesce(F.sum("size").over(W.partitionBy("toxic").orderBy("place", "doc_id", "text").rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
-    most = F.when(F.col("toxic") == 1, max_bytes // 4).otherwise(max_bytes - max_bytes // 4)
-    # a window over the sample, not over the documents
-    bounded = rows.withColumn("so_far", before).where(F.col("so_far") <= most).select("doc_id", "text", "toxic").collect()
-    if (left := rows.count() - len(bounded)) > 0:
-        logging.getLogger(__name__).warning("%d sampled rows beyond %d bytes are left out of the fit", left, max_bytes)
+    # ids and sizes of the sample decide which texts come to the driver: what does not fit is passed over
+    room = {1: max_bytes // 4, 0: max_bytes - max_bytes // 4}
+    fits: list[tuple[int]] = []
+    listed = rows.groupBy("toxic", "place", "doc_id").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    for r in sorted(listed, key=lambda r: (r["toxic"], r["place"], r["doc_id"])):
+        if r["size"] <= room[r["toxic"]]:
+            room[r["toxic"]] -= r["size"]
+            fits.append((r["doc_id"],))
+    if len(fits) < len(listed):
+        logging.getLogger(__name__).warning("%d sampled rows beyond %d bytes are left out of the fit", len(listed) - len(fits), max_bytes)
+    chosen_ids = documents.sparkSession.createDataFrame(fits, "doc_id long")
+    bounded = rows.join(F.broadcast(chosen_ids), "doc_id", "left_semi").select("doc_id", "text", "toxic").collect()
     chosen = sorted((r["doc_id"], r["text"], r["toxic"]) for r in bounded)
     return fit([t for _, t, _ in chosen], [x for _, _, x in chosen])
 
