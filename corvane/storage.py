@@ -53,6 +53,19 @@ def _remove_written() -> None:
                 shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What is written to the shared folder inside goes at the end of the block; results that are to stay have their ``new_path`` before it."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        gone = _written[before:]
+        del _written[before:]
+        for path in gone:
+            remove(spark, path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here."""
     spark = df.sparkSession
