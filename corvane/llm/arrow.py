@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
 
-#: Texts handed to a vectorised step at once, in characters or bytes.
-CHUNK = 1 << 22
+#: Bytes of texts handed to a step at once.
+PIECE_BYTES = 8 << 20
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -23,26 +23,25 @@ def as_texts(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that results of one batch stay small."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, cut by rows and by bytes, so that results of one batch stay small; a larger row is a batch of its own."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
-def mapped(df: DataFrame, columns: dict[str, str], make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """Applies ``make()`` to batches of the columns, given by new name and SQL type.
-
-    ``make`` runs once in each task, to load what its function needs.
-    """
-    chosen = df.select(*[F.col(f"`{old}`").cast(kind).alias(new) for new, (old, kind) in ((k, v.split(":")) for k, v in columns.items())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
-        for batch in pieces(batches):
-            yield work(batch)
-
-    return chosen.mapInArrow(run, schema)
+        ends = np.cumsum(_row_bytes(batch))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of the texts and binary values of each row."""
+    out = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            out += pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    return out
 
 
 def record(**columns: tuple[list | pa.Array, pa.DataType]) -> pa.RecordBatch:

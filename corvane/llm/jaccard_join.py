@@ -16,10 +16,13 @@ with equal sets are one class from the start, so exact copies never meet again.
    shared). A longer list pairs one pivot with the others; then each class tries
    ``TRIES`` members of other components, turn by turn, in the end all of them.
    Links inside a component change nothing, so none that matters is lost, and a
-   large group of near copies costs few pairs for each of its members. Lists with
-   the same pivot meet in one task, which gives a pair once.
+   large group of near copies costs few pairs for each of its members. Before a
+   pair of a longer list is given, a suffix filter compares the sketches of its
+   classes (shingles by hash range), so lists of unlike texts give few pairs.
+   Lists of one component are not read again; the lists of one pivot are dealt over
+   as many tasks as they need.
 4. ``verify``: distinct candidate pairs, none twice, meet the sets of their two
-   classes; a suffix filter (sizes by hash range) goes before the exact count.
+   classes; the suffix filter goes before the exact count here too.
    Sets are made anew for the classes that have candidates only, picked by a
    bitmap over text hashes of at most ``BITMAP_BITS`` bits; a full bitmap lets
    more texts through and stays exact.
@@ -27,7 +30,7 @@ with equal sets are one class from the start, so exact copies never meet again.
    contracting, on tables in the shared folder, until few edges are left.
 
 Nothing about documents is collected: the driver sees counts, the counters'
-bytes and the bitmap. A posting list is held by one task at 20 bytes a class.
+bytes and the bitmap. A posting list is held by one task at 24 bytes a class.
 
 Defined results: null and empty texts and texts without words have size 0 and
 are linked with nothing; repeated rows are linked if they have words, and share
@@ -49,7 +52,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import wordhash
 from corvane.llm.arrow import as_bytes, pieces, record
-from corvane.storage import stored, table
+from corvane.storage import new_path, scratch, stored, table
 
 WIDTH = 5
 SLOTS = 1 << 21
@@ -69,6 +72,11 @@ BROADCAST_IDS = 1_000_000
 COUNTED = 1 << 16
 #: Edges that one task may join.
 FEW_EDGES = 200_000
+#: Hash ranges of a set's sketch.
+RANGES = 256
+#: Rows of one pivot's lists, and partners of one class, that a task takes; a larger number is dealt over several.
+PIVOT_ROWS = 4096
+PARTNERS = 1024
 
 _POSTING = np.dtype([("shingle", "<u8"), ("cls", "<i8"), ("size", "<u4"), ("place", "<u4")])
 
@@ -198,10 +206,29 @@ def _rank(classes: np.ndarray, turn: int) -> np.ndarray:
     return wordhash.mix(classes.view(np.uint64) + np.uint64(0x2545F4914F6CDD1D * (turn + 1) % 2**64))
 
 
-def _against(members: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+def _sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of RANGES hash ranges; a byte each, 255: that or more."""
+    return np.minimum(np.bincount((shingles >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
+
+
+def _may_share(one: np.ndarray, others: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Suffix filter: what two sets share within a hash range is bounded by the smaller count there."""
+    out = np.ones(len(others), dtype=bool)
+    for at in range(0, len(others), 1 << 13):
+        part = others[at : at + (1 << 13)]
+        # a count of 255 bounds nothing
+        open_ = ((part == 255) & (one == 255)).any(axis=1)
+        out[at : at + (1 << 13)] = open_ | (np.minimum(part, one).sum(axis=1, dtype=np.int64) >= least[at : at + (1 << 13)])
+    return out
+
+
+def _against(members: np.ndarray, one: int, others: np.ndarray, sketches: np.ndarray | None = None) -> np.ndarray:
     """Pairs of a member and others of its list that pass the filters."""
     p, m = members[one], members[others]
     ok = _passes(np.int64(p["size"]), np.int64(p["place"]), m["size"].astype(np.int64), m["place"].astype(np.int64))
+    if sketches is not None:
+        others, m = others[ok], m[ok]
+        ok = _may_share(sketches[one], sketches[others], needed(np.int64(p["size"]), m["size"].astype(np.int64)))
     return _pairs(np.full(ok.sum(), p["cls"]), m["cls"][ok])
 
 
@@ -312,48 +339,74 @@ def positional(counted: DataFrame, lists: DataFrame) -> DataFrame:
     return known.where(most >= F.expr("(3 * (size_a + size_b) + 6) div 7")).select("a", "b")
 
 
-def more_candidates(lists: DataFrame, labels: DataFrame, turn: int, tries: int | None, partitions: int) -> DataFrame:
+def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists with members of different components."""
+    known = _unpacked(lists).join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("shingle", F.coalesce("label", "cls").alias("label"))
+    mixed = known.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
+    return lists.join(mixed, "shingle", "left_semi")
+
+
+def _dealt(rows: DataFrame, key: str, by: str, limit: int, counts: DataFrame) -> DataFrame:
+    """The rows with ``salt``: 0, or for keys with more than ``limit`` rows a number by the hash of ``by``; counts: (key, n)."""
+    heavy = counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+    # at most rows / limit keys are heavy
+    heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_IDS else heavy
+    return rows.join(heavy, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+
+
+def more_candidates(lists: DataFrame, labels: DataFrame, sets: DataFrame, turn: int, tries: int | None, partitions: int) -> DataFrame:
     """Pairs between members of a list that are in different components, and lists that have such members."""
-    known = _unpacked(lists).join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("pivot", "shingle", "cls", "size", "place", F.coalesce("label", "cls").alias("label"))
+    rows = stored(_unpacked(lists), "members")
+    rows = _dealt(rows, "pivot", "shingle", PIVOT_ROWS, rows.groupBy("pivot").agg(F.count("*").alias("n")))
+    known = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(sets.select("cls", "sketch"), "cls").select("pivot", "salt", "shingle", "cls", "size", "place", F.coalesce("label", "cls").alias("label"), "sketch")
 
-    def pair(members: np.ndarray, label: np.ndarray, pairs: list[np.ndarray]) -> bool:
+    def pair(members: np.ndarray, label: np.ndarray, sketches: np.ndarray, pairs: list[np.ndarray]) -> bool:
         names, group, counts = np.unique(label, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return False
         # every pair across components has an end outside the largest
         largest = int(counts.argmax())
         order = _rank(members["cls"], turn)
+        # only sets of similar size can be linked
+        by_size = np.argsort(members["size"], kind="stable")
+        sizes = members["size"][by_size].astype(np.int64)
         for i in np.flatnonzero(group != largest).tolist():
-            others = np.flatnonzero((group != group[i]) & ((group == largest) | (members["cls"] > members["cls"][i])) if tries is None else group != group[i])
+            n = int(members["size"][i])
+            near = by_size[np.searchsorted(sizes, -(-3 * n // 4)) : np.searchsorted(sizes, 4 * n // 3, "right")]
+            others = near[(group[near] != group[i]) & ((group[near] == largest) | (near > i))] if tries is None else near[group[near] != group[i]]
             if tries is not None and len(others) > tries:
                 others = others[np.argpartition(order[others] ^ order[i], tries)[:tries]]
-            pairs.append(_against(members, i, others))
+            pairs.append(_against(members, i, others, sketches))
         return True
 
     def run(batches):
         pairs: list[np.ndarray] = []
         kept: list[tuple[int, bytes]] = []
         held: list[list[np.ndarray]] = []
+        raw: list[list[bytes]] = []
 
         def close():
             if held:
-                _, shingle, cls, size, place, label = (np.concatenate(x) for x in zip(*held, strict=True))
+                _, _, shingle, cls, size, place, label = (np.concatenate(x) for x in zip(*held, strict=True))
                 m = np.empty(len(cls), dtype=_POSTING)
                 m["shingle"], m["cls"], m["size"], m["place"] = shingle.view(np.uint64), cls, size, place
+                sketches = np.frombuffer(b"".join(x for part in raw for x in part), dtype=np.uint8).reshape(len(m), RANGES)
                 order = np.argsort(cls, kind="stable")
-                if pair(m[order], label[order], pairs) and tries is not None:
+                if pair(m[order], label[order], sketches[order], pairs) and tries is not None:
                     kept.append((int(shingle[0]), m[order].tobytes()))
                 held.clear()
+                raw.clear()
                 if sum(map(len, pairs)) > 1 << 20:
                     pairs[:] = [np.unique(np.concatenate(pairs), axis=0)]
 
         before = None
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            cuts = [0, *(np.flatnonzero(columns[1][1:] != columns[1][:-1]) + 1).tolist(), batch.num_rows]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            sketch = batch.column(7).to_pylist()
+            cuts = [0, *(np.flatnonzero(columns[2][1:] != columns[2][:-1]) + 1).tolist(), batch.num_rows]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 if y > x:
-                    here = int(columns[0][x]), int(columns[1][x])
+                    here = int(columns[0][x]), int(columns[2][x])
                     if before is not None and here != before:
                         close()
                         if here[0] != before[0]:
@@ -361,10 +414,11 @@ def more_candidates(lists: DataFrame, labels: DataFrame, turn: int, tries: int |
                             pairs, kept = [], []
                     before = here
                     held.append([c[x:y] for c in columns])
+                    raw.append(sketch[x:y])
         close()
         yield from _found(np.unique(np.concatenate(pairs), axis=0) if pairs else None, None, kept)
 
-    return known.repartition(partitions, "pivot").sortWithinPartitions("pivot", "shingle").mapInArrow(run, _FOUND)
+    return known.repartition(partitions, "pivot", "salt").sortWithinPartitions("pivot", "salt", "shingle").mapInArrow(run, _FOUND)
 
 
 def bitmap(keys: DataFrame, count: int) -> tuple[int, Broadcast]:
@@ -390,7 +444,7 @@ def bitmap(keys: DataFrame, count: int) -> tuple[int, Broadcast]:
 
 
 def sets_of(documents: DataFrame, bits: int, wanted: Broadcast, seed: int = 0) -> DataFrame:
-    """(cls, shingles) of the texts whose hash is in the bitmap, a class once."""
+    """(cls, shingles, sketch) of the texts whose hash is in the bitmap, a class once."""
 
     def run(batches):
         known = np.frombuffer(wanted.value, dtype=np.uint8)
@@ -406,17 +460,17 @@ def sets_of(documents: DataFrame, bits: int, wanted: Broadcast, seed: int = 0) -
             for shingles in wordhash.shingle_sets(texts, WIDTH):
                 if len(shingles) and (cls := _classes(shingles, seed)[0]) not in seen:
                     seen.add(cls)
-                    out[cls] = shingles.tobytes()
-            yield record(cls=(list(out), pa.int64()), shingles=(list(out.values()), pa.binary()))
+                    out[cls] = shingles.tobytes(), _sketch(shingles)
+            yield record(cls=(list(out), pa.int64()), shingles=([x for x, _ in out.values()], pa.binary()), sketch=([x for _, x in out.values()], pa.binary()))
 
-    return documents.select(F.col("text").cast("string")).mapInArrow(run, "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    return documents.select(F.col("text").cast("string")).mapInArrow(run, "cls long, shingles binary, sketch binary").groupBy("cls").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets are; the suffix filter goes before the exact count."""
     least = needed(len(a), len(b))
     if min(len(a), len(b)) < least:
         return False
-    # suffix filter: what two sets share within a hash range is bounded by the smaller count there
     cuts = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
     in_a = np.diff(np.concatenate(([0], np.searchsorted(a, cuts), [len(a)])))
     in_b = np.diff(np.concatenate(([0], np.searchsorted(b, cuts), [len(b)])))
@@ -427,25 +481,37 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
-    with_b = pairs.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "b", "shingles")
-    pivots = sets.withColumnRenamed("cls", "a").join(pairs.select("a").distinct(), "a", "left_semi").select("a", F.lit(None).cast("long").alias("b"), "shingles")
+    """The pairs (a, b) whose sets are linked.
+
+    A class with more than PARTNERS partners stands on the left and is dealt,
+    with a copy of its set each, over as many tasks as it needs.
+    """
+    ends = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS)
+    ends = stored(ends, "heavy")
+    few = ends.count() <= BROADCAST_IDS
+    hint = F.broadcast if few else (lambda df: df)
+    both = pairs.join(hint(ends.select(F.col("cls").alias("a"), F.col("n").alias("na"))), "a", "left").join(hint(ends.select(F.col("cls").alias("b"), F.col("n").alias("nb"))), "b", "left")
+    turned = F.coalesce("nb", F.lit(0)) > F.coalesce("na", F.lit(0))
+    both = both.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), F.ceil(F.greatest(F.coalesce("na", F.lit(0)), F.coalesce("nb", F.lit(0))) / PARTNERS).cast("int").alias("parts"))
+    both = both.select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.nullif("parts", F.lit(0))), F.lit(0)).cast("int").alias("salt"))
+    with_b = both.join(sets.select(F.col("cls").alias("b"), "shingles"), "b").select("a", "salt", "b", "shingles")
+    pivots = both.select("a", "salt").distinct().join(sets.select(F.col("cls").alias("a"), "shingles"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
 
     def run(batches):
         current, own = None, None
         for batch in pieces(batches, 512):
             out = []
-            for a, b, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for a, salt, b, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 other = np.frombuffer(raw, dtype=np.uint64)
                 if b is None:
-                    current, own = a, other
-                elif a != current:
+                    current, own = (a, salt), other
+                elif (a, salt) != current:
                     raise ValueError("a candidate's set is missing")
                 elif _linked(own, other):
                     out.append((a, b))
             yield record(a=([x for x, _ in out], pa.int64()), b=([y for _, y in out], pa.int64()))
 
-    return with_b.unionByName(pivots).repartition(partitions, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    return with_b.unionByName(pivots).repartition(partitions, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
 def _joined_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,7 +545,7 @@ def connected(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c, level=level: F.struct(F.xxhash64(F.lit(level), F.col(c)).alias("rank"), F.col(c).alias("node"))
         hooked = stored(both.groupBy("a").agg(F.min(rank("b")).alias("near")).select(F.col("a").alias("node"), F.least(F.col("near"), rank("a"))["node"].alias("label")), "hooked")
-        labels = hooked if labels is None else _moved(labels, hooked)
+        labels = hooked if labels is None else stored(_moved(labels, hooked), "moved")
         a = hooked.select(F.col("node").alias("a"), F.col("label").alias("la"))
         b = hooked.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         edges = stored(edges.join(a, "a").join(b, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "contracted")
@@ -511,10 +577,15 @@ def components(documents: DataFrame) -> DataFrame:
             break
     else:
         raise RuntimeError("sets keep colliding")
-    labels = _labels(documents, both.where("slice IS NOT NULL").select("slice", "counters"), classes, seed)
-    if labels is None:
+    spark, path = documents.sparkSession, new_path(documents.sparkSession, "labels")
+    with scratch(spark):
+        found = _labels(documents, both.where("slice IS NOT NULL").select("slice", "counters"), classes, seed)
+        if found is not None:
+            found.write.parquet(path)
+    if found is None:
         named = classes.select("cls", F.col("doc_id").alias("component_id"))
     else:
+        labels = spark.read.schema("node long, label long").parquet(path)
         own = classes.select("cls", "doc_id").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
         least = own.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         named = own.join(least, "label").select("cls", "component_id")
@@ -559,7 +630,10 @@ def _labels(documents: DataFrame, counters: DataFrame, classes: DataFrame, seed:
             break
         tested.append(pairs)
         now = documents.sparkSession.createDataFrame([], "node long, label long") if labels is None else labels
-        found = stored(more_candidates(lists, now, turn, tries, partitions), "candidates")
+        lists = stored(_open_lists(lists, now), "open")
+        if lists.isEmpty():
+            break
+        found = stored(more_candidates(lists, now, sets, turn, tries, partitions), "candidates")
         pairs = stored(found.where("a IS NOT NULL").select("a", "b").distinct().join(_union(tested), ["a", "b"], "left_anti"), "pairs")
         lists = found.where("shingle IS NOT NULL").select("shingle", "members")
     return labels

@@ -95,3 +95,46 @@ def test_drop(spark):
     out = jaccard_join.drop_near_duplicates(docs)
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 1, 3, 4, 5]
+
+
+def test_dealt_pivots(spark, monkeypatch):
+    """The same components where every longer list and every class with partners is dealt over several tasks."""
+    monkeypatch.setattr(jaccard_join, "PIVOT_ROWS", 20)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 3)
+    check(documents(spark, varied(7, 3, 50, 4)))
+
+
+def shared_lines(n, seed=1):
+    rng = random.Random(seed)
+    lines = [" ".join(f"w{rng.randrange(5000)}" for _ in range(12)) for _ in range(24)]
+    return [" ".join(rng.sample(lines, rng.randrange(8, 15))) for _ in range(n)]
+
+
+def test_shared_lines_give_few_pairs(spark, monkeypatch):
+    """Texts made of the same lines share many shingles and are not linked: pairs stay in proportion to the texts."""
+    asked, verify = [], jaccard_join.verify
+    monkeypatch.setattr(jaccard_join, "verify", lambda pairs, *rest: asked.append(pairs.count()) or verify(pairs, *rest))
+    given = {}
+    for n in (300, 1200):
+        asked.clear()
+        df = documents(spark, shared_lines(n))
+        if n == 300:
+            check(df)
+        else:
+            assert jaccard_join.components(df).where("doc_id <> component_id").count() < n / 100
+        given[n] = sum(asked)
+    # of 719,400 pairs
+    assert given[1200] < 10 * 1200
+
+
+def test_sketches_bound_the_intersection():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (5, 300, 70_000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**63, n // 2).astype(np.uint64) * np.uint64(2) + np.uint64(1)]))
+        one, other = (np.frombuffer(jaccard_join._sketch(x), dtype=np.uint8) for x in (a, b))
+        both = len(np.intersect1d(a, b))
+        assert jaccard_join._may_share(one, other[None], np.array([both]))[0]
+        assert n == 70_000 or not jaccard_join._may_share(one, other[None], np.array([n + 1]))[0]
