@@ -49,9 +49,10 @@ class _Kept(dict):
 class PieceCounter:
     """Numbers of tokens by a sentencepiece BPE model, whole texts.
 
-    A piece of the vocabulary holds the word mark at its start only, so merges
-    never cross from a word into the next word's mark; if the vocabulary did
-    not have this property, whole texts would be encoded.
+    Where each piece of the vocabulary has word marks at its start only, and
+    spaces are kept and marked by the model, merges never cross from a word into
+    the next word's mark: a text's count is that of its words, each with the spaces
+    before it. Otherwise whole texts are encoded.
     """
 
     def __init__(self, file: str):
@@ -59,8 +60,11 @@ class PieceCounter:
 
         self._model = model = sentencepiece.SentencePieceProcessor(model_file=file)
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_control(i)]
-        self.by_word = all("▁" not in p.lstrip("▁") for p in pieces) and model.encode(" a", out_type=str)[:1] == ["▁▁"] or not pieces
-        self._kept = _Kept(lambda piece: len(model.encode(piece)))
+        # a model that drops spaces, or puts no mark before a text, is asked for whole texts
+        marked = all("".join(model.encode(t, out_type=str)) == "▁" + t.replace(" ", "▁") for t in ("a", " a", "a  b", "a "))
+        self.by_word = marked and "▁" in pieces and all("▁" not in p.lstrip("▁") for p in pieces)
+        # the empty word after one space is the mark alone
+        self._kept = _Kept(lambda piece: len(model.encode(piece)) if piece else 1)
 
     def count(self, text: str) -> int:
         if not text:

@@ -1,5 +1,6 @@
 """Token counts and packing against the libraries on whole texts."""
 
+import random
 import zlib
 
 import public_tokenizers
@@ -62,6 +63,44 @@ def test_cache(spark, tmp_path, pieces):
     assert token_counts.count_tokens(docs.limit(0), cache).count() == 0
 
 
+def test_filled_cache_shuffles_no_text(spark, tmp_path, pieces):
+    cache = str(tmp_path / "cache")
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "ß", "x"]) + str(i) for _ in range(400)) for i in range(60)]
+    docs = documents(spark, texts + texts[:20])
+    want = sorted((i, len(pieces.encode(t))) for i, t in enumerate(texts + texts[:20]))
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(docs, cache).collect()) == want
+
+    def written():
+        jvm = spark.sparkContext._jsc.sc().statusStore()
+        stages = jvm.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(docs, cache).collect()) == want
+    # 80 rows of keys against 160 kB of texts
+    assert written() - before < 40_000
+
+
+def test_heavy_texts(spark, tmp_path, monkeypatch, pieces):
+    monkeypatch.setattr(token_counts, "HEAVY", 3)
+    docs = documents(spark, ["one text"] * 9 + ["another one"] * 2 + [None] * 5)
+    docs = docs.unionByName(docs.where("doc_id < 2")).unionByName(awkward(spark))
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(docs, str(tmp_path / "c")).collect()))
+    assert got == sorted(((r["doc_id"] is None, r["doc_id"] or 0, len((r["text"] or "").encode()), len(pieces.encode(r["text"] or ""))) for r in docs.collect()))
+
+
+def test_many_strings(pieces):
+    """40,000 awkward strings, by words and whole."""
+    rng = random.Random(6)
+    parts = [" ", "  ", "\t", "\n", "▁", "a", "the", "ing", "</s>", "<s>", "[INST]", "<unk>", "<0x0A>", "é", "ß", "ﬁ", "😀", "\u3000", "\u00a0", "\u200b", "\x00", "\x7f", "1", "12", "...", "'s", "A", "Ω", "中", "़", "\u0301", "\ufeff", "\r\n", "tokenization", "   x"]
+    counter = tokenizers_.piece_counter(PIECE)
+    assert counter.by_word
+    for _ in range(40_000):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 12)))
+        assert counter.count(text) == len(pieces.encode(text)), text
+
+
 def test_packing(spark, word_model):
     docs = awkward(spark)
     rows = packing.pack(docs).collect()
