@@ -60,7 +60,7 @@ SLICE = 1 << 16
 #: Posting lists up to this many classes give all their pairs at once.
 SMALL = 12
 #: Members of other components that a class of a longer list tries in each turn; None: all.
-TRIES = (8, 64, None)
+TRIES = (8, None)
 BITMAP_BITS = 1 << 27
 #: Postings packed before blocks go out, and bytes of them for a task.
 PACKED = 1 << 19
