@@ -8,12 +8,15 @@ WARC file in a row of a Parquet table in the shared folder, so commits,
 retries and stores are Spark's business (``export`` writes the files).
 
 Reading: each segment is walked record by record, bodies are digested anew and
-compared with their headers, and its index lines are sorted: a local run.
+compared with their headers, and the index lines of a task's segments are
+merged into one sorted run.
 
-Index: runs are dealt out by ranges of (URL key, time, id), a hot URL's history
-over as many ranges as it needs, and each range merges its k runs with a loser
-tree, so the table in partition order is the global capture history. Runs
-arrive as blocks of lines whose order was kept.
+Index: the lines are dealt into ranges of (URL key, time, id) of about
+``RANGE_LINES`` lines, so a hot URL's history lies over as many ranges as it
+needs; borders come from a bounded sample of all lines. Runs are cut at the
+borders into blocks, blocks are ordered by range, and each range merges its k
+blocks with a loser tree: lines are never sorted again, and the table in
+partition order is the global capture history. A task holds one range.
 
 Defined results: null html is an empty payload; a null URL has the empty key;
 null ids sort first and cannot be referred to: rows without an id are responses;
@@ -23,6 +26,7 @@ table without rows gives no records.
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import hashlib
 import zlib
@@ -38,8 +42,16 @@ from corvane.storage import stored, table
 
 REVISIT_BYTES = 100
 SEGMENT_BYTES = 4 << 20
-#: Lines of a run that are held at once while it is merged.
+#: Lines of a block that are Python rows at once while it is merged.
 BLOCK_LINES = 4096
+#: Lines of a range, ranges at most (beyond, ranges are larger), and lines at most that are looked at to find the borders, 50 a range.
+RANGE_LINES = 10_000
+RANGES = 20_000
+SAMPLED = 100_000
+#: Repeated payloads whose first records are broadcast.
+BROADCAST_ROWS = 500_000
+#: Stored bytes that a decompressor is given at once.
+SLICE = 1 << 16
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 
 SEGMENTS = "segment string, warc binary"
@@ -79,11 +91,15 @@ def records(warc: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """(offset, stored bytes, headers, body) of each member; raises on anything else."""
     at, view = 0, memoryview(warc)
     while at < len(warc):
-        member = zlib.decompressobj(31)
-        raw = member.decompress(view[at:])
+        member, parts, end = zlib.decompressobj(31), [], at
+        # bounded slices: what a member leaves unused is copied
+        while not member.eof and end < len(warc):
+            parts.append(member.decompress(view[end : end + SLICE]))
+            end = min(end + SLICE, len(warc))
         if not member.eof:
             raise ValueError(f"cut-off record at {at}")
-        size = len(warc) - at - len(member.unused_data)
+        raw = b"".join(parts)
+        size = end - at - len(member.unused_data)
         head, _, rest = raw.partition(b"\r\n\r\n")
         first, *lines = head.decode().split("\r\n")
         if not first.startswith("WARC/"):
@@ -163,12 +179,17 @@ class LoserTree:
 
 
 def with_references(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, size and refers_to (null for responses)."""
+    """page_id, url, html, digest, size and refers_to (null for responses).
+
+    Repeated payloads are found by digest alone; pages are shuffled only where
+    more than BROADCAST_ROWS payloads repeat.
+    """
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.select("*", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("size"))
     first = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
+    first = stored(first, "warc-first")
     refers = F.when((F.col("size") >= REVISIT_BYTES) & (F.col("page_id") != F.col("first_id")), F.col("first_id"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", "size", refers.alias("refers_to"))
+    return rows.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "digest", "left").select("page_id", "url", "html", "digest", "size", refers.alias("refers_to"))
 
 
 def write(pages: DataFrame) -> DataFrame:
@@ -199,51 +220,113 @@ def _segment(held: list[bytes]) -> pa.RecordBatch:
     return record(segment=([hashlib.sha256(whole).hexdigest()[:32]], pa.string()), warc=([whole], pa.binary()))
 
 
-def index(segments: DataFrame) -> DataFrame:
-    """The capture history in global order of (URL key, time, id), see INDEX."""
+def sorted_runs(segments: DataFrame) -> DataFrame:
+    """The index lines with ``run``; a run's lines are in order and stand together. Stored."""
 
     def runs(batches):
-        for batch in batches:
-            for segment, warc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield _lines(run_of(segment, warc))
+        held = [run_of(segment, warc) for batch in batches for segment, warc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        lines = LoserTree(held)
+        # the name follows from the content, so a second attempt gives the same run
+        name = hashlib.sha256("".join(sorted(x[0][3] for x in held if x)).encode()).hexdigest()[:32]
+        for part in _parts(lines, 8192):
+            yield _lines(part, run=name)
 
-    lines = stored(segments.mapInArrow(runs, INDEX), "warc-runs")
-    # ranges are sampled over all lines; within a range, the lines of a run stand together, in order
-    ranged = lines.repartitionByRange("url_key", "captured", F.col("page_id").asc_nulls_first(), "segment", "offset")
-    keyed = ranged.sortWithinPartitions("segment", "url_key", "captured", F.col("page_id").asc_nulls_first(), "offset")
+    return stored(segments.mapInArrow(runs, f"{INDEX}, run string"), "warc-runs")
 
-    def merge(batches):
-        held: dict[str, list[pa.RecordBatch]] = {}
+
+def _parts(lines: Iterable[tuple], size: int) -> Iterator[list[tuple]]:
+    out: list[tuple] = []
+    for line in lines:
+        out.append(line)
+        if len(out) >= size:
+            yield out
+            out = []
+    if out:
+        yield out
+
+
+def borders(lines: DataFrame, size: int = RANGE_LINES) -> list[tuple]:
+    """Keys that part all lines into ranges of about ``size`` lines."""
+    n = lines.count()
+    ranges = min(RANGES, -(-n // size))
+    if ranges < 2:
+        return []
+    columns, wanted = [c for c, _ in _LINE], min(SAMPLED, 50 * ranges)
+    sample = lines if n <= wanted else lines.where(F.pmod(F.xxhash64("segment", "offset"), F.lit(n)) < wanted)
+    keys = sorted(_order(tuple(r)) for r in sample.select(*columns).collect())
+    return sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)}) if keys else []
+
+
+BLOCKS = "range int, block binary"
+
+
+def blocks(lines: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """Runs cut at the borders: packed lines of one run in one range."""
+    shared = lines.sparkSession.sparkContext.broadcast(cuts)
+
+    def run(batches):
+        known = shared.value
+        held: list[pa.RecordBatch] = []
+        where: tuple[int, str] | None = None
         for batch in batches:
-            names = batch.column(3).to_pylist()
+            names, rows = batch.column(len(_LINE)).to_pylist(), batch.select([c for c, _ in _LINE])
+            places = [bisect.bisect_right(known, _order(x)) for x in zip(*(c.to_pylist() for c in rows.columns), strict=True)]
             start = 0
             for i in range(1, len(names) + 1):
-                if i == len(names) or names[i] != names[start]:
-                    held.setdefault(names[start], []).append(batch.slice(start, i - start))
+                if i == len(names) or (places[i], names[i]) != (places[start], names[start]):
+                    if where is not None and where != (places[start], names[start]):
+                        yield record(range=([where[0]], pa.int32()), block=([_packed(held)], pa.binary()))
+                        held = []
+                    where = places[start], names[start]
+                    held.append(rows.slice(start, i - start))
                     start = i
-        # runs stay Arrow columns; only BLOCK_LINES of each are Python rows at a time
-        out: list[tuple] = []
-        for line in LoserTree([_read(blocks) for blocks in held.values()]):
-            out.append(line)
-            if len(out) >= 8192:
-                yield _lines(out)
-                out = []
-        if out:
-            yield _lines(out)
+        if held:
+            yield record(range=([where[0]], pa.int32()), block=([_packed(held)], pa.binary()))
+
+    return lines.select(*(c for c, _ in _LINE), "run").mapInArrow(run, BLOCKS)
+
+
+def _packed(parts: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for part in parts:
+            for start in range(0, part.num_rows, BLOCK_LINES):
+                out.write_batch(part.slice(start, BLOCK_LINES))
+    return sink.getvalue().to_pybytes()
+
 
-    return keyed.mapInArrow(merge, INDEX)
+def _read(block: bytes) -> Iterator[tuple]:
+    for part in pa.ipc.open_stream(block):
+        yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
-def _read(blocks: list[pa.RecordBatch]) -> Iterator[tuple]:
-    for block in blocks:
-        for start in range(0, block.num_rows, BLOCK_LINES):
-            part = block.slice(start, BLOCK_LINES)
-            yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+def index(segments: DataFrame, size: int = RANGE_LINES) -> DataFrame:
+    """The capture history in global order of (URL key, time, id), see INDEX."""
+    lines = sorted_runs(segments)
+    cuts = borders(lines, size)
+    cut = stored(blocks(lines, cuts), "warc-blocks")
+
+    def merge(batches):
+        held: list[bytes] = []
+        current: int | None = None
+        for batch in batches:
+            for number, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and number != current:
+                    for part in _parts(LoserTree([_read(x) for x in held]), 8192):
+                        yield _lines(part)
+                    held = []
+                current = number
+                held.append(block)
+        for part in _parts(LoserTree([_read(x) for x in held]), 8192):
+            yield _lines(part)
+
+    return cut.repartitionByRange(len(cuts) + 1, "range").sortWithinPartitions("range").mapInArrow(merge, INDEX)
 
 
-def _lines(lines: list[tuple]) -> pa.RecordBatch:
+def _lines(lines: list[tuple], run: str | None = None) -> pa.RecordBatch:
     columns = list(zip(*lines, strict=True)) if lines else [[]] * len(_LINE)
-    return record(**{name: (list(values), kind) for (name, kind), values in zip(_LINE, columns, strict=True)})
+    more = {} if run is None else {"run": ([run] * len(lines), pa.string())}
+    return record(**{name: (list(values), kind) for (name, kind), values in zip(_LINE, columns, strict=True)}, **more)
 
 
 def fetch(segments: DataFrame, segment: str, offset: int) -> tuple[dict[str, str], bytes]:

@@ -142,6 +142,40 @@ def test_warc(spark):
     assert warc.report(warc.index(warc.write(pages(spark).limit(0)))).count() == 0
 
 
+def test_warc_runs_and_ranges(spark):
+    rng = random.Random(8)
+    urls = ["http://hot.org/page"] * 150 + [f"http://h{rng.randrange(30)}.org/{rng.randrange(9)}" for _ in range(150)]
+    rows = [(i, u, "page " * rng.randrange(60)) for i, u in enumerate(rng.sample(urls, 300))]
+    segments = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5))
+    assert segments.count() > 1
+    whole = [tuple(r) for r in warc.index(segments).collect()]
+    assert [warc._order(x) for x in whole] == sorted(warc._order(x) for x in whole) and len(whole) == 300
+    lines = warc.sorted_runs(segments)
+    assert lines.select("run").distinct().count() > 1
+    for size in (1, 7, 100):
+        cuts = warc.borders(lines, size)
+        assert len(cuts) >= min(280, 300 // size - 1)
+        # the hot address lies in several ranges, each merged by itself, all in order
+        parts = warc.index(segments, size)
+        assert [tuple(r) for r in parts.collect()] == whole
+    assert warc.borders(lines.limit(0), 5) == [] == warc.borders(lines, 300)
+
+
+def test_warc_reading_is_linear():
+    import time
+
+    one = warc.warc_record(1, "http://a", "2024-01-01T00:00:00Z", b"body" * 500, hashlib.sha256(b"body" * 500).hexdigest(), 2000, None)
+
+    def took(n):
+        started = time.perf_counter()
+        assert sum(1 for _ in warc.records(one * n)) == n
+        return time.perf_counter() - started
+
+    assert min(took(8000) for _ in range(3)) < 24 * max(0.001, min(took(1000) for _ in range(3)))
+    big = warc.warc_record(2, "http://b", "2024-01-01T00:00:00Z", rng_bytes := random.Random(1).randbytes(300_000), hashlib.sha256(rng_bytes).hexdigest(), 300_000, None)
+    assert [len(body) for _, _, _, body in warc.records(one + big + one)] == [2000, 300_000, 2000]
+
+
 def test_warc_export(spark, tmp_path):
     import gzip
 
