@@ -5,11 +5,13 @@ payload's size, a frame with a variable-bitrate table (frame and byte counts
 and 100 seek points), then CRC-protected frames whose bodies hold the payload
 bytes, the last of a smaller bitrate where that is enough.
 
-``read`` works on any bytes: it parses ID3v2 and ID3v1 tags, resynchronises on
-frame headers (a header counts only if the next one follows where it says, or
-the stream ends there), parses variable-bitrate tables, verifies the CRC of
-each protected frame, and gives exact durations (samples over rate) and the
-byte offset of every audio frame. Junk between frames is skipped and counted.
+``read`` works on any bytes: it parses ID3v2 (2.2 to 2.4, with extended headers,
+unsynchronised and compressed frames; encrypted ones are passed over) and ID3v1
+tags, resynchronises on frame headers (a header counts only if the next one
+follows where it says, or the stream ends there), parses variable-bitrate tables
+(Xing, Info and VBRI), verifies the CRC of each protected frame of any layer, and
+gives exact durations (samples over rate) and the byte offset of every audio
+frame. Junk between frames is skipped and counted.
 
 Defined results: a null or empty payload is 64 zero bytes; equal texts give
 equal values; bytes without a frame have none and duration 0; cut-off last
@@ -51,6 +53,10 @@ RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8
 SIDE = {(True, False): 32, (True, True): 17, (False, False): 17, (False, True): 9}
 
 
+#: Layer II: bits of an allocation by subband, as (subbands, bits) from the lowest; by table.
+ALLOCATED = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "low": ((4, 4), (7, 3), (19, 2))}
+
+
 @dataclass(frozen=True)
 class Header:
     version: int
@@ -61,6 +67,8 @@ class Header:
     mono: bool
     size: int
     samples: int
+    #: The subband from which joint stereo shares its allocation; 32: none does.
+    bound: int = 32
 
     @property
     def side(self) -> int:
@@ -87,7 +95,8 @@ def header(word: bytes) -> Header | None:
     else:
         samples = 576 if layer == 3 and version == 2 else 1152
         size = samples // 8 * kbps * 1000 // hertz + pad
-    return Header(version, layer, not word[1] & 1, kbps, hertz, word[3] >> 6 == 3, size, samples)
+    bound = 4 * (1 + (word[3] >> 4 & 3)) if word[3] >> 6 == 1 else 32
+    return Header(version, layer, not word[1] & 1, kbps, hertz, word[3] >> 6 == 3, size, samples, bound)
 
 
 def _table() -> list[int]:
@@ -112,6 +121,44 @@ def crc16(data: bytes) -> int:
     return x
 
 
+def _crc_bits(head: bytes, data: bytes, bits: int) -> int:
+    """CRC-16 over the header's last two bytes and so many bits of what follows the checksum."""
+    x = crc16(head + data[: bits // 8])
+    for k in range(bits % 8):
+        top = x >> 15 ^ data[bits // 8] >> 7 - k & 1
+        x = (x << 1 ^ 0x8005 * top) & 0xFFFF
+    return x
+
+
+def covered(h: Header, data: bytes) -> int:
+    """How many bits after the checksum it covers: side information, or allocations and, in Layer II, scale factor selections."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels = 1 if h.mono else 2
+    if h.layer == 1:
+        return 4 * (32 if h.mono else h.bound * 2 + 32 - h.bound)
+    each = h.kbps // channels
+    if h.version == 2:
+        name = "low"
+    elif each <= 48:
+        name = "d" if h.rate == 32000 else "c"
+    else:
+        name = "a" if each <= 80 or h.rate == 48000 else "b"
+    at = selected = 0
+    value, n = int.from_bytes(data, "big"), 8 * len(data)
+    for band, width in enumerate(w for count, w in ALLOCATED[name] for _ in range(count)):
+        own = channels if band < h.bound else 1
+        for _ in range(own):
+            if at + width <= n and value >> n - at - width & (1 << width) - 1:
+                selected += channels // own
+            at += width
+    return at + 2 * selected
+
+
+#: Bytes that a Layer II checksum can cover at most.
+_MOST_COVERED = 64
+
+
 def _frame(index: int, body: bytes) -> bytes:
     """A protected stereo frame at 32 kHz of BITRATES[1, 3][index - 1], its body zero-padded."""
     word = bytes((0xFF, 0xFA, index << 4 | 0x08, 0x00))
@@ -181,29 +228,96 @@ class Audio:
         return self.offsets[int(seconds * self.rate) // (self.samples // self.frames)]
 
 
+def _synced(data: bytes) -> bytes:
+    return data.replace(b"\xff\0", b"\xff")
+
+
+def _number(raw: bytes, bits: int = 8) -> int:
+    value = 0
+    for b in raw:
+        value = value << bits | b & (1 << bits) - 1
+    return value
+
+
+def _content(major: int, flags: int, body: bytes, unsynced: bool) -> bytes | None:
+    """A frame's content by its format flags; None if it is encrypted or damaged."""
+    if major == 3:
+        if flags & 0x40:
+            return None
+        skip = 4 * bool(flags & 0x80) + bool(flags & 0x20)
+        packed = flags & 0x80
+    else:
+        if flags & 0x04:
+            return None
+        if flags & 0x02 or unsynced:
+            body = _synced(body)
+        skip = bool(flags & 0x40) + 4 * bool(flags & 0x01)
+        packed = flags & 0x08
+    body = body[skip:]
+    if packed:
+        try:
+            return zlib.decompressobj().decompress(body, 1 << 24)
+        except zlib.error:
+            return None
+    return body
+
+
+def _tag(major: int, flags: int, body: bytes) -> dict[str, str]:
+    """Text frames of one ID3v2 tag."""
+    found: dict[str, str] = {}
+    if flags & 0x80 and major < 4:
+        body = _synced(body)
+    p = 0
+    if major >= 3 and flags & 0x40:
+        # 2.3 counts the extended header without its size, 2.4 with it
+        p = 4 + _number(body[:4]) if major == 3 else _number(body[:4], 7)
+    named, head = (3, 6) if major == 2 else (4, 10)
+    while p + head <= len(body) and body[p]:
+        name = body[p : p + named].decode("latin-1")
+        n = _number(body[p + named : p + 2 * named], 7 if major == 4 else 8)
+        raw = body[p + head : p + head + n]
+        p += head + n
+        content = raw if major == 2 else _content(major, body[p - n - 1], raw, bool(flags & 0x80))
+        if name[:1] == "T" and content:
+            text = content[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(content[0], "utf-8"), "replace").rstrip("\0")
+            if name in ("TXXX", "TXX"):
+                name, _, text = text.partition("\0")
+            found[name] = text
+    return found
+
+
 def _tags(data: bytes) -> tuple[dict[str, str], int]:
     """ID3v2 tags at the start and the place after them."""
     found: dict[str, str] = {}
     at = 0
     while data[at : at + 3] == b"ID3" and len(data) >= at + 10:
         major, flags = data[at + 3], data[at + 5]
-        size = sum((b & 127) << k for b, k in zip(data[at + 6 : at + 10], (21, 14, 7, 0), strict=True))
-        p, end = at + 10, min(at + 10 + size, len(data))
-        while major >= 3 and p + 10 <= end and data[p]:
-            name, raw = data[p : p + 4], data[p + 4 : p + 8]
-            n = sum((b & 127) << k for b, k in zip(raw, (21, 14, 7, 0), strict=True)) if major == 4 else int.from_bytes(raw, "big")
-            body = data[p + 10 : min(p + 10 + n, end)]
-            if name[:1] == b"T" and body:
-                text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace").rstrip("\0")
-                key = name.decode("latin-1")
-                if key == "TXXX":
-                    key, _, text = text.partition("\0")
-                found[key] = text
-            p += 10 + n
-        at = at + 10 + size + 10 * bool(flags & 0x10)
+        size = _number(data[at + 6 : at + 10], 7)
+        # 2.2 marks a compression by 0x40 that was never defined
+        if major in (3, 4) or major == 2 and not flags & 0x40:
+            found |= _tag(major, flags, data[at + 10 : at + 10 + size])
+        at = at + 10 + size + 10 * bool(major == 4 and flags & 0x10)
     return found, min(at, len(data))
 
 
+def _vbr(h: Header, data: bytes, at: int, start: int) -> tuple[int, int, bytes] | None:
+    """(frames, bytes, seek table) if the frame at ``at`` holds a variable-bitrate table; its body begins at ``start``."""
+    if h.layer != 3:
+        return None
+    if data[start : start + 4] in (b"Xing", b"Info"):
+        flags, p, values = int.from_bytes(data[start + 4 : start + 8], "big"), start + 8, [0, 0]
+        for k in (0, 1):
+            if flags >> k & 1:
+                values[k] = int.from_bytes(data[p : p + 4], "big")
+                p += 4
+        return values[0], values[1], data[p : p + 100] if flags & 4 else b""
+    p = at + 36
+    if data[p : p + 4] == b"VBRI" and p + 26 <= at + h.size:
+        _, _, _, size, frames, entries, _, width, _ = struct.unpack(">HHHIIHHHH", data[p + 4 : p + 26])
+        return frames, size, data[p + 26 : min(p + 26 + entries * width, at + h.size)]
+    return None
+
+
 def read(data: bytes) -> Audio:
     out = Audio()
     out.tags, at = _tags(data)
@@ -234,19 +348,14 @@ def read(data: bytes) -> Audio:
         start = at + 4
         if h.protected:
             start += 2
-            if h.layer == 3:
-                good = crc16(data[at + 2 : at + 4] + data[start : start + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
-                out.crc_good, out.crc_bad = out.crc_good + good, out.crc_bad + (not good)
+            body = data[start : min(start + (h.side or _MOST_COVERED), at + h.size)]
+            bits = covered(h, body)
+            good = bits <= 8 * len(body) and _crc_bits(data[at + 2 : at + 4], body, bits) == int.from_bytes(data[at + 4 : at + 6], "big")
+            out.crc_good, out.crc_bad = out.crc_good + good, out.crc_bad + (not good)
         start += h.side
-        mark = data[start : start + 4]
-        if stream is None and h.layer == 3 and mark in (b"Xing", b"Info"):
-            flags = int.from_bytes(data[start + 4 : start + 8], "big")
-            p, values = start + 8, [0, 0]
-            for k in (0, 1):
-                if flags >> k & 1:
-                    values[k] = int.from_bytes(data[p : p + 4], "big")
-                    p += 4
-            out.table = (values[0], values[1], data[p : p + 100] if flags & 4 else b"")
+        table_ = _vbr(h, data, at, start) if stream is None else None
+        if table_ is not None:
+            out.table = table_
         else:
             out.offsets.append(at)
             out.sizes.append(h.size)

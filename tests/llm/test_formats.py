@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -100,6 +101,130 @@ def test_audio_resynchronises():
     assert (h.version, h.layer, h.protected, h.kbps, h.rate, h.size, h.samples, h.side) == (2, 3, False, 64, 22050, 208, 576, 9)
 
 
+def bitwise_crc(bits):
+    x = 0xFFFF
+    for b in bits:
+        x = (x << 1 ^ (0x8005 if (x >> 15 & 1) ^ b else 0)) & 0xFFFF
+    return x
+
+
+def to_bits(data):
+    return [b >> 7 - k & 1 for b in data for k in range(8)]
+
+
+def protected(word, bits, more):
+    """A frame whose checksum covers ``bits``, followed by some more bits."""
+    size = mpeg_audio.header(word).size
+    body = bits + more
+    body += [0] * (-len(body) % 8)
+    raw = bytes(int("".join(map(str, body[k : k + 8])), 2) for k in range(0, len(body), 8))
+    return (word + bitwise_crc(to_bits(word[2:]) + bits).to_bytes(2, "big") + raw).ljust(size, b"\0")
+
+
+def test_audio_checksums_of_layers_one_and_two():
+    rng = random.Random(3)
+    flip = lambda data, at: data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :]
+    # Layer I: 4 bits for each subband and channel, shared from the bound on in joint stereo
+    for mode, count in ((0x00, 64), (0x40, 4 + 4 + 28), (0x70, 16 + 16 + 16), (0xC0, 32)):
+        word = bytes((0xFF, 0xFE, 0x90, mode))
+        bits = [rng.randrange(2) for _ in range(4 * count)]
+        data = protected(word, bits, [rng.randrange(2) for _ in range(100)]) * 3
+        found = mpeg_audio.read(data)
+        assert (found.frames, found.crc_good, found.crc_bad, found.rate) == (3, 3, 0, 44100)
+        assert mpeg_audio.read(flip(data, 10)).crc_bad == 1
+        # what follows is not covered
+        assert mpeg_audio.read(flip(data, 6 + len(bits) // 8 + 3)).crc_bad == 0
+    # Layer II: allocations by table, then two bits for each one that is not zero
+    tables = {"a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "low": [4] * 4 + [3] * 7 + [2] * 19}
+    # first byte after the sync, bitrate index and rate, mode, table: 44.1 kHz at 192, 64 (mono 32) and 160; 32 kHz at 64; 48 kHz at 384; 22.05 kHz
+    for second, third, mode, name in ((0xFC, 0xA0, 0x00, "b"), (0xFC, 0x10, 0xC0, "c"), (0xFC, 0x90, 0x40, "a"), (0xFC, 0x48, 0x00, "d"), (0xFC, 0xE4, 0x50, "a"), (0xF4, 0x80, 0x00, "low")):
+        for _ in range(5):
+            channels, bound = (1 if mode == 0xC0 else 2), (4 * (1 + (mode >> 4 & 3)) if mode >> 6 == 1 else 99)
+            bits, chosen = [], 0
+            for band, width in enumerate(tables[name]):
+                for _ in range(channels if band < bound else 1):
+                    value = rng.randrange(1 << width) * rng.randrange(2)
+                    bits += [value >> width - 1 - k & 1 for k in range(width)]
+                    chosen += (value > 0) * (1 if band < bound else channels)
+            bits += [rng.randrange(2) for _ in range(2 * chosen)]
+            data = protected(bytes((0xFF, second, third, mode)), bits, [rng.randrange(2) for _ in range(40)]) * 2
+            found = mpeg_audio.read(data)
+            assert (found.frames, found.crc_good, found.crc_bad) == (2, 2, 0), (name, mode)
+            assert mpeg_audio.read(flip(data, 4)).crc_bad == 1
+
+
+def text_frame(major, name, body, flags=b"\0\0"):
+    size = len(body).to_bytes(3 if major == 2 else 4, "big") if major < 4 else mpeg_audio._safe(len(body))
+    return name + size + (b"" if major == 2 else flags) + body
+
+
+def tagged(major, flags, body):
+    return b"ID3" + bytes((major, 0, flags)) + mpeg_audio._safe(len(body)) + body
+
+
+def test_audio_tags():
+    data = mpeg_audio.store(bytes(range(64)))
+    _, at = mpeg_audio._tags(data)
+    stream = data[at:]
+    title = b"\0Old title"
+    wide = b"\1" + "Ünï".encode("utf-16")
+    assert b"\xff" in wide
+    stuffed = lambda b: b.replace(b"\xff", b"\xff\0")
+    packed = zlib.compress(title)
+    cases = [
+        (tagged(2, 0, text_frame(2, b"TT2", title) + text_frame(2, b"TXX", b"\0mood\0calm")), {"TT2": "Old title", "mood": "calm"}),
+        (tagged(2, 0x80, stuffed(text_frame(2, b"TT2", wide))), {"TT2": "Ünï"}),
+        (tagged(2, 0x40, text_frame(2, b"TT2", title)), {}),
+        (tagged(3, 0x40, (6).to_bytes(4, "big") + bytes(6) + text_frame(3, b"TIT2", title)), {"TIT2": "Old title"}),
+        (tagged(3, 0x80, stuffed(text_frame(3, b"TIT2", wide) + text_frame(3, b"TALB", title))), {"TIT2": "Ünï", "TALB": "Old title"}),
+        (tagged(3, 0, text_frame(3, b"TIT2", len(title).to_bytes(4, "big") + packed, b"\0\x80") + text_frame(3, b"TALB", b"?" + title, b"\0\x20") + text_frame(3, b"TCOM", b"??", b"\0\x40")), {"TIT2": "Old title", "TALB": "Old title"}),
+        (tagged(4, 0x40, mpeg_audio._safe(6) + b"\1\0" + text_frame(4, b"TIT2", title)), {"TIT2": "Old title"}),
+        (tagged(4, 0x80, text_frame(4, b"TIT2", mpeg_audio._safe(len(wide)) + stuffed(wide), b"\0\x03")), {"TIT2": "Ünï"}),
+        (tagged(4, 0, text_frame(4, b"TIT2", mpeg_audio._safe(len(title)) + packed, b"\0\x09") + text_frame(4, b"TALB", b"xx", b"\0\x04") + text_frame(4, b"TCON", b"broken", b"\0\x08")), {"TIT2": "Old title"}),
+        (tagged(4, 0x10, text_frame(4, b"TIT2", title)) + b"3DI\4\0\x10" + bytes(4), {"TIT2": "Old title"}),
+    ]
+    for raw, want in cases:
+        found = mpeg_audio.read(raw + stream)
+        assert found.tags == want and found.frames == 1 and found.skipped == 0
+    # two tags in a row, and one that ends beyond the data
+    assert mpeg_audio.read(cases[0][0] + cases[3][0] + stream).tags == cases[0][1] | cases[3][1]
+    assert mpeg_audio.read(b"ID3\3\0\0" + mpeg_audio._safe(5000) + text_frame(3, b"TIT2", title)).tags == {"TIT2": "Old title"}
+
+
+def test_audio_vbri():
+    seek = bytes(range(1, 21))
+    table = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 2, 75, 123456, 789, 10, 1, 2, 50) + seek
+    word = bytes((0xFF, 0xFB, 0xE8, 0xC0))
+    size = mpeg_audio.header(word).size
+    data = (word + bytes(32) + table).ljust(size, b"\0") + (word.ljust(size, b"\0")) * 3
+    found = mpeg_audio.read(data)
+    assert found.table == (789, 123456, seek) and found.frames == 3 and found.offsets == [size, 2 * size, 3 * size]
+
+
+def naive_feature(data, content):
+    """The feature from the sizes of the format alone."""
+    padded = len(content) + (-len(content) % 64 or 0 if content else 64)
+    rate = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+    sizes = [144 * k * 1000 // 32000 for k in rate]
+    left, offsets, kbps = padded, [], []
+    at = len(data) - sum((lambda rest: [sizes[13]] * (rest // (sizes[13] - 38)) + ([next(x for x in sizes if x - 38 >= rest % (sizes[13] - 38))] if rest % (sizes[13] - 38) else []))(padded))
+    while left > 0:
+        k = next((i for i, x in enumerate(sizes) if x - 38 >= left), 13)
+        offsets.append(at)
+        kbps.append(rate[k])
+        at += sizes[k]
+        left -= sizes[k] - 38
+    n = len(offsets)
+    return f"frames={n};samples={1152 * n};rate=32000;us={36000 * n};kbps={min(kbps)}-{max(kbps)};crc={n + 1}/{n + 1};table={n};seek={zlib.crc32(struct.pack(f'<{n}Q', *offsets)):08x}"
+
+
+def test_audio_feature():
+    for n in (0, 1, 63, 64, 65, 1402, 5000, 70_000):
+        content = random.Random(n).randbytes(n)
+        data = mpeg_audio.store(mpeg_audio.padded(content), n)
+        assert mpeg_audio.feature(mpeg_audio.read(data)) == naive_feature(data, content)
+
+
 def test_audio_payload_like_a_tag():
     texts = [b"x" * 14 + b"TAG" + b"x" * 60, b"TAG" * 500, *(b"x" * k + b"TAG" + b"x" * (n - k) for n in (61, 2000) for k in range(n + 1))]
     for content in texts:
@@ -120,6 +245,12 @@ def test_audio_column(spark):
     rows = mpeg_audio.report(mpeg_audio.to_media(docs)).collect()
     want = sorted((r["doc_id"] is None, r["doc_id"] or 0, hashlib.sha256(mpeg_audio.padded((r["text"] or "").encode())).hexdigest(), zlib.crc32(mpeg_audio.padded((r["text"] or "").encode())[-64:])) for r in docs.collect())
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["payload_sha256"], r["tail_crc32"]) for r in rows) == want
+    of = {(r["payload_sha256"], r["n_bytes"]): r for r in rows}
+    for r in docs.collect():
+        content = (r["text"] or "").encode()
+        data = mpeg_audio.store(mpeg_audio.padded(content), len(content))
+        row = of[hashlib.sha256(mpeg_audio.padded(content)).hexdigest(), len(content)]
+        assert (row["media_bytes"], row["media_sha256"], row["feature"]) == (len(data), hashlib.sha256(data).hexdigest(), naive_feature(data, content))
     assert mpeg_audio.index_media(mpeg_audio.to_media(docs)).where("crc_bad > 0 or frames = 0").count() == 0
     assert mpeg_audio.report(mpeg_audio.to_media(docs.limit(0))).count() == 0
 
