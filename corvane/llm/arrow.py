@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of texts handed to a step at once.
 PIECE_BYTES = 8 << 20
@@ -44,5 +46,17 @@ def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
+def by_place(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | None = None) -> DataFrame:
+    """``mapInArrow`` over all columns, whatever their names: ``run`` sees and gives columns in order, without names."""
+    out = schema or df.schema
+    plain = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(out)])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=plain.names)
+
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(named, plain).toDF(*out.names)
+
+
 def record(**columns: tuple[list | pa.Array, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, kind) for v, kind in columns.values()], names=list(columns))

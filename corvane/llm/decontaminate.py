@@ -8,18 +8,20 @@ a window is hit.
 The item windows go to the executors as sorted 64-bit hashes with the words
 they stand for. Each broadcast holds at most ``BLOCK_WINDOWS`` windows; a
 larger benchmark is scanned block by block over the same documents, each block
-adding its hits, so the size of a broadcast is bounded and no window is left
-out. Every hash hit is verified against the window's words.
+adding its hits to a stored table, so one bounded broadcast is alive at a time and
+no window is left out. Every hash hit is verified against the window's words.
 
 Defined results: a null or empty text has no words and is clean; a null item
 text has no windows; repeated items count once per ``item_id``; an item with a
 null id marks words but is not listed; repeated documents give repeated rows;
-without items every document is clean.
+without items every document is clean. The documents' own columns stay as they
+are, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import wordhash
-from corvane.llm.arrow import as_bytes, pieces, record
-from corvane.storage import table
+from corvane.llm.arrow import as_bytes, by_place, pieces, record
+from corvane.storage import stored, table
 
 WIDTH = 13
 #: A document is contaminated if this share of its words, or more, is hit: 1 in 20.
@@ -110,7 +112,7 @@ def windows_of(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 def window_blocks(benchmark: DataFrame, width: int = WIDTH, limit: int = BLOCK_WINDOWS) -> Iterator[Broadcast]:
     """The windows of the benchmark in broadcasts of at most about ``limit`` windows."""
     spark = benchmark.sparkSession
-    rows = windows_of(benchmark, width)
+    rows = stored(windows_of(benchmark, width), "windows")
     blocks = -(-rows.count() // limit)
     for k in range(blocks):
         # one block at a time; the hash deals windows out evenly
@@ -149,39 +151,57 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_HITS = "n_words long, hits array<struct<first:long,last:long>>, items array<string>"
+def added(columns: list[str]) -> tuple[str, str, str]:
+    """Names of the columns that ``scan`` adds to these: words, hits and items."""
+    taken, tail = {c.lower() for c in columns}, ""
+    while taken & {f"__cv_{x}{tail}" for x in ("words", "hits", "items")}:
+        tail += "_"
+    return f"__cv_words{tail}", f"__cv_hits{tail}", f"__cv_items{tail}"
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, limit: int = BLOCK_WINDOWS) -> DataFrame:
-    """The documents' columns plus ``_words``, ``_hits`` (ranges of word numbers, last exclusive) and ``_items``."""
-    out = documents.withColumns({"__cv_words": F.lit(None).cast("long"), "__cv_hits": F.array().cast("array<struct<first:long,last:long>>"), "__cv_items": F.array().cast("array<string>")})
-    schema = out.schema
-    blocks = list(window_blocks(benchmark, width, limit)) or [documents.sparkSession.sparkContext.broadcast(Windows([]))]
-    for block in blocks:
+    """The documents' columns plus those named by ``added``: number of words, hits (ranges of word numbers, last exclusive) and items."""
+    n_words_, hits_, items_ = added(documents.columns)
+    out = documents.withColumns({n_words_: F.lit(None).cast("long"), hits_: F.array().cast("array<struct<first:long,last:long>>"), items_: F.array().cast("array<string>")})
+    spark = documents.sparkSession
+    at_text, at_hits, at_items = documents.columns.index("text"), len(documents.columns) + 1, len(documents.columns) + 2
+    last: Broadcast | None = None
+    for block in itertools.chain(window_blocks(benchmark, width, limit), [None]):
+        if block is None:
+            if last is not None:
+                break
+            block = spark.sparkContext.broadcast(Windows([]))
+        elif last is not None:
+            out = stored(out, "hits")
+            last.destroy()
 
         def run(batches, block=block):
             known = block.value
             for batch in pieces(batches):
-                names = batch.schema.names
-                before = [[(x["first"], x["last"]) for x in row] for row in batch.column(names.index("__cv_hits")).to_pylist()]
-                seen = batch.column(names.index("__cv_items")).to_pylist()
+                before = [[(x["first"], x["last"]) for x in row] for row in batch.column(at_hits).to_pylist()]
+                seen = batch.column(at_items).to_pylist()
                 n_words, hits, found = [], [], []
-                for k, (n, ranges, items, _, _) in enumerate(word_hits(as_bytes(batch.column(names.index("text"))), known)):
+                for k, (n, ranges, items, _, _) in enumerate(word_hits(as_bytes(batch.column(at_text)), known)):
                     n_words.append(n)
                     hits.append([{"first": p, "last": q} for p, q in (merged(before[k] + ranges) if before[k] else ranges)])
                     found.append(sorted({*seen[k], *(x for x in items if x is not None)}))
-                new = {"__cv_words": pa.array(n_words, pa.int64()), "__cv_hits": pa.array(hits, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), "__cv_items": pa.array(found, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
+                new = [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(found, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: at_hits - 1], *new], names=batch.schema.names)
 
-        out = out.mapInArrow(run, schema)
+        out, last = by_place(out, run), block
     return out
 
 
+def _n_hit(hits: str) -> F.Column:
+    return F.aggregate(hits, F.lit(0).cast("long"), lambda total, x: total + x["last"] - x["first"])
+
+
 def report(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """A row for each document, see SCHEMA."""
-    hits = scan(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, width)
-    n_hit = F.aggregate("__cv_hits", F.lit(0).cast("long"), lambda total, x: total + x["last"] - x["first"])
-    return hits.select("doc_id", F.col("__cv_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__cv_items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("__cv_items"), ","), 256).alias("items_sha256")).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    n_words, hits, items = added(rows.columns)
+    found = scan(rows, benchmark, width)
+    return found.select("doc_id", F.col(n_words).alias("n_words"), _n_hit(hits).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256")).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, remove: str = "documents", width: int = WIDTH, share: int = SHARE) -> DataFrame:
@@ -191,20 +211,18 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, remove: str = "doc
     with what stands between the words of one hit range.
     """
     columns = documents.columns
-    hits = scan(documents, benchmark, width)
+    n_words, hits, _ = added(columns)
+    found = scan(documents, benchmark, width)
     if remove == "documents":
-        n_hit = F.aggregate("__cv_hits", F.lit(0).cast("long"), lambda total, x: total + x["last"] - x["first"])
-        return hits.where(~((n_hit > 0) & (share * n_hit >= F.col("__cv_words")))).select(*columns)
+        return found.where(~((_n_hit(hits) > 0) & (share * _n_hit(hits) >= F.col(n_words)))).select(*(F.col("`" + c.replace("`", "``") + "`") for c in columns))
     if remove != "spans":
         raise ValueError(f"remove is documents or spans, not {remove!r}")
-    schema = documents.schema
+    at, at_hits = columns.index("text"), len(columns) + 1
 
     def cut(batches):
         for batch in pieces(batches):
-            names = batch.schema.names
-            at = names.index("text")
             texts = batch.column(at).to_pylist()
-            for i, ranges in enumerate(batch.column(names.index("__cv_hits")).to_pylist()):
+            for i, ranges in enumerate(batch.column(at_hits).to_pylist()):
                 if ranges:
                     raw = texts[i].encode()
                     words = wordhash.split([raw], wordhash.NOT_ALNUM)
@@ -215,7 +233,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, remove: str = "doc
                     texts[i] = b"".join([*kept, raw[last:]]).decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(columns))], names=columns)
 
-    return hits.mapInArrow(cut, schema)
+    return by_place(found, cut, documents.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -647,12 +647,13 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
     found = stored(components(documents.select("doc_id", "text")), "components")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     few = gone.count() <= BROADCAST_IDS
-    kept = documents.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*documents.columns)
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in documents.columns]
+    kept = documents.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*own)
     repeated = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, "doc_id", "left_semi").select(*documents.columns)
-    once = kept.join(repeated, "doc_id", "left_anti").select(*documents.columns)
+    again = kept.join(repeated, "doc_id", "left_semi").select(*own)
+    once = kept.join(repeated, "doc_id", "left_anti").select(*own)
     return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 

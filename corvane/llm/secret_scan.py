@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.arrow import as_texts, pieces, record
+from corvane.llm.arrow import as_texts, by_place, pieces, record
 from corvane.storage import table
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -134,7 +134,7 @@ def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             texts = [t and redacted(t, mark) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names=names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return by_place(documents, run)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import wordhash
-from corvane.llm.arrow import as_texts, pieces, record
+from corvane.llm.arrow import as_texts, by_place, pieces, record
 from corvane.llm.language_id import fold
 from corvane.storage import stored, table
 
@@ -344,7 +344,7 @@ def drop_toxic(documents: DataFrame, model: Broadcast) -> DataFrame:
         for batch in pieces(batches):
             yield batch.filter(pa.array([x < 0.5 for x in known.scores(as_texts(batch.column(at)))], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return by_place(documents, run)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

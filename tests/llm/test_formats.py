@@ -69,6 +69,36 @@ def test_chat_chunks(monkeypatch):
     assert [t for f in rows for _, t, _ in chat.parse(f.formatted)] == [t for _, _, t in turns]
 
 
+def test_chat_parts_equal_the_whole(spark, monkeypatch):
+    """Ids, masks and digests of a conversation given in parts are those of one encoded whole."""
+    rng = random.Random(13)
+    words = ["hello", " world", "\n", "\n\n", "  ", "é", "😀", "<|im_end|>", "</s>", "'s", "\t", "１２", "[INST]"]
+    turns = [(c, rng.choice(["user", "assistant", "system\n", ""]), "".join(rng.choices(words, k=rng.randrange(9)))) for c in range(6) for _ in range(25)]
+    file, schema = tokenizers_.path(chat.VOCABULARY), chat.SCHEMA
+
+    def made():
+        return list(chat.formatted(iter(turns), file))
+
+    def digests(rows):
+        df = spark.createDataFrame([(f.conv_id, f.chunk, f.turns, f.formatted, f.ids, f.loss_mask, [a for a, _ in f.loss_spans], [b for _, b in f.loss_spans]) for f in rows], schema).coalesce(1)
+        return sorted(tuple(r) for r in chat.report(df).collect())
+
+    whole = made()
+    monkeypatch.setattr(chat, "CHUNK_CHARS", 60)
+    parts = made()
+    assert len(whole) == 6 < len(parts)
+    for f in whole:
+        own = [p for p in parts if p.conv_id == f.conv_id]
+        assert [x for p in own for x in p.ids] == f.ids and [x for p in own for x in p.loss_mask] == f.loss_mask
+        assert "".join(p.formatted for p in own) == f.formatted
+        at, spans = 0, []
+        for p in own:
+            spans += [(a + at, b + at) for a, b in p.loss_spans]
+            at += len(p.formatted)
+        assert spans == f.loss_spans
+    assert digests(whole) == digests(parts)
+
+
 @settings(max_examples=100, deadline=None)
 @given(content=st.binary(max_size=6000))
 def test_audio_round_trip(content):

@@ -91,7 +91,7 @@ def test_connected(spark):
 def test_drop(spark):
     a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
     docs = documents(spark, [a, b, a.upper(), "", "", None])
-    docs = docs.unionByName(docs.where("doc_id = 1"))
+    docs = docs.unionByName(docs.where("doc_id = 1")).selectExpr("*", "1 AS component_id", "2 AS cls", "3 AS `a.b`")
     out = jaccard_join.drop_near_duplicates(docs)
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 1, 3, 4, 5]

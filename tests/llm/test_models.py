@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -19,6 +20,48 @@ def test_language(spark):
     assert rows.where("score < 0 or score > 1").count() == 0
 
 
+def bucket(gram):
+    """The bucket of an n-gram, in plain integers."""
+    keys, mask = [int(x) for x in language_id._KEYS], 2**32 - 1
+    h = ord(gram[0]) * keys[0] & mask
+    for c, k in zip(gram[1:], keys[1:], strict=False):
+        h = ((h ^ h >> 13) + ord(c) * k) & mask
+    return ((h ^ h >> 15) * 0x2C1B3C6D & mask) >> 17
+
+
+def naive_grams(text):
+    kept = " " + "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text) + " "
+    kept = re.sub(" +", " ", kept)
+    return [bucket(kept[i : i + n]) for n in language_id.ORDERS for i in range(len(kept) - n + 1)]
+
+
+def test_language_against_plain_bayes(spark):
+    """Predictions and scores of a plain multinomial naive Bayes over the same buckets."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [r for r in docs.collect() if len(r["text"] or "") < 4000]
+    learnt = [r for r in rows if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    counts, number = {}, {}
+    for r in learnt:
+        number[r["lang"]] = number.get(r["lang"], 0) + 1
+        own = counts.setdefault(r["lang"], {})
+        for g in naive_grams(r["text"] or "") if re.search(r"[^\W\d_]", r["text"] or "") else ():
+            own[g] = own.get(g, 0) + 1
+    small = spark.createDataFrame(rows, docs.schema)
+    model = spark.sparkContext.broadcast(language_id.train(small.where(language_id.fold(F.col("doc_id"), 3) != 1)))
+    got = {r["doc_id"]: r for r in language_id.predict(small, model).collect()}
+    size = language_id.SMOOTHING * language_id.BUCKETS
+    for r in rows:
+        if not any(map(str.isalpha, r["text"] or "")):
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        grams = naive_grams(r["text"])
+        logs = {x: math.log(number[x] / len(learnt)) + sum(math.log((counts[x].get(g, 0) + language_id.SMOOTHING) / (sum(counts[x].values()) + size)) for g in grams) for x in sorted(counts)}
+        best = max(logs, key=logs.get)
+        top = 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+        assert got[r["doc_id"]]["lang_pred"] == best and abs(got[r["doc_id"]]["score"] - top) < 1e-3
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
 def test_language_awkward(spark):
     train = documents(spark, ["the cat and the dog"] * 4).unionByName(documents(spark, ["der hund und die katze"] * 4, 10).withColumn("lang", F.lit("de")))
     model = spark.sparkContext.broadcast(language_id.train(train))

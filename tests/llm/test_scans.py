@@ -90,6 +90,37 @@ def test_decontamination(spark):
     assert decontaminate.report(awkward(spark), benchmark).count() == awkward(spark).count()
 
 
+def test_clashing_columns(spark):
+    docs = documents(spark, ["a b c", "short item", None]).selectExpr("*", "'w' AS __cv_words", "doc_id AS `__CV_hits_`", "'i' AS __cv_items", "'d' AS `a.b`")
+    benchmark = spark.createDataFrame([(1, "short item")], "item_id long, text string")
+    for remove, left in (("documents", [0, 2]), ("spans", [0, 1, 2])):
+        for limit in (decontaminate.BLOCK_WINDOWS, 1):
+            out = decontaminate.decontaminate(docs, benchmark, remove)
+            assert out.columns == docs.columns and decontaminate.scan(docs, benchmark, limit=limit).count() == 3
+            rows = out.orderBy("doc_id").collect()
+            assert [r["doc_id"] for r in rows] == left and all((r["__cv_words"], r["__CV_hits_"], r["__cv_items"], r["a.b"]) == ("w", r["doc_id"], "i", "d") for r in rows)
+
+
+def test_scan_rows(spark):
+    """Whole rows of the report against plain expressions."""
+    import hashlib
+    import random
+
+    rng = random.Random(12)
+    parts = ["password", "PassWd=", "secret", "Token:", "api_key", "AKIA", '"', " = ", "\n", "abcdefgh1", "ABCDEFGH12345678", "0123456789abcdef" * 2, "é", "x"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(300)]
+    body = "abcdefghij0123456789ABCDEFGHIJ"
+    texts += [f"{t} ghp_{body}{secret_scan.checksum(body)} {t}" for t in texts[:20]] + ["word " * 30_000 + "secret=abcdefgh12"]
+    for r in secret_scan.scan(documents(spark, texts)).collect():
+        found = base(texts[r["doc_id"]])
+        joined = ",".join(f"{k}:{a}:{b}" for a, b, k in found)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x[2] == k for x in found) for k in ("assign", "access", "hex"))
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        shown = r["spans"].split(",") if r["spans"] else []
+        assert [x for x in shown if x.split(":")[0] in secret_scan.BASE] == (joined.split(",") if joined else [])
+        assert 300 <= r["doc_id"] < 320 or len(shown) == len(found)
+
+
 def test_blocks_agree(spark):
     items = [(i, " ".join(f"x{i}y{j}" for j in range(20))) for i in range(6)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
