@@ -84,8 +84,30 @@ class Settings:
                 return default
             return min(value, most) if value >= least else default
 
+        def text(key: str, default: str) -> str:
+            return str(raw.get(key, default)).strip()
+
+        try:
+            alpha = float(str(raw.get("alpha", ALPHA)).strip())
+        except ValueError:
+            alpha = ALPHA
+        # what is no number keeps the default; the rest goes by the slider's steps
+        alpha = ALPHA if alpha != alpha else round(round(min(1.0, max(0.0, alpha)) / 0.05) * 0.05, 2)
+        backend = text("backend", "none")
+        named = {key: text(key, default) for key, default in (("embedding_model", "hashing-embedder-v1"), ("ollama_endpoint", cls.ollama_endpoint), ("ollama_model", cls.ollama_model), ("lmstudio_endpoint", cls.lmstudio_endpoint), ("lmstudio_model", ""), ("hosted_endpoint", ""), ("hosted_model", ""), ("hosted_api_key", ""), ("local_model_path", ""))}
         folders = tuple(x.strip() for x in raw.get("excluded_folders", "").split(",") if x.strip())
-        return cls(chunk_tokens=number("chunk_tokens", CHUNK_TOKENS, 1, MAX_CHUNK_TOKENS), chunk_overlap=number("chunk_overlap", CHUNK_OVERLAP, 0, MAX_CHUNK_TOKENS), ann_threshold=number("ann_threshold", ANN_THRESHOLD, 1, MAX_ANN_THRESHOLD), excluded_folders=folders)
+        return cls(chunk_tokens=number("chunk_tokens", CHUNK_TOKENS, 1, MAX_CHUNK_TOKENS), chunk_overlap=number("chunk_overlap", CHUNK_OVERLAP, 0, MAX_CHUNK_TOKENS), ann_threshold=number("ann_threshold", ANN_THRESHOLD, 1, MAX_ANN_THRESHOLD), excluded_folders=folders, alpha=alpha, backend=backend if backend in BACKENDS else "none", **named)
+
+    def saved(self) -> dict:
+        """What ``load`` reads back."""
+        return {f.name: list(v) if isinstance(v := getattr(self, f.name), tuple) else v for f in fields(self)}
+
+    def generation_summary(self) -> str:
+        """The active answer model, for people."""
+        if self.backend == "none":
+            return "Retrieval-only (offline, no model)"
+        name, model = {"ollama": ("Ollama", self.ollama_model), "lmstudio": ("LM Studio", self.lmstudio_model), "hosted": ("Hosted", self.hosted_model)}[self.backend]
+        return f"{name} · {model or 'no model set'}"
 
     def has_backend(self) -> bool:
         return {"none": False, "ollama": bool(self.ollama_endpoint and self.ollama_model), "lmstudio": bool(self.lmstudio_endpoint and self.lmstudio_model), "hosted": bool(self.hosted_endpoint and self.hosted_model)}[self.backend]

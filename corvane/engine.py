@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,6 +15,7 @@ from corvane.functions import text as T
 from corvane.operators import chat, generation, ranking, vectors
 from corvane.operators.index import Index, stats
 from corvane.operators.lexical import LexicalIndex
+from corvane.storage import create, remove, small_text
 
 _CHUNK = ("id", "note_path", "note_title", "heading", "ordinal", "text")
 
@@ -27,6 +30,8 @@ class Engine:
     embedder: vectors.Embedder = field(default_factory=vectors.HashingEmbedder)
     rows: DataFrame | None = None
     size: int = 0
+    #: Changes of the index that are under way.
+    running: int = 0
 
     def _opened(self, rows: DataFrame) -> Engine:
         self.rows, self.size = rows, rows.count()
@@ -38,15 +43,53 @@ class Engine:
 
     def open(self, notes: DataFrame) -> Engine:
         """Loads the index, or builds it from (path, title, content) where there is none."""
-        return self._opened(self.index.open_or_build(notes))
-
-    def rebuild(self, notes: DataFrame) -> Engine:
-        self.index.rebuild(notes)
-        return self._opened(self.index.load())
+        with self._change():
+            return self._opened(self.index.open_or_build(notes))
+
+    def rebuild(self, notes: DataFrame, progress: Callable[[int, int], None] | None = None) -> Engine:
+        """Indexes all notes anew; ``progress`` is told (notes done, notes) before and after.
+
+        Until the new snapshot is whole, searches see the old one; where indexing
+        fails, they go on doing so.
+        """
+        total = notes.count() if progress else 0
+        with self._change():
+            if progress:
+                progress(0, total)
+            self.index.rebuild(notes)
+            self._opened(self.index.load())
+        if progress:
+            progress(total, total)
+        return self
 
     def update(self, notes: DataFrame, gone: DataFrame) -> Engine:
-        self.index.merge(notes, gone)
-        return self._opened(self.index.load())
+        with self._change():
+            self.index.merge(notes, gone)
+            return self._opened(self.index.load())
+
+    @contextlib.contextmanager
+    def _change(self):
+        self.running += 1
+        try:
+            yield
+        finally:
+            self.running -= 1
+
+    @property
+    def indexing(self) -> bool:
+        return self.running > 0
+
+    def save_settings(self, path: str, settings: Settings) -> None:
+        """Keeps the settings, which searches use from now on; the index follows at the next rebuild."""
+        self.settings = settings
+        remove(self.spark, path)
+        create(self.spark, path, json.dumps(settings.saved()))
+
+    def load_settings(self, path: str) -> Settings:
+        """The saved settings, defaults where there are none."""
+        raw = small_text(self.spark, path)
+        self.settings = Settings.load(json.loads(raw)) if raw else Settings()
+        return self.settings
 
     @property
     def chunks(self) -> DataFrame:

@@ -241,7 +241,7 @@ BODIES: dict[str, str] = {
     "note_render": "SELECT file, content FROM rendered",
     "corpus_sample": "SELECT DISTINCT doc_id FROM qrels UNION SELECT doc_id FROM (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM qrels) ORDER BY doc_id LIMIT 150)",
     "qrels_build": "SELECT query_id, any_value(query) AS query, string_agg(note, ';' ORDER BY r.doc_id) AS relevant FROM qrels r JOIN bench USING (query_id) GROUP BY query_id",
-    "qa_slice": "SELECT source, count(*) AS candidates, sum(toxic)::BIGINT AS positives, min(CASE WHEN toxic = 1 THEN doc_id END) AS answer FROM documents JOIN labels USING (doc_id) GROUP BY source HAVING count(*) >= 4 AND sum(toxic) > 0 ORDER BY source LIMIT 150",
+    "qa_slice": "SELECT id, 'question ' || id AS question, min_by(source, doc_id) AS document_title, 'answer ' || min(CASE WHEN toxic = 1 THEN doc_id END) AS answer, string_agg(CASE WHEN toxic = 1 THEN 'answer ' || doc_id END, ';' ORDER BY doc_id) AS answers, string_agg('answer ' || doc_id, ';' ORDER BY doc_id) AS candidates FROM (SELECT doc_id // 20 AS id, doc_id, coalesce(source, '') AS source, toxic FROM documents JOIN (SELECT DISTINCT doc_id, toxic FROM labels) USING (doc_id)) GROUP BY id HAVING count(*) >= 4 AND sum(toxic) > 0 ORDER BY min(doc_id) LIMIT 150",
     "llm_request_build": "SELECT query_id, to_json({'model': 'llama3.1:8b', 'prompt': query, 'stream': false})::VARCHAR AS ollama, to_json({'model': 'local', 'messages': [{'role': 'user', 'content': query}], 'temperature': 0})::VARCHAR AS chat FROM bench",
     "llm_response_parse": f"SELECT n, coalesce(body::JSON ->> '$.response', '') AS ollama, coalesce(body::JSON ->> '$.choices[0].message.content', '') AS chat FROM {_values(q._REPLIES)}",
     "model_listing": f"SELECT n, array_to_string(list_prepend('current', list_filter(body::JSON ->> '$.models[*].name', lambda x: x IS NOT NULL AND x <> '')), ';') AS models FROM {_values(q._LISTS)}",

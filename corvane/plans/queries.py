@@ -12,6 +12,7 @@ from corvane.functions import text as T
 from corvane.operators import chat, evaluation, generation, index, lexical, ranking, vectors
 from corvane.plans import bindings as b
 from corvane.storage import new_path, stored, table
+from corvane.tools import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL: dict[str, Query] = {}
@@ -404,9 +405,10 @@ def qrels_build(spark, d):
 
 @query
 def qa_slice(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
-    groups = rows.groupBy("source").agg(F.count("*").alias("candidates"), F.sum("toxic").alias("positives"), F.min(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("answer"))
-    return groups.where("candidates >= 4 AND positives > 0").orderBy("source").limit(150)
+    """Labelled documents as answers, twenty neighbouring ids a question, right if toxic; in the order of their ids."""
+    rows = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", "toxic").distinct(), "doc_id")
+    qa = rows.select(F.expr("doc_id div 20").alias("question_id"), F.concat(F.lit("question "), F.expr("doc_id div 20")).alias("question"), F.coalesce("source", F.lit("")).alias("document_title"), F.concat(F.lit("answer "), F.col("doc_id")).alias("answer"), F.col("toxic").alias("label"), F.col("doc_id").alias("pos"))
+    return corpus.questions(qa).select("id", "question", "document_title", "answer", F.array_join("answers", ";").alias("answers"), F.array_join("candidates", ";").alias("candidates"))
 
 
 # generators

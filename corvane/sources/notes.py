@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.storage import small_bytes
 
 QRELS = "query_id string, query string, relevant array<string>"
 GROUNDING = "id string, question string, document_title string, answer string, answers array<string>, candidates array<string>"
@@ -45,6 +46,18 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """One JSON object a line, a file for each task; what was there goes."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def model_file(spark: SparkSession, folder: str, relative: str) -> bytes | None:
+    """A file of a locally stored model, None where it is not there; see ``text.model_file_path``."""
+    if not folder or relative.startswith("/") or ".." in relative.split("/"):
+        return None
+    return small_bytes(spark, f"{folder.rstrip('/')}/{relative}")
+
+
 def write_notes(notes: DataFrame, folder: str) -> None:
     """(file, content) as one Markdown file each, written by the executors."""
     from pyarrow import fs

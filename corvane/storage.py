@@ -107,15 +107,22 @@ def create(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
-def small_text(spark: SparkSession, path: str) -> str:
-    """A small file's text, read by the driver."""
+def small_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """A small file, read by the driver; None where there is none."""
     files, where = _at(spark, path)
+    if not files.exists(where):
+        return None
     into = files.open(where)
     try:
-        return bytes(into.readAllBytes()).decode()
+        return bytes(into.readAllBytes())
     finally:
         into.close()
 
 
+def small_text(spark: SparkSession, path: str) -> str:
+    """A small file's text; the empty text where there is no file."""
+    return (small_bytes(spark, path) or b"").decode()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
