@@ -15,6 +15,7 @@ from corvane.config import SNIPPET_CHARS
 
 #: Fixed values of the accepted syntax: white space, the same without the line feed, headings, YAML lines and frontmatter.
 WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS_IN_LINE = WS.replace(r"\n", "")
 _NOT_WS = WS.replace("[", "[^", 1)
 _HEADING = rf"#{{1,6}}{WS_IN_LINE}+[^\n\r\u2028\u2029]*"
@@ -28,7 +29,13 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
+
+
+def spaced(c: Column) -> Column:
+    """White space as single spaces, none at the ends: the tokens of a text between spaces."""
+    # a single space before anything else stays as it is; most characters are told by the first test
+    return F.btrim(F.regexp_replace(c, f"(?![!-~])(?: {WS}|{WS.replace(' ', '', 1)}){WS}*", " "))
 
 
 def tokens(c: Column) -> Column:
@@ -50,7 +57,7 @@ def without_frontmatter(c: Column) -> Column:
 
 def sections(body: Column) -> Column:
     """ATX sections, array<struct<heading, body>>: split before each heading line, within the row."""
-    parts = F.split(body, rf"(?<![^\n])(?={_HEADING}(?:\n|\z))", -1)
+    parts = F.split(body, rf"(?=#)(?<![^\n])(?={_HEADING}(?:\n|\z))", -1)
 
     def section(part: Column) -> Column:
         line = F.when(part.startswith("#"), F.regexp_extract(part, rf"^{_HEADING}(?:\n|\z)", 0)).otherwise("")
@@ -69,7 +76,7 @@ def without_extension(path: Column) -> Column:
 
 
 def snippet(c: Column, size: int = SNIPPET_CHARS) -> Column:
-    flat = trimmed(F.regexp_replace(c, WS + "+", " "))
+    flat = spaced(c)
     cut = lambda x: F.when(F.length(x) > size, F.concat(F.regexp_replace(F.substring(x, 1, size), r" +\z", ""), F.lit("…"))).otherwise(x)
     return bound(flat, cut)
 

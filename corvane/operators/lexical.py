@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from corvane.config import B, K1
 from corvane.functions import text as T
+from corvane.functions.terms import counted
 from corvane.operators.best import CELLS, Best, key_type
 from corvane.storage import stored
 
@@ -29,19 +30,22 @@ from corvane.storage import stored
 BLOCK_TERMS = 1_000_000
 
 
-def term_counts(terms: Column) -> Column:
-    """array<struct<term, tf>> of an array of terms, in one walk over the sorted array."""
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(x != F.get(s, i - 1), F.lit(True)), i)), lambda i: i.isNotNull())
-        return T.bound(starts, lambda at: F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - p).alias("tf"))))
-
-    return T.bound(F.sort_array(terms), runs)
-
-
 def forward(docs: DataFrame) -> DataFrame:
-    """(id, surface) to (id, dl, terms): a document's length and its terms with their counts."""
-    return docs.select("id", T.terms(F.coalesce("surface", F.lit(""))).alias("all")).select("id", F.size("all").alias("dl"), term_counts(F.col("all")).alias("terms"))
+    """(id, surface) to (id, dl, terms): a document's length and its terms with their counts, in one pass within the row."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                n = part.num_rows
+                row, code, tf, terms = counted(part.column(1))
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))).astype(np.int32)
+                items = pa.StructArray.from_arrays([terms.take(pa.array(code)), pa.array(tf.astype(np.int32))], names=["term", "tf"])
+                dl = np.bincount(row, weights=tf, minlength=n).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(dl), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["id", "dl", "terms"])
+
+    return docs.select("id", F.lower(F.coalesce("surface", F.lit("")))).mapInArrow(run, f"id {kind}, dl int, terms array<struct<term:string,tf:int>>")
 
 
 @dataclass(frozen=True)

@@ -94,7 +94,7 @@ def ws_tokens(spark, d):
 def chunk_windows(spark, d):
     from corvane.operators.chunking import windows
 
-    return b.notes(spark, d).select("path", F.posexplode(windows(T.tokens(F.col("content")), 100, 20)).alias("pos", "w")).select("path", "pos", F.md5(F.col("w").cast("binary")).alias("window_md5"))
+    return b.notes(spark, d).select("path", F.posexplode(windows(F.col("content"), 100, 20)).alias("pos", "w")).select("path", "pos", F.md5(F.col("w").cast("binary")).alias("window_md5"))
 
 
 @query

@@ -44,7 +44,27 @@ def test_sections_and_chunks(spark):
 def test_windows_of_white_space(spark):
     got = one(spark, "a b﻿c", lambda c: T.tokens(c))
     assert got == ["a", "b", "c"]
-    assert one(spark, "x", lambda c: windows(T.tokens(c), 2, 0)) == ["x"]
+    assert one(spark, "x", lambda c: windows(c, 2, 0)) == ["x"]
+    assert one(spark, "\u3000a \u00a0 b\n\nc  d\ue000 ", lambda c: windows(c, 2, 1)) == ["a b", "b c", "c d\ue000"]
+    assert one(spark, " \n\u2003", lambda c: windows(c, 2, 1)) == [""] == one(spark, "", lambda c: windows(c, 2, 1))
+    assert one(spark, "\ufeff a\tb \u1680", T.spaced) == "a b" and one(spark, "\u3000\n a b \u2009", T.trimmed) == "a b"
+
+
+def test_terms_of_batches(spark):
+    import re
+
+    import pyarrow as pa
+
+    from corvane.functions.terms import counted, term_rows
+
+    texts = ["ab c", "c", None, "", "d1é2-c", "x" * 300 + " c c", "é", "z"]
+    for array in (pa.array(texts), pa.array(["skipped", *texts]).slice(1), pa.array(texts, pa.large_string())):
+        rows, codes, terms = term_rows(array)
+        names = terms.to_pylist()
+        assert [(r, names[c]) for r, c in zip(rows, codes, strict=True)] == [(i, w) for i, t in enumerate(texts) for w in re.findall("[a-z0-9]+", t or "")]
+    row, code, n, terms = counted(pa.array(texts))
+    assert {(r, terms[int(c)].as_py()): k for r, c, k in zip(row, code, n, strict=True)}[5, "c"] == 2
+    assert all(len(x) == 0 for x in term_rows(pa.array([], pa.string())))
 
 
 def test_scalars(spark):
