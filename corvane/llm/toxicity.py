@@ -64,12 +64,14 @@ class Setting:
     """What ``toxicity_folds`` chooses from, by folds inside the rows that may be learnt from."""
 
     #: Buckets of fewer sample texts are left out.
-    min_texts: int = 4
+    min_texts: int = 2
     #: And those whose presence in a text tells less of its label than this, in standard deviations.
     screen: float = 4.0
     decay: float = 0.01
     #: At most so many buckets are trained, those that tell most.
     most: int = 150
+    #: At least so many, of few texts, whatever they tell.
+    least: int = 40
     step: float = 0.05
 
 
@@ -243,7 +245,8 @@ def fit(texts: list[str], labels: list[int], setting: Setting = SETTING) -> Mode
         squares[ids] += weights.astype(np.float64) ** 2
     # only telling buckets are trained: all others add nothing
     tells = np.where(held_by.sum(axis=0) >= setting.min_texts, told(held_by, np.bincount(y, minlength=2)), 0.0)
-    kept = np.sort(np.argsort(-tells, kind="stable")[: min(setting.most, int((tells >= setting.screen).sum()))])
+    enough = min(setting.most, max(int((tells >= setting.screen).sum()), min(setting.least, int((tells > 0).sum()))))
+    kept = np.sort(np.argsort(-tells, kind="stable")[:enough])
     number = np.full(BUCKETS, -1, dtype=np.int32)
     number[kept] = np.arange(len(kept))
     # a rare bucket's weights are scaled to those of a common one
