@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import chat, decontaminate, jaccard_join, language_id, mpeg_audio, packing, secret_scan, token_counts, toxicity, warc
+from corvane.llm import chat, decontaminate, jaccard_join, language_id, mpeg_audio, packing, phrases, resharding, secret_scan, token_counts, toxicity, vector_codes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontaminate.query,
         "op9_secret_scan": secret_scan.query,
         "op10_warc": warc.query,
+        "op11_phrases": phrases.query,
+        "op12_resharding": resharding.query,
+        "op13_vector_codes": vector_codes.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": jaccard_join.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op4_jaccard_join": jaccard_join.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE, "op11_phrases": phrases.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
