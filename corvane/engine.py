@@ -13,43 +13,50 @@ from pyspark.sql import functions as F
 from corvane.config import CONTEXT_CHUNKS, HISTORY_MESSAGES, MODELS, SIMILARITY_FLOOR, TOP_K, Settings
 from corvane.functions import text as T
 from corvane.operators import chat, generation, ranking, vectors
-from corvane.operators.index import Index, stats
-from corvane.operators.lexical import LexicalIndex
-from corvane.storage import create, remove, small_text
+from corvane.operators.index import Index, View, stats
+from corvane.storage import new_path, replace, scratch, small_text, stored
 
 _CHUNK = ("id", "note_path", "note_title", "heading", "ordinal", "text")
 
 
+#: Result rows that a search gives from the driver; more are written to a table.
+LOCAL_ROWS = 100_000
+
+
 @dataclass
 class Engine:
-    """Search and chat over the snapshot that was current when the engine was opened."""
+    """Search and chat over the state of the index that was current when the engine was opened."""
 
     spark: SparkSession
     root: str
     settings: Settings = Settings()
     embedder: vectors.Embedder = field(default_factory=vectors.HashingEmbedder)
-    rows: DataFrame | None = None
-    size: int = 0
+    view: View | None = None
     #: Changes of the index that are under way.
     running: int = 0
 
-    def _opened(self, rows: DataFrame) -> Engine:
-        self.rows, self.size = rows, rows.count()
+    def _opened(self) -> Engine:
+        self.view = self.index.view()
         return self
 
     @property
     def index(self) -> Index:
         return Index(self.spark, self.root, self.settings, self.embedder)
 
+    @property
+    def size(self) -> int:
+        return self.view.size if self.view else 0
+
     def open(self, notes: DataFrame) -> Engine:
         """Loads the index, or builds it from (path, title, content) where there is none."""
         with self._change():
-            return self._opened(self.index.open_or_build(notes))
+            self.index.open_or_build(notes)
+            return self._opened()
 
     def rebuild(self, notes: DataFrame, progress: Callable[[int, int], None] | None = None) -> Engine:
         """Indexes all notes anew; ``progress`` is told (notes done, notes) before and after.
 
-        Until the new snapshot is whole, searches see the old one; where indexing
+        Until the new state is whole, searches see the old one; where indexing
         fails, they go on doing so.
         """
         total = notes.count() if progress else 0
@@ -57,7 +64,7 @@ class Engine:
             if progress:
                 progress(0, total)
             self.index.rebuild(notes)
-            self._opened(self.index.load())
+            self._opened()
         if progress:
             progress(total, total)
         return self
@@ -65,7 +72,7 @@ class Engine:
     def update(self, notes: DataFrame, gone: DataFrame) -> Engine:
         with self._change():
             self.index.merge(notes, gone)
-            return self._opened(self.index.load())
+            return self._opened()
 
     @contextlib.contextmanager
     def _change(self):
@@ -82,8 +89,7 @@ class Engine:
     def save_settings(self, path: str, settings: Settings) -> None:
         """Keeps the settings, which searches use from now on; the index follows at the next rebuild."""
         self.settings = settings
-        remove(self.spark, path)
-        create(self.spark, path, json.dumps(settings.saved()))
+        replace(self.spark, path, json.dumps(settings.saved()))
 
     def load_settings(self, path: str) -> Settings:
         """The saved settings, defaults where there are none."""
@@ -93,21 +99,31 @@ class Engine:
 
     @property
     def chunks(self) -> DataFrame:
-        if self.rows is None:
+        if self.view is None:
             raise ValueError("open the engine first")
-        return self.rows.select(*_CHUNK)
+        return self.view.rows.select(*_CHUNK)
 
     def stats(self) -> dict:
         row = stats(self.chunks).head()
         return {"notes": row["notes"], "chunks": row["chunks"], "model_id": self.embedder.model_id, "approximate": self.size > self.settings.ann_threshold}
 
     def search(self, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K) -> DataFrame:
-        """Ranked chunks for (query_id, query); queries that are blank give none."""
+        """Ranked chunks for (query_id, query); queries that are blank give none.
+
+        The result is worked out at once, and what that wrote goes; results of more
+        than ``LOCAL_ROWS`` rows stay in a table of their own until the application ends.
+        """
         chunks = self.chunks
         asked = queries.where(T.trimmed(F.col("query")) != "")
-        index, embedded = LexicalIndex(self.rows.select("id", "dl", "terms")), self.rows.select("id", "embedding", "signature")
-        ranked = ranking.rank(chunks, asked, mode, k, self.settings.alpha, self.embedder, index, embedded, self.settings.ann_threshold, self.size)
-        return ranking.with_chunks(ranked, chunks)
+        few = k * asked.count() <= LOCAL_ROWS
+        path = None if few else new_path(self.spark, "results")
+        with scratch(self.spark):
+            ranked = ranking.rank(chunks, asked, mode, k, self.settings.alpha, self.embedder, self.view.postings, self.view.vectors, self.settings.ann_threshold, self.size)
+            found = ranking.with_chunks(stored(ranked, "ranked") if few else ranked, chunks)
+            if few:
+                return self.spark.createDataFrame(found.collect(), found.schema)
+            found.write.parquet(path)
+        return self.spark.read.parquet(path)
 
     def session(self, generate: Callable[[str], str] | None = None, **options) -> Session:
         """A conversation over this snapshot; ``generate`` defaults to the backend of the settings."""

@@ -79,6 +79,11 @@ class Best:
         place = np.arange(len(q)) - np.repeat(runs, np.diff(np.append(runs, len(q))))
         self._held = rows.filter(pa.array((place < self._k) & (s >= (self._cut - self._slack)[q])))
 
+    @property
+    def cut(self) -> np.ndarray:
+        """What a score of each query must reach by now."""
+        return self._cut
+
     def rows(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Query numbers, scores and ids."""
         self._compact()

@@ -1,11 +1,12 @@
-"""The stored index: versioned Parquet snapshots, hash diffs and change logs."""
+"""The stored index: segments under numbered pointers, hash diffs and change logs."""
 
 from __future__ import annotations
 
-import contextlib
 import json
+import math
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,9 +17,10 @@ from corvane.functions import text as T
 from corvane.functions.hashing import content_hash
 from corvane.operators.chunking import chunk_notes
 from corvane.operators.lexical import forward
+from corvane.operators.postings import PUSHED, PostingIndex, Segment, numbered, read, small_pages, write_terms
 from corvane.operators.ranking import surfaces
 from corvane.operators.vectors import Embedder, HashingEmbedder, signed
-from corvane.storage import create, listed, remove, small_text, stored
+from corvane.storage import age, listed, publish, remove, scratch, small_text, stored
 
 
 def hashed(chunks: DataFrame) -> DataFrame:
@@ -81,21 +83,43 @@ def stats(chunks: DataFrame) -> DataFrame:
 
 
 class Conflict(RuntimeError):
-    """Another writer has committed since the snapshot that a change was based on."""
+    """Another writer has committed since the state that a change was based on."""
+
+
+CHUNK = "id string, note_path string, note_title string, heading string, ordinal int, text string, hash string"
+_COLUMNS = [c.split()[0] for c in CHUNK.split(", ")]
+#: Ids of removed rows that are broadcast; above, Spark chooses the join.
+FEW_DEAD = 200_000
+
+
+@dataclass(frozen=True)
+class View:
+    """The index as it was when it was opened: live chunks, their vectors and the inverted index."""
+
+    rows: DataFrame
+    vectors: DataFrame
+    postings: PostingIndex
+    size: int
 
 
 @dataclass(frozen=True)
 class Index:
-    """Snapshots under ``root``, one folder for each (model, dim, version).
-
-    A row of a snapshot is a chunk with hash, embedding, signature, and its terms
-    with their counts, so vectors and lexical index always belong to the same
-    state and both change only for chunks whose text has changed. A snapshot is
-    written whole, then named by the next numbered pointer. A pointer is a small
-    file that is created once and never changed: of two writers one gets the
-    number, the other raises ``Conflict`` or tries again; readers take the highest
-    pointer that is complete, so a writer that dies at any point leaves the
-    former state. The last ``keep`` snapshots stay for those who still read them.
+    """Segments under ``root``, one folder for each (model, dim, version).
+
+    A change writes one segment: the rows, vectors and postings of the chunks that
+    are new or whose text has changed, the numbers of those that no longer count, and
+    signed counts of terms, all in proportion to the change. A numbered pointer
+    lists the segments of a state with the number of live chunks and the sum of their
+    lengths. Readers merge: rows without those that a segment has marked dead. When
+    ``fan`` segments are of one size class (powers of ``fan``) they become one; when
+    more than half of all rows are dead, all do.
+
+    Pointers are written whole under another name and get their number in one
+    step that fails where it is taken. A change based on pointer n can only become
+    n + 1, so of two writers one gets the number and the other raises ``Conflict``;
+    one whose number was passed long ago finds later pointers that do not descend from
+    its own and takes its own back. The segments of the last ``keep`` pointers stay
+    for those who read them; what a dead writer left goes after ``orphan_age`` seconds.
     """
 
     spark: SparkSession
@@ -103,79 +127,152 @@ class Index:
     settings: Settings = Settings()
     embedder: Embedder = field(default_factory=HashingEmbedder)
     keep: int = 3
+    fan: int = 4
+    orphan_age: float = 86_400.0
 
     @property
     def _home(self) -> str:
         return f"{self.root}/{self.embedder.model_id}-{self.embedder.dim}-v{INDEX_VERSION}"
 
+    def _at(self, name: str) -> str:
+        return f"{self._home}/segments/{name}"
+
     def _chunked(self, notes: DataFrame) -> DataFrame:
         kept = notes.where(~T.excluded(F.col("path"), self.settings.excluded_folders))
-        return hashed(chunk_notes(kept, self.settings.chunk_tokens, self.settings.chunk_overlap))
-
-    def rows(self, notes: DataFrame) -> DataFrame:
-        """Chunks with all that a snapshot holds of them, of notes outside excluded folders."""
-        return self.embedded(self._chunked(notes))
-
-    def embedded(self, chunks: DataFrame) -> DataFrame:
-        """Chunks (stored, as they are read by each step) with embedding, signature, length and terms."""
-        kept = stored(chunks, "chunks")
-        for_vectors, for_terms = surfaces(kept)
-        return kept.join(signed(self.embedder.embed(for_vectors)), "id").join(forward(for_terms), "id")
-
-    def _pointers(self) -> list[tuple[int, dict]]:
-        """Complete pointers, the last first."""
-        out = []
-        for name in sorted(listed(self.spark, f"{self._home}/pointers"), reverse=True):
-            if name.endswith(".json") and not name.startswith((".", "_")):
-                # one that its writer has not finished does not count
-                with contextlib.suppress(ValueError):
-                    out.append((int(name.removesuffix(".json")), json.loads(small_text(self.spark, f"{self._home}/pointers/{name}"))))
-        return out
-
-    def _write(self, rows: DataFrame) -> str:
-        name = uuid.uuid4().hex
-        rows.write.parquet(f"{self._home}/{name}")
-        return name
-
-    def _commit(self, name: str, base: int | None) -> str:
-        """Names the snapshot by the pointer after ``base``; None: after whatever is there."""
-        written = self.spark.read.parquet(f"{self._home}/{name}")
-        if not written.where(F.size("embedding") != self.embedder.dim).isEmpty():
-            remove(self.spark, f"{self._home}/{name}")
-            raise ValueError(f"embeddings must have dimension {self.embedder.dim}")
-        meta = {"version": INDEX_VERSION, "model_id": self.embedder.model_id, "dim": self.embedder.dim, "snapshot": name, "count": written.count()}
-        while True:
-            names = [int(x.removesuffix(".json")) for x in listed(self.spark, f"{self._home}/pointers") if x.endswith(".json") and not x.startswith((".", "_"))]
-            last = max(names, default=0)
-            complete = self._pointers()
-            if base is not None and (complete[0][0] if complete else 0) != base:
-                remove(self.spark, f"{self._home}/{name}")
-                raise Conflict(f"the index has changed since snapshot {base}")
-            if create(self.spark, f"{self._home}/pointers/{last + 1:012d}.json", json.dumps(meta)):
-                break
-        for number, old in self._pointers()[self.keep :]:
-            remove(self.spark, f"{self._home}/{old['snapshot']}")
-            remove(self.spark, f"{self._home}/pointers/{number:012d}.json")
-        return name
+        return hashed(chunk_notes(kept, self.settings.chunk_tokens, self.settings.chunk_overlap)).select(*_COLUMNS)
+
+    # pointers
+
+    def _numbers(self) -> list[int]:
+        return sorted((int(x.removesuffix(".json")) for x in listed(self.spark, f"{self._home}/pointers") if x.endswith(".json") and x[0] != "."), reverse=True)
 
-    def rebuild(self, notes: DataFrame) -> str:
-        return self._commit(self._write(self.rows(notes)), None)
+    def _pointer(self, number: int) -> dict | None:
+        raw = small_text(self.spark, f"{self._home}/pointers/{number:012d}.json")
+        return json.loads(raw) if raw else None
+
+    def _head(self) -> tuple[int, dict | None]:
+        for number in self._numbers():
+            if (meta := self._pointer(number)) is not None:
+                return number, meta
+        return 0, None
 
     def meta(self) -> dict | None:
-        """What the last complete pointer says, None where there is no usable index."""
-        found = self._pointers()
-        meta = found[0][1] if found else {}
+        """What the last pointer says, None where there is no usable index."""
+        meta = self._head()[1] or {}
         return meta if (meta.get("version"), meta.get("model_id"), meta.get("dim")) == (INDEX_VERSION, self.embedder.model_id, self.embedder.dim) else None
 
+    def _publish(self, base: int, state: dict, parent: dict | None) -> None:
+        """Makes ``state`` the pointer after ``base``."""
+        token = uuid.uuid4().hex
+        meta = {"version": INDEX_VERSION, "model_id": self.embedder.model_id, "dim": self.embedder.dim, **state, "token": token, "parent": (parent or {}).get("token")}
+        if not publish(self.spark, f"{self._home}/pointers/{base + 1:012d}.json", json.dumps(meta)):
+            raise Conflict(f"the index has changed since pointer {base}")
+        if any(n > base + 1 for n in self._numbers()) and (self._pointer(base + 2) or {}).get("parent") != token:
+            remove(self.spark, f"{self._home}/pointers/{base + 1:012d}.json")
+            raise Conflict(f"pointer {base} was passed long ago")
+        self._collect()
+
+    def _collect(self) -> None:
+        """Removes pointers beyond ``keep``, the segments that only they name, and what nobody names for long."""
+        numbers = self._numbers()
+        named = {n: {s["name"] for s in (self._pointer(n) or {}).get("segments", [])} for n in numbers}
+        live = set().union(*(named[n] for n in numbers[: self.keep]))
+        old = set().union(*(named[n] for n in numbers[self.keep :])) - live
+        for name in listed(self.spark, f"{self._home}/segments"):
+            if name in old or (name not in live and age(self.spark, self._at(name)) > self.orphan_age):
+                remove(self.spark, self._at(name))
+        for n in numbers[self.keep :]:
+            remove(self.spark, f"{self._home}/pointers/{n:012d}.json")
+
+    # reading
+
+    def _dead(self, segments: list[dict]) -> DataFrame | None:
+        paths = [f"{self._at(s['name'])}/dead" for s in segments if s["dead"]]
+        return read(self.spark, paths, "segment string, doc long, id string") if paths else None
+
+    def _live(self, segments: list[dict], dead: DataFrame | None, many: int, kind: str, schema: str) -> DataFrame:
+        """Rows of some segments with ``segment`` and ``doc`` that no segment has marked dead."""
+        paths = [f"{self._at(s['name'])}/{kind}" for s in segments if s["rows"]]
+        rows = read(self.spark, paths, f"doc long, {schema}")
+        name = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{kind}/", 1) if paths else F.lit("")
+        rows = rows.withColumn("segment", name)
+        if dead is None:
+            return rows
+        gone = dead.select("segment", "doc")
+        return rows.join(F.broadcast(gone) if many <= FEW_DEAD else gone, ["segment", "doc"], "left_anti")
+
+    @property
+    def _vector(self) -> str:
+        return "id string, embedding array<float>, signature binary"
+
+    def _all(self, meta: dict, kind: str, schema: str) -> DataFrame:
+        return self._live(meta["segments"], self._dead(meta["segments"]), sum(s["dead"] for s in meta["segments"]), kind, schema)
+
     def load(self) -> DataFrame | None:
-        """The rows of the current snapshot; raises if there are not as many as its pointer says."""
+        """The live chunks; raises if the segments have not as many rows as the pointer says."""
+        view = self.view()
+        return None if view is None else view.rows
+
+    def view(self) -> View | None:
         meta = self.meta()
         if meta is None:
             return None
-        rows = self.spark.read.parquet(f"{self._home}/{meta['snapshot']}")
-        if (n := rows.count()) != meta["count"]:
-            raise ValueError(f"the snapshot has {n} chunks, its pointer says {meta['count']}")
-        return rows
+        said = sum(s["rows"] for s in meta["segments"])
+        stored_rows = read(self.spark, [f"{self._at(s['name'])}/rows" for s in meta["segments"] if s["rows"]], "doc long")
+        if (n := stored_rows.count()) != said:
+            raise ValueError(f"the segments have {n} chunks, the pointer says {said}")
+        segments = tuple(Segment(self._at(s["name"]), s["folders"], tuple(s["postings"]), tuple(s["terms"])) for s in meta["segments"])
+        dead, many = self._dead(meta["segments"]), sum(s["dead"] for s in meta["segments"])
+        docs = self._live(meta["segments"], None, 0, "rows", "id string").select("segment", "doc", "id")
+        postings = PostingIndex(self.spark, segments, docs, meta["count"], meta["length"], dead)
+        rows = self._live(meta["segments"], dead, many, "rows", CHUNK).select("segment", "doc", *_COLUMNS)
+        vectors = self._live(meta["segments"], dead, many, "vectors", self._vector).drop("segment", "doc")
+        return View(rows, vectors, postings, meta["count"])
+
+    # writing
+
+    def _write(self, chunks: DataFrame, counts: DataFrame | None, dead: DataFrame | None, vectors: DataFrame | None = None) -> tuple[dict, int]:
+        """Writes a segment of chunks (ids distinct); its entry in a pointer and the sum of its lengths.
+
+        counts: signed (term, df) to write in the place of the chunks' own, or None;
+        dead: (segment, doc, id); vectors: (id, embedding, signature), made here where not given.
+        """
+        name = uuid.uuid4().hex
+        path = self._at(name)
+        try:
+            small_pages(numbered(chunks.select(*_COLUMNS)).write).parquet(f"{path}/rows")
+            rows = read(self.spark, [f"{path}/rows"], f"doc long, {CHUNK}")
+            size, gone = rows.count(), 0
+            surface = surfaces(rows.drop("id").withColumnRenamed("doc", "id"))
+            terms, length = write_terms(surface[1].withColumnRenamed("id", "doc"), path, size, counts)
+            if vectors is None:
+                key = rows.select(F.struct("doc", "id").alias("id"), "heading", "text")
+                made = signed(self.embedder.embed(key.select("id", T.embed_surface(F.col("heading"), F.col("text")).alias("surface"))))
+                vectors = made.select("id.doc", "id.id", "embedding", "signature")
+            else:
+                vectors = vectors.join(rows.select("id", "doc"), "id").select("doc", "id", "embedding", "signature")
+            vectors.write.parquet(f"{path}/vectors")
+            if not read(self.spark, [f"{path}/vectors"], "embedding array<float>").where(F.size("embedding") != self.embedder.dim).isEmpty():
+                raise ValueError(f"embeddings must have dimension {self.embedder.dim}")
+            if dead is not None:
+                dead.select("segment", "doc", "id").coalesce(1).write.parquet(f"{path}/dead")
+                gone = read(self.spark, [f"{path}/dead"], "doc long").count()
+        except BaseException:
+            remove(self.spark, path)
+            raise
+        return {"name": name, "rows": size, "dead": gone, **{k: v for k, v in asdict(terms).items() if k != "path"}}, length
+
+    def rebuild(self, notes: DataFrame) -> None:
+        """One segment of all notes in the place of whatever is there."""
+        with scratch(self.spark):
+            entry, length = self._write(stored(self._chunked(notes), "chunks"), None, None)
+        while True:
+            number, parent = self._head()
+            try:
+                return self._publish(number, {"segments": [entry], "count": entry["rows"], "length": length}, parent)
+            except Conflict:
+                # what is written stands for the whole, whoever was first
+                continue
 
     def open_or_build(self, notes: DataFrame) -> DataFrame:
         found = self.load()
@@ -184,35 +281,90 @@ class Index:
             found = self.load()
         return found
 
-    def merge(self, notes: DataFrame, gone: DataFrame, attempts: int = 3) -> str:
-        """Writes the snapshot after ``notes`` (path, title, content) were written and paths ``gone`` deleted.
+    def merge(self, notes: DataFrame, gone: DataFrame, attempts: int = 3) -> None:
+        """Adds the segment that ``notes`` (path, title, content), written, and paths ``gone``, deleted, make.
 
         Only chunks that are new or whose text has changed are embedded and
         tokenised. Where another writer was first, the change is made again on
-        top of theirs, up to ``attempts`` times.
+        top of theirs, up to ``attempts`` times. Segments are then compacted where due.
         """
+        if attempts < 1:
+            raise ValueError("attempts must be positive")
         for attempt in range(attempts):
             try:
-                return self._merge(notes, gone)
+                self._merge(notes, gone)
+                break
             except Conflict:
                 if attempt == attempts - 1:
                     raise
-        raise ValueError("attempts must be positive")
-
-    def _merge(self, notes: DataFrame, gone: DataFrame) -> str:
-        found = self._pointers()
-        base, old = found[0][0] if found else 0, self.load()
-        if old is None:
-            return self.rebuild(notes)
-        new = stored(self._chunked(notes), "chunks")
-        kept_notes = notes.where(~T.excluded(F.col("path"), self.settings.excluded_folders))
-        touched = kept_notes.select(F.col("path").alias("note_path")).unionByName(gone.select(F.col("path").alias("note_path"))).distinct()
-        untouched = old.join(touched, "note_path", "left_anti")
-        same = old.join(new.select("id", "hash"), ["id", "hash"], "left_semi")
-        changed = new.join(old.select("id", "hash"), ["id", "hash"], "left_anti")
-        columns = old.columns
-        parts = [untouched, same.join(touched, "note_path", "left_semi"), self.embedded(changed)]
-        return self._commit(self._write(parts[0].select(*columns).unionByName(parts[1].select(*columns)).unionByName(parts[2].select(*columns))), base)
+        self.compact()
+
+    def _merge(self, notes: DataFrame, gone: DataFrame) -> None:
+        number, head = self._head()
+        meta = self.meta()
+        if meta is None:
+            self.rebuild(notes)
+            return
+        with scratch(self.spark):
+            new = stored(self._chunked(notes), "chunks")
+            kept = notes.where(~T.excluded(F.col("path"), self.settings.excluded_folders))
+            touched = stored(kept.select(F.col("path").alias("note_path")).unionByName(gone.select(F.col("path").alias("note_path"))).distinct(), "touched")
+            rows = self._all(meta, "rows", CHUNK)
+            few = [r[0] for r in touched.where("note_path IS NOT NULL").take(PUSHED + 1)]
+            if 0 < len(few) <= PUSHED:
+                # reaches the pages of the files, which are in the order of ids
+                rows = rows.where(reduce(lambda a, b: a | b, [F.col("note_path") == p for p in few]))
+            old = stored(rows.join(touched, "note_path", "left_semi"), "old")
+            changed = stored(new.join(old.select("id", "hash"), ["id", "hash"], "left_anti"), "changed")
+            dead = stored(old.join(new.select("id", "hash"), ["id", "hash"], "left_anti"), "dead")
+            if changed.isEmpty() and dead.isEmpty():
+                return
+            terms = [forward(surfaces(x)[1]) for x in (changed, dead)]
+            signed_counts = [t.select(F.explode("terms.term").alias("term")).groupBy("term").agg((sign * F.count("*")).alias("df")) for t, sign in zip(terms, (1, -1), strict=True)]
+            entry, length = self._write(changed, signed_counts[0].unionByName(signed_counts[1]), dead)
+            lost = terms[1].agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).head()[0]
+        state = {"segments": [*meta["segments"], entry], "count": meta["count"] + entry["rows"] - entry["dead"], "length": meta["length"] + length - lost}
+        self._publish_or_remove(number, state, head, entry["name"])
+
+    def _publish_or_remove(self, number: int, state: dict, head: dict | None, name: str) -> None:
+        try:
+            self._publish(number, state, head)
+        except Conflict:
+            remove(self.spark, self._at(name))
+            raise
+
+    def _due(self, segments: list[dict]) -> list[dict]:
+        """The segments to be made one: all where most rows are dead, else those of the smallest size class with ``fan`` of them."""
+        if 2 * sum(s["dead"] for s in segments) > sum(s["rows"] for s in segments):
+            return segments
+        classes: dict[int, list[dict]] = {}
+        for s in segments:
+            classes.setdefault(int(math.log(s["rows"] + s["dead"] + 1, self.fan)), []).append(s)
+        return next((classes[c] for c in sorted(classes) if len(classes[c]) >= self.fan), [])
+
+    def compact(self, everything: bool = False) -> None:
+        """Makes segments one where due; another writer's commit in between leaves them for the next time."""
+        while True:
+            number, head = self._head()
+            meta = self.meta()
+            due = [] if meta is None else meta["segments"] if everything else self._due(meta["segments"])
+            if not due or (len(due) == 1 and not due[0]["dead"]):
+                return
+            names = {s["name"] for s in due}
+            with scratch(self.spark):
+                dead, many = self._dead(meta["segments"]), sum(s["dead"] for s in meta["segments"])
+                rows = self._live(due, dead, many, "rows", CHUNK).select(*_COLUMNS)
+                vectors = self._live(due, dead, many, "vectors", self._vector).select("id", "embedding", "signature")
+                own = self._dead(due)
+                carried = None if own is None else stored(own.where(~F.col("segment").isin(list(names))), "carried")
+                counts = read(self.spark, [f"{self._at(s['name'])}/terms/folder={f}" for s in due for f in s["terms"]], "term string, df long")
+                entry, _ = self._write(rows, counts, None if carried is None or carried.isEmpty() else carried, vectors)
+            rest = [s for s in meta["segments"] if s["name"] not in names]
+            try:
+                self._publish_or_remove(number, {**{k: meta[k] for k in ("count", "length")}, "segments": [*rest, entry]}, head, entry["name"])
+            except Conflict:
+                return
+            everything = False
 
     def clean(self) -> None:
         remove(self.spark, self._home)

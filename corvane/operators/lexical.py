@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from corvane.storage import stored
 
 #: (query, term) rows of one broadcast.
 BLOCK_TERMS = 1_000_000
+#: And rows of documents that are scored whatever their rank.
+BLOCK_KEPT = 1_000_000
 
 
 def forward(docs: DataFrame) -> DataFrame:
@@ -75,10 +78,37 @@ class LexicalIndex:
         """(term, df)."""
         return self.docs.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
+    def best(self, queries: DataFrame, k: int, keep: DataFrame | None = None, slack: float = 0.0) -> DataFrame:
+        return best(self, queries, k, keep, slack)
+
+
+class Searchable(Protocol):
+    """An index of documents by terms: one that is made for a table, or a stored one."""
+
+    def best(self, queries: DataFrame, k: int, keep: DataFrame | None = None, slack: float = 0.0) -> DataFrame:
+        """See ``best``."""
+
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct (query_id, term) of (query_id, query)."""
-    return queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term")).distinct()
+    return _terms(queries).distinct()
+
+
+def _terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
+
+
+def asked(queries: DataFrame, keep: DataFrame | None) -> Iterator[tuple[list[tuple], list]]:
+    """Queries in parts: distinct (query_id, term), and the rows of ``keep``, of bounded numbers in each."""
+    rows, also = _terms(queries).take(BLOCK_TERMS + 1), [] if keep is None else keep.take(BLOCK_KEPT + 1)
+    if len(rows) <= BLOCK_TERMS and len(also) <= BLOCK_KEPT:
+        yield sorted({(r["query_id"], r["term"]) for r in rows if r["query_id"] is not None}), also
+        return
+    wanted = query_terms(queries).where("query_id IS NOT NULL")
+    parts = max(-(-wanted.count() // BLOCK_TERMS), 0 if keep is None else -(-keep.count() // BLOCK_KEPT))
+    for k in range(parts):
+        mine = F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k
+        yield [tuple(r) for r in wanted.where(mine).collect()], [] if keep is None else keep.where(mine).collect()
 
 
 def idf(n, df):
@@ -116,24 +146,19 @@ def _grouped(keys: list, values: list[int], kind: pa.DataType) -> tuple[pa.Array
 
 def _blocks(index: LexicalIndex, queries: DataFrame, keep: DataFrame | None) -> Iterator[Broadcast]:
     spark = queries.sparkSession
-    wanted = query_terms(queries)
     q_type, id_type = key_type(queries, "query_id"), key_type(index.docs, "id")
     n, avgdl = index.stats.head()
-    parts = -(-wanted.count() // BLOCK_TERMS)
-    for k in range(parts):
-        mine = F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k
-        asked = wanted.where(mine)
-        rows = asked.collect()
-        names = F.broadcast(asked.select("term").distinct())
-        found = {r["term"]: r["df"] for r in index.docs.select(F.explode("terms.term").alias("term")).join(names, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).collect()}
-        rows = [r for r in rows if r["term"] in found]
+    for rows, kept_rows in asked(queries, keep):
+        names = spark.createDataFrame([(t,) for t in sorted({t for _, t in rows})], "term string")
+        found = {r["term"]: r["df"] for r in index.docs.select(F.explode("terms.term").alias("term")).join(F.broadcast(names), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).collect()}
+        rows = [r for r in rows if r[1] in found]
         if not rows:
             continue
-        ids = sorted({r["query_id"] for r in rows})
+        ids = sorted({q for q, _ in rows})
         number = {x: i for i, x in enumerate(ids)}
-        vocabulary, start, of = _grouped([r["term"] for r in rows], [number[r["query_id"]] for r in rows], pa.string())
+        vocabulary, start, of = _grouped([t for _, t in rows], [number[q] for q, _ in rows], pa.string())
         df = np.array([found[t] for t in vocabulary.to_pylist()], dtype=np.float64)
-        also = [r for r in (keep.where(mine).select("query_id", "id").collect() if keep is not None else []) if r["query_id"] in number]
+        also = [r for r in kept_rows if r["query_id"] in number]
         kept = _grouped([r["id"] for r in also], [number[r["query_id"]] for r in also], id_type)
         yield spark.sparkContext.broadcast(_Block(pa.array(ids, q_type), vocabulary, np.log(1 + (n - df + 0.5) / (df + 0.5)), start, of, avgdl, *kept))
 
@@ -256,11 +281,11 @@ def min_max(scores: DataFrame) -> DataFrame:
     return scores.join(limits, "query_id").select("query_id", "id", _scaled(F.col("score"), F.col("low"), F.col("high")).alias("score"))
 
 
-def best_scaled(index: LexicalIndex, queries: DataFrame, k: int, keep: DataFrame | None = None, weight: float = 1.0) -> DataFrame:
+def best_scaled(index: Searchable, queries: DataFrame, k: int, keep: DataFrame | None = None, weight: float = 1.0) -> DataFrame:
     """(query_id, id, score) as by ``min_max``, of what may rank among the k best when scores count ``weight`` and are rounded again, and of ``keep``."""
     # what differs by this share of the highest score can become equal by rounding twice
     slack = 1.0 if weight <= 0 else min(1.0, 4e-6 / weight + 4e-6)
-    return best(index, queries, k, keep, slack).select("query_id", "id", _scaled(F.col("score"), F.col("low"), F.col("high")).alias("score"))
+    return index.best(queries, k, keep, slack).select("query_id", "id", _scaled(F.col("score"), F.col("low"), F.col("high")).alias("score"))
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
@@ -269,6 +294,6 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
+def search(index: Searchable, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k best documents of each query."""
-    return top(best(index, queries, k).select("query_id", "id", "score"), k)
+    return top(index.best(queries, k).select("query_id", "id", "score"), k)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import shutil
 import tempfile
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -107,6 +109,57 @@ def create(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file under another name and gives it its own in one step; False where that is taken.
+
+    So a file is whole as soon as it is there, and of two writers one gets the
+    name. On a local disk the step is a hard link, elsewhere the store's rename,
+    which must not replace a file (as HDFS has it).
+    """
+    files, where = _at(spark, path)
+    if files.exists(where):
+        return False
+    draft = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}.draft"
+    create(spark, draft, text)
+    _, source = _at(spark, draft)
+    try:
+        if files.getScheme() != "file":
+            return bool(files.rename(source, where))
+        try:
+            os.link(source.toUri().getPath(), where.toUri().getPath())
+        except FileExistsError:
+            return False
+        return True
+    finally:
+        files.delete(source, False)
+
+
+def replace(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file whole and puts it in the place of what was there; readers see the one or the other."""
+    files, where = _at(spark, path)
+    draft = f"{path}.{uuid.uuid4().hex}.draft"
+    create(spark, draft, text)
+    _, source = _at(spark, draft)
+    if files.getScheme() == "file":
+        os.replace(source.toUri().getPath(), where.toUri().getPath())
+        return
+    overwrite = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(source, where, overwrite)
+
+
+def age(spark: SparkSession, path: str) -> float:
+    """Seconds since a file or folder was last changed."""
+    files, where = _at(spark, path)
+    return time.time() - files.getFileStatus(where).getModificationTime() / 1000
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files below a folder."""
+    files, where = _at(spark, path)
+    return files.getContentSummary(where).getLength()
+
+
 def small_bytes(spark: SparkSession, path: str) -> bytes | None:
     """A small file, read by the driver; None where there is none."""
     files, where = _at(spark, path)

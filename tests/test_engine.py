@@ -28,12 +28,58 @@ def test_searches_use_the_snapshot(spark, engine, monkeypatch):
         raise AssertionError("the index was built again")
 
     monkeypatch.setattr(lexical, "forward", never)
-    written, new_path = [], storage.new_path
-    monkeypatch.setattr(storage, "new_path", lambda s, name: written.append(name) or new_path(s, name))
-    q = spark.createDataFrame([(0, "coffee")], "query_id long, query string")
+    q, before = spark.createDataFrame([(0, "coffee")], "query_id long, query string"), list(storage._written)
     for mode in ("lexical", "hybrid", "semantic"):
         assert engine.search(q, mode).head()["note_path"] == "caffeine.md"
-    assert set(written) <= {"pool", "best"}
+    # what a search writes goes with it
+    assert storage._written == before
+
+
+def test_nothing_is_left(spark, engine):
+    from corvane import storage
+
+    before, q = list(storage._written), spark.createDataFrame([(0, "coffee")], "query_id long, query string")
+    for k in range(3):
+        engine.update(spark.createDataFrame([("tea.md", "Tea", f"tea number {k}")], "path string, title string, content string"), spark.createDataFrame([], "path string"))
+        engine.search(q).collect()
+    assert storage._written == before
+
+
+def test_many_results(spark, engine, monkeypatch):
+    from corvane import engine as module
+
+    q = spark.createDataFrame([(i, "coffee sleep") for i in range(4)], "query_id long, query string")
+    few = sorted(map(tuple, engine.search(q, k=5).collect()))
+    monkeypatch.setattr(module, "LOCAL_ROWS", 3)
+    assert sorted(map(tuple, engine.search(q, k=5).collect())) == few
+
+
+def bytes_read(spark):
+    return sum(e.totalInputBytes() for e in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+
+
+def test_a_search_reads_little(spark, tmp_path):
+    """A term of few notes: their postings, the ids and the pages of the found texts, no documents."""
+    import random
+
+    from corvane import storage
+
+    rng = random.Random(9)
+    words = [f"{rng.choice('abcdefgh')}{i:x}{rng.randint(0, 999)}" for i in range(20000)]
+    rows = [(f"n{i:05d}.md", f"N{i}", " ".join(rng.choices(words, k=150)) + (" rarity" if i in (17, 2300) else "")) for i in range(6000)]
+    engine = Engine(spark, str(tmp_path)).open(spark.createDataFrame(rows, "path string, title string, content string").repartition(8))
+    whole = storage.size(spark, f"{engine.index._home}/segments")
+    q = spark.createDataFrame([(0, "rarity")], "query_id long, query string")
+    sc, before = spark.sparkContext, bytes_read(spark)
+    sc.setJobGroup("one term", "")
+    try:
+        found = [r["note_path"] for r in engine.search(q, "lexical", 5).orderBy("rank").collect()]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(found) == ["n00017.md", "n02300.md"]
+    read = bytes_read(spark) - before
+    print(read, whole, len(sc.statusTracker().getJobIdsForGroup("one term")))
+    assert 0 < read <= whole / 20
 
 
 def test_update_moves_both_sides(spark, engine):

@@ -41,38 +41,96 @@ def test_commit_fails_between_steps(spark, tmp_path, monkeypatch):
         raise OSError("the store is gone")
 
     # after the rows, before the pointer
-    monkeypatch.setattr(module, "create", broken)
+    monkeypatch.setattr(module, "publish", broken)
     with pytest.raises(OSError):
         index.rebuild(notes(spark, ("b.md", "B", "two")))
     monkeypatch.undo()
     assert [r["text"] for r in index.load().collect()] == ["one"]
-    # a pointer that was created and never written
-    (tmp_path / index._home[len(str(tmp_path)) + 1 :] / "pointers" / "000000000002.json").write_text("")
-    assert [r["text"] for r in index.load().collect()] == ["one"]
+    assert len(segments(index)) == 2
+    # a writer that died while it wrote: nobody sees its draft
+    (home(index) / "pointers" / ".0.draft").write_text("{")
     index.merge(notes(spark, ("c.md", "C", "three")), notes(spark).select("path"))
     assert sorted(r["text"] for r in index.load().collect()) == ["one", "three"]
+    # what nobody names goes in time
+    late = Index(spark, str(tmp_path), orphan_age=-1.0)
+    late.merge(notes(spark, ("d.md", "D", "four")), notes(spark).select("path"))
+    assert len(segments(index)) == 3 == len(index.meta()["segments"])
+
+
+def home(index):
+    from pathlib import Path
+
+    return Path(index._home)
+
+
+def segments(index):
+    return [p.name for p in (home(index) / "segments").iterdir()]
 
 
 def test_two_writers(spark, tmp_path):
     from corvane.operators.index import Conflict
 
-    index = Index(spark, str(tmp_path))
+    index = Index(spark, str(tmp_path), keep=2)
     index.rebuild(notes(spark, ("a.md", "A", "one")))
-    base, other = index._pointers()[0][0], Index(spark, str(tmp_path))
-    name = index._write(index.rows(notes(spark, ("b.md", "B", "two"))))
-    other.merge(notes(spark, ("c.md", "C", "three")), notes(spark).select("path"))
+    base, head = index._head()
+    entry, length = index._write(index._chunked(notes(spark, ("b.md", "B", "two"))), None, None)
+    state = {"segments": [*head["segments"], entry], "count": 2, "length": head["length"] + length}
+    Index(spark, str(tmp_path)).merge(notes(spark, ("c.md", "C", "three")), notes(spark).select("path"))
     with pytest.raises(Conflict):
-        index._commit(name, base)
+        index._publish(base, state, head)
     assert sorted(r["text"] for r in index.load().collect()) == ["one", "three"]
+    # nor later, when the number that it wants has long been removed
+    for k in range(3):
+        index.merge(notes(spark, ("c.md", "C", f"three {k}")), notes(spark).select("path"))
+    assert base + 1 not in index._numbers()
+    with pytest.raises(Conflict):
+        index._publish(base, state, head)
+    assert base + 1 not in index._numbers()
+    assert sorted(r["text"] for r in index.load().collect()) == ["one", "three 2"]
 
 
-def test_old_snapshots_go(spark, tmp_path):
+def test_writers_of_two_processes(spark, tmp_path):
+    """Another process takes the number while this one has its pointer drafted, and has not named it yet."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    from corvane import storage
+    from corvane.operators.index import Conflict
+
+    index = Index(spark, str(tmp_path))
+    index.rebuild(notes(spark, ("a.md", "A", "one")))
+    other = f"""
+import sys
+from pyspark.sql import SparkSession
+from corvane.operators.index import Index
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+Index(s, {str(tmp_path)!r}).merge(s.createDataFrame([("c.md", "C", "three")], "path string, title string, content string"), s.createDataFrame([], "path string"))
+"""
+    create, ran = storage.create, []
+
+    def slow(s, path, text):
+        done = create(s, path, text)
+        if path.endswith(".draft") and not ran:
+            ran.append(subprocess.run([sys.executable, "-c", other], cwd=Path(__file__).resolve().parent.parent, capture_output=True, timeout=120, check=True))
+        return done
+
+    storage.create = slow
+    try:
+        with pytest.raises(Conflict):
+            index._merge(notes(spark, ("b.md", "B", "two")), notes(spark).select("path"))
+    finally:
+        storage.create = create
+    assert len(ran) == 1
+    index.merge(notes(spark, ("b.md", "B", "two")), notes(spark).select("path"))
+    assert sorted(r["text"] for r in index.load().collect()) == ["one", "three", "two"]
+
+
+def test_old_states_go(spark, tmp_path):
     index = Index(spark, str(tmp_path), keep=2)
     for k in range(4):
         index.rebuild(notes(spark, ("a.md", "A", f"text {k}")))
-    assert len(index._pointers()) == 2
-    folders = [p for p in (tmp_path / index._home[len(str(tmp_path)) + 1 :]).iterdir() if p.name != "pointers"]
-    assert len(folders) == 2 and index.load().head()["text"] == "text 3"
+    assert len(index._numbers()) == 2 == len(segments(index)) and index.load().head()["text"] == "text 3"
 
 
 def test_refuses_damaged(spark, tmp_path):
@@ -81,16 +139,87 @@ def test_refuses_damaged(spark, tmp_path):
     wrong = Index(spark, str(tmp_path), embedder=CallableEmbedder(lambda: lambda texts: [[1.0] for _ in texts], 2, "wrong"))
     with pytest.raises(Exception, match="the model gave"):
         wrong.rebuild(notes(spark, ("a.md", "A", "one")))
+
+    class Short:
+        model_id, dim, query_instruction = "short", 3, ""
+
+        def embed(self, rows, text="surface"):
+            return rows.select("id", F.array(F.lit(1.0).cast("float")).alias("embedding"))
+
+    short = Index(spark, str(tmp_path), embedder=Short())
+    with pytest.raises(ValueError, match="dimension"):
+        short.rebuild(notes(spark, ("a.md", "A", "one")))
+    assert segments(short) == [] and short.load() is None
     index = Index(spark, str(tmp_path))
     index.rebuild(notes(spark, ("a.md", "A", "one"), ("b.md", "B", "two")))
-    short = index.load().limit(1)
-    with pytest.raises(ValueError, match="dimension"):
-        index._commit(index._write(short.withColumn("embedding", F.slice("embedding", 1, 3))), None)
-    short.write.mode("append").parquet(f"{index._home}/{index.meta()['snapshot']}")
+    name = index.meta()["segments"][0]["name"]
+    index.load().select(F.lit(7).cast("long").alias("doc"), "id").limit(1).write.mode("append").parquet(f"{index._at(name)}/rows")
     with pytest.raises(ValueError, match="pointer says"):
         index.load()
 
 
+def tables(spark):
+    """Folders that this application has written to the shared store and not removed."""
+    from corvane import storage
+
+    return set(storage._written)
+
+
+def test_random_changes(spark, tmp_path):
+    """After each of many changes the index reads as one built anew: rows, idf, searches; and it compacts."""
+    import random
+
+    from corvane.operators import lexical
+    from corvane.operators.ranking import surfaces
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    index = Index(spark, str(tmp_path), Settings(chunk_tokens=12, chunk_overlap=2), fan=3)
+    state = {f"n{i}.md": " ".join(rng.choices(words, k=rng.randint(0, 40))) for i in range(30)}
+    index.rebuild(notes(spark, *((p, p, t) for p, t in state.items())))
+    before = tables(spark)
+    most, queries = 0, spark.createDataFrame([(i, " ".join(rng.sample(words, 3))) for i in range(6)], "query_id long, query string")
+    for step in range(12):
+        gone = rng.sample(sorted(state), 2)
+        edits = {f"n{rng.randint(0, 40)}.md": " ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(3)}
+        gone = [p for p in gone if p not in edits]
+        state = {p: t for p, t in state.items() if p not in gone} | edits
+        index.merge(notes(spark, *((p, p, t) for p, t in edits.items())), spark.createDataFrame([(p,) for p in gone], "path string"))
+        most = max(most, len(index.meta()["segments"]))
+        if step % 4 == 3:
+            fresh = index._chunked(notes(spark, *((p, p, t) for p, t in state.items())))
+            view = index.view()
+            assert sorted((r["id"], r["text"], r["hash"]) for r in view.rows.collect()) == sorted((r["id"], r["text"], r["hash"]) for r in fresh.collect())
+            plain = lexical.LexicalIndex.build(surfaces(fresh)[1])
+            assert view.postings.frequencies([*words, "zzz", "n1"]) == {r["term"]: r["df"] for r in plain.df.collect() if r["term"] in [*words, "n1"]}
+            n, avgdl = plain.stats.head()
+            assert (view.postings.n, view.postings.length / view.postings.n) == (n, avgdl)
+            for k in (2, 50):
+                # with all scores, so that ends and ties count
+                assert [sorted(map(tuple, lexical.top(lexical.best_scaled(i, queries, k), k).collect())) for i in (view.postings, plain)][0] == sorted(map(tuple, lexical.top(lexical.best_scaled(plain, queries, k), k).collect()))
+            vectors = {r["id"]: r["embedding"] for r in view.vectors.collect()}
+            want = {r["id"]: r["embedding"] for r in index.embedder.embed(surfaces(fresh)[0]).collect()}
+            assert vectors == want
+    assert 1 < most < 8
+    index.compact(everything=True)
+    meta = index.meta()
+    assert len(meta["segments"]) == 1 and meta["segments"][0]["rows"] == meta["count"] and not meta["segments"][0]["dead"]
+    assert sorted(r["id"] for r in index.load().collect()) == sorted(r["id"] for r in fresh.collect())
+    # nothing is left but what the comparison stored
+    assert {p.rsplit("/", 1)[1].split("-")[0] for p in tables(spark) - before} <= {"lexical", "best", "candidates"}
+
+
+def test_small_change_writes_little(spark, tmp_path):
+    from corvane import storage
+
+    index = Index(spark, str(tmp_path))
+    index.rebuild(notes(spark, *((f"n{i:04d}.md", f"N{i}", " ".join(f"word{(i * 7 + j) % 900} other{i % 37}" for j in range(60))) for i in range(3000))))
+    before = storage.size(spark, f"{index._home}/segments")
+    index.merge(notes(spark, ("n0007.md", "N7", "a changed note of a few words")), notes(spark).select("path"))
+    assert index.meta()["count"] == 3000 and len(index.meta()["segments"]) == 2
+    assert storage.size(spark, f"{index._home}/segments") - before < 40_000 < before / 20
+
+
 def test_diff(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "id string, hash string")
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "id string, hash string")
