@@ -6,6 +6,7 @@ import contextlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from corvane.config import CONTEXT_CHUNKS, HISTORY_MESSAGES, MODELS, SIMILARITY_
 from corvane.functions import text as T
 from corvane.operators import chat, generation, ranking, vectors
 from corvane.operators.index import Index, View, stats
-from corvane.storage import new_path, replace, scratch, small_text, stored
+from corvane.operators.postings import PUSHED
+from corvane.storage import new_path, replace, scratch, small_text
 
 _CHUNK = ("id", "note_path", "note_title", "heading", "ordinal", "text")
 
@@ -115,14 +117,20 @@ class Engine:
         """
         chunks = self.chunks
         asked = queries.where(T.trimmed(F.col("query")) != "")
-        few = k * asked.count() <= LOCAL_ROWS
+        limit = LOCAL_ROWS // max(1, k)
+        few = len(asked.select("query_id").take(limit + 1)) <= limit
         path = None if few else new_path(self.spark, "results")
         with scratch(self.spark):
             ranked = ranking.rank(chunks, asked, mode, k, self.settings.alpha, self.embedder, self.view.postings, self.view.vectors, self.settings.ann_threshold, self.size)
-            found = ranking.with_chunks(stored(ranked, "ranked") if few else ranked, chunks)
             if few:
-                return self.spark.createDataFrame(found.collect(), found.schema)
-            found.write.parquet(path)
+                found = ranked.collect()
+                ids = sorted({r["id"] for r in found})
+                if len(ids) <= PUSHED:
+                    # reaches the pages that hold the chunks
+                    chunks = chunks.where(reduce(lambda a, b: a | b, [F.col("id") == i for i in ids], F.lit(False)))
+                out = ranking.with_chunks(F.broadcast(self.spark.createDataFrame(found, ranked.schema)), chunks)
+                return self.spark.createDataFrame(out.collect(), out.schema)
+            ranking.with_chunks(ranked, chunks).write.parquet(path)
         return self.spark.read.parquet(path)
 
     def session(self, generate: Callable[[str], str] | None = None, **options) -> Session:

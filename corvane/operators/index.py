@@ -240,7 +240,7 @@ class Index:
         name = uuid.uuid4().hex
         path = self._at(name)
         try:
-            small_pages(numbered(chunks.select(*_COLUMNS)).write).parquet(f"{path}/rows")
+            small_pages(numbered(chunks.select(*_COLUMNS)).write, 32).option("parquet.enable.dictionary#text", "false").parquet(f"{path}/rows")
             rows = read(self.spark, [f"{path}/rows"], f"doc long, {CHUNK}")
             size, gone = rows.count(), 0
             surface = surfaces(rows.drop("id").withColumnRenamed("doc", "id"))

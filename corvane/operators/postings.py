@@ -35,7 +35,7 @@ from corvane.config import B, K1
 from corvane.functions.terms import counted
 from corvane.operators import lexical
 from corvane.operators.best import CELLS, Best, key_type
-from corvane.storage import listed, new_path, stored
+from corvane.storage import listed, new_path, scratch, stored
 
 #: Documents of a block, and numbers that a task can give out.
 DOCS = 2048
@@ -155,9 +155,9 @@ def write_terms(rows: DataFrame, path: str, size: int, counts: DataFrame | None
     return Segment.of_folder(spark, path, n), found.agg(F.coalesce(F.sum("total"), F.lit(0))).head()[0]
 
 
-def small_pages(writer):
-    """Pages small enough that a look-up of few rows reads little."""
-    return writer.option("parquet.page.size", str(1 << 16)).option("parquet.page.row.count.limit", "1024")
+def small_pages(writer, rows: int = 256):
+    """Pages of so few rows that a look-up reads little."""
+    return writer.option("parquet.page.size", str(1 << 16)).option("parquet.page.row.count.limit", str(rows))
 
 
 @dataclass(frozen=True)
@@ -212,7 +212,9 @@ class PostingIndex:
         """One segment of (id, surface), written to the shared folder."""
         spark = surfaces.sparkSession
         path = new_path(spark, "postings")
-        numbered(surfaces.select("id", "surface")).write.parquet(f"{path}/rows")
+        with scratch(spark):
+            # dealing rows out by ranges of ids goes through them twice
+            numbered(stored(surfaces.select("id", "surface"), "surfaces")).write.parquet(f"{path}/rows")
         rows = spark.read.parquet(f"{path}/rows")
         size = rows.count()
         segment, length = write_terms(rows, path, size)
@@ -494,5 +496,5 @@ def best(index: PostingIndex, queries: DataFrame, k: int, keep: DataFrame | None
     rows = stored(found(index, queries, k, keep, slack, k1, b), "best")
     limits = rows.where("low IS NOT NULL").groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     # tasks x segments x queries x k rows meet the ids
-    own = stored(rows.where("doc IS NOT NULL").select("query_id", "segment", "doc", "score"), "candidates")
+    own = rows.where("doc IS NOT NULL").select("query_id", "segment", "doc", "score")
     return index.docs.join(own, ["segment", "doc"]).select("query_id", "id", "score").join(limits, "query_id")

@@ -23,7 +23,7 @@ def surfaces(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chunks.select("id", T.embed_surface(F.col("heading"), F.col("text")).alias("surface")), chunks.select("id", T.lexical_surface(F.col("note_title"), F.col("heading"), F.col("text")).alias("surface"))
 
 
-def rank(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K, alpha: float = ALPHA, embedder=None, index: lexical.LexicalIndex | None = None, embedded: DataFrame | None = None, threshold: int | None = None, rows: int | None = None) -> DataFrame:
+def rank(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K, alpha: float = ALPHA, embedder=None, index: lexical.Searchable | None = None, embedded: DataFrame | None = None, threshold: int | None = None, rows: int | None = None) -> DataFrame:
     """(query_id, rank, id, score, semantic_score, lexical_score): the k best chunks of each query.
 
     A mode builds only the side that it needs, and only what ``index`` and

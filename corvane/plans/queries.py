@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.config import ALPHA, CONTEXT_CHUNKS, DEBOUNCE_MS, HISTORY_MESSAGES, MODES, TOP_K, Settings
 from corvane.functions import text as T
 from corvane.operators import chat, evaluation, generation, index, lexical, ranking, vectors
+from corvane.operators.postings import PostingIndex
 from corvane.plans import bindings as b
 from corvane.storage import new_path, stored, table
 from corvane.tools import corpus
@@ -143,7 +144,7 @@ def bm25_score(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    return lexical.search(lexical.LexicalIndex.build(_surface(spark, d)), b.queries(spark, d), TOP_K)
+    return lexical.search(PostingIndex.build(_surface(spark, d)), b.queries(spark, d), TOP_K)
 
 
 @query
@@ -212,7 +213,8 @@ def blend_full_outer(spark, d):
 
 def _search(spark, d, mode):
     c = b.kept_chunks(spark, d)
-    return ranking.with_chunks(ranking.rank(c, b.queries(spark, d), mode), c).select("query_id", "rank", "id", "score", "semantic_score", "lexical_score", "note_path", "snippet")
+    postings = None if mode == "semantic" else PostingIndex.build(ranking.surfaces(c)[1])
+    return ranking.with_chunks(ranking.rank(c, b.queries(spark, d), mode, index=postings), c).select("query_id", "rank", "id", "score", "semantic_score", "lexical_score", "note_path", "snippet")
 
 
 @query
@@ -254,7 +256,7 @@ def eval_all_modes(spark, d):
     c, q = b.kept_chunks(spark, d), stored(b.qrels(spark, d), "qrels")
     surface = ranking.surfaces(c)
     # built once for all modes
-    known = {"index": lexical.LexicalIndex.build(surface[1]), "embedded": stored(vectors.HashingEmbedder().embed(surface[0]), "embedded")}
+    known = {"index": PostingIndex.build(surface[1]), "embedded": stored(vectors.HashingEmbedder().embed(surface[0]), "embedded")}
     each = [evaluation.mean_metrics(evaluation.ndcg_recall(_ranking(spark, d, m, c, **known), q)).select(F.lit(m).alias("mode"), "queries", "ndcg", "recall") for m in MODES]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
