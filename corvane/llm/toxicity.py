@@ -3,13 +3,15 @@
 A word is its whole form and its character n-grams of 3 to 5 with boundary
 marks, each hashed into ``BUCKETS``; its vector is the mean of their
 embeddings, a text's vector the mean over the words of its distinct parts between
-white space, so a part that is repeated counts once, and an unseen misspelling
-shares the n-grams of the words it resembles. Embeddings and softmax are
+white space, so a part that is repeated counts once. An unseen misspelling
+shares n-grams with the words it resembles; those that clean words have as well
+count little, so it is known where enough of the others are left. Embeddings and softmax are
 trained jointly in numpy (mini-batches, Adam) on a bounded sample of labelled
 rows: at most about ``MAX_ROWS`` of each class and ``MAX_BYTES`` in all, taken
 by a hash of the id, whole texts. A row of the sample goes only as a near copy
 (``COPY``) of a row kept before with the same label. Of the buckets those are trained whose presence in
-a text departs far enough from independence of the label; their weights are
+a text departs far enough from independence of the label, and with a telling word
+its n-grams that lean to toxic texts, however many that are; their weights are
 scaled to one size and their embeddings decay. ``Setting`` is chosen by
 ``toxicity_folds``, inside the rows that may be learnt from.
 
@@ -67,9 +69,9 @@ class Setting:
     min_texts: int = 2
     #: And those whose presence in a text tells less of its label than this, in standard deviations.
     screen: float = 4.0
-    decay: float = 0.01
-    #: At most so many buckets are trained, those that tell most.
-    most: int = 150
+    decay: float = 0.03
+    #: Of a telling word's n-grams those are trained that are so much more frequent in toxic texts.
+    leaning: float = 2.0
     #: At least so many, of few texts, whatever they tell.
     least: int = 40
     step: float = 0.05
@@ -106,7 +108,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             value += codes[inside + j] * _KEYS[j]
         found.append(value + np.uint64(n))
         owners.append(owner[inside])
-    return (wordhash.mix(np.concatenate(found)) >> np.uint64(46)).astype(np.int32), np.concatenate(owners)
+    return (wordhash.mix(np.concatenate(found)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32), np.concatenate(owners)
 
 
 class Bags:
@@ -129,6 +131,13 @@ class Bags:
         self._table, self._size = np.concatenate(parts), np.concatenate(sizes)
         self._start = np.cumsum(self._size) - self._size
 
+    def families(self, chosen: np.ndarray) -> np.ndarray:
+        """The buckets of the words whose whole form is one of ``chosen`` (a flag for each bucket), with those of all their n-grams."""
+        # a word's whole form is the first of its buckets
+        own = np.flatnonzero(chosen[self._table[self._start]]) if len(self._start) else self._start
+        size = self._size[own]
+        return np.unique(self._table[np.repeat(self._start[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+
     def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for index, n in self._counts:
             own = self._size[index]
@@ -184,7 +193,7 @@ class Scorer:
     """Scores texts; keeps (sum of its words' numbers) + (its words) i of parts between white space."""
 
     def __init__(self, model: Model):
-        self._values, self._bias = model.by_bucket.astype(np.float64), model.bias
+        self._values, self._bias = model.by_bucket, model.bias
         self._known: dict[str, complex] = {}
 
     def _add(self, parts: list[str]) -> None:
@@ -243,10 +252,15 @@ def fit(texts: list[str], labels: list[int], setting: Setting = SETTING) -> Mode
     for label, (ids, weights) in zip(y.tolist(), found, strict=True):
         held_by[label, ids] += 1
         squares[ids] += weights.astype(np.float64) ** 2
-    # only telling buckets are trained: all others add nothing
-    tells = np.where(held_by.sum(axis=0) >= setting.min_texts, told(held_by, np.bincount(y, minlength=2)), 0.0)
-    enough = min(setting.most, max(int((tells >= setting.screen).sum()), min(setting.least, int((tells > 0).sum()))))
-    kept = np.sort(np.argsort(-tells, kind="stable")[:enough])
+    counts = np.bincount(y, minlength=2)
+    # telling buckets are trained, and with a telling word its n-grams, by which a misspelling is known; all others add nothing
+    tells = np.where(held_by.sum(axis=0) >= setting.min_texts, told(held_by, counts), 0.0)
+    enough = max(int((tells >= setting.screen).sum()), min(setting.least, int((tells > 0).sum())))
+    telling = np.zeros(BUCKETS, dtype=bool)
+    telling[np.argsort(-tells, kind="stable")[:enough]] = True
+    toxic = (held_by[1] + 0.5) / counts[1] / ((held_by[0] + 0.5) / counts[0])
+    family = found.families(telling & (toxic > 1))
+    kept = np.union1d(np.flatnonzero(telling), family[toxic[family] >= setting.leaning])
     number = np.full(BUCKETS, -1, dtype=np.int32)
     number[kept] = np.arange(len(kept))
     # a rare bucket's weights are scaled to those of a common one

@@ -21,7 +21,7 @@ import pyarrow.parquet as pq
 from corvane.llm import toxicity
 
 FOLDS = 4
-TRIED = [toxicity.Setting(few, 4.0, decay, most, least) for few, decay, most, least in itertools.product((2, 4), (0.003, 0.01), (100, 150, 250), (0, 20, 40, 80))]
+TRIED = [toxicity.Setting(2, screen, decay, leaning, 40) for screen, decay, leaning in itertools.product((3.0, 4.0, 5.0), (0.003, 0.01, 0.03), (0.0, 1.5, 2.0, 3.0, 5.0, 8.0))]
 
 
 def rows(folder: str) -> tuple[list[str], list[int]]:
