@@ -114,11 +114,44 @@ def eval_title(content: Column, name: Column) -> Column:
     return F.when(found != "", found).otherwise(F.regexp_replace(name, r"\.md\z", ""))
 
 
+#: Fixed values of YAML's core types: plain scalars of these forms are no strings.
+_NOT_STRING = r"(?:~|null|Null|NULL|true|True|TRUE|false|False|FALSE|[-+]?[0-9]+|0o[0-7]+|0x[0-9a-fA-F]+|[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN))?"
+#: What an escape of a double-quoted scalar stands for.
+_ESCAPES = {"0": "\0", "a": "\a", "b": "\b", "t": "\t", "n": "\n", "v": "\v", "f": "\f", "r": "\r", "e": "\x1b", "N": "\u0085", "_": " ", "L": " ", "P": " "}
+_COMMENT = r"[ \t]*(?:[ \t]#.*)?\z"
+_DOUBLE = rf'(?s)\A"((?:[^"\\]|\\.)*)"{_COMMENT}'
+_SINGLE = rf"(?s)\A'((?:[^']|'')*)'{_COMMENT}"
+
+
+def _unescaped(c: Column) -> Column:
+    r"""The inside of a double-quoted scalar: \x41, A (pairs of surrogates side by side) and single letters."""
+
+    def part(x: Column) -> Column:
+        hexed = F.when(x.rlike(r"(?s)\A\\x"), F.regexp_replace(x, r"\\x", "00")).otherwise(F.regexp_replace(x, r"\\u", ""))
+        one = F.substring(x, 2, 1)
+        named = F.lit(None).cast("string")
+        for letter, value in _ESCAPES.items():
+            named = F.when(one == letter, F.lit(value)).otherwise(named)
+        return F.when(~x.startswith("\\"), x).when(x.rlike(r"(?s)\A\\[xu].."), F.decode(F.unhex(hexed), "UTF-16BE")).otherwise(F.coalesce(named, one))
+
+    tokens_ = F.regexp_extract_all(c, F.lit(r"(?s)(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|\\.|[^\\]+"), F.lit(0))
+    return F.array_join(F.transform(tokens_, part), "")
+
+
+def yaml_text(raw: Column) -> Column:
+    """The string that a scalar on one line stands for; null for other types, for collections and for what is no scalar."""
+    double, single = F.regexp_extract(raw, _DOUBLE, 1), F.regexp_extract(raw, _SINGLE, 1)
+    plain = trimmed(F.regexp_replace(raw, r"(?:\A|[ \t])#.*\z", ""))
+    # characters that start no plain scalar, and what a mapping inside would need
+    odd = plain.rlike(r"""\A(?:[\[\]{},&*!|>%@`"']|[-?:](?:\s|\z))""") | plain.rlike(r":(?:\s|\z)")
+    return F.when(raw.rlike(_DOUBLE), _unescaped(double)).when(raw.rlike(_SINGLE), F.replace(single, F.lit("''"), F.lit("'"))).when(~odd & ~plain.rlike(rf"\A{_NOT_STRING}\z"), plain)
+
+
 def frontmatter_title(content: Column, path: Column) -> Column:
-    """The title of the frontmatter block if it is a non-empty string, else the base name."""
+    """The title of the frontmatter block if it is a non-empty string, else the base name; titles of several lines are not read."""
     block = F.regexp_extract(content, _FENCE, 2)
-    found = F.regexp_replace(F.regexp_extract(block, r'(?m)^title:[ \t]*"?([^"\r\n]*)"?[ \t]*$', 1), r'\\"', '"')
-    return F.when(found != "", found).otherwise(basename(path))
+    raw = F.regexp_extract(block, r"(?m)^(?:title|\"title\"|'title')[ \t]*:(?:[ \t]+([^\r\n]*?))?[ \t]*\r?$", 1)
+    return F.coalesce(bound(raw, lambda x: F.nullif(yaml_text(x), F.lit(""))), basename(path))
 
 
 def excluded(path: Column, folders: tuple[str, ...]) -> Column:

@@ -20,6 +20,7 @@ from corvane.operators.lexical import forward
 from corvane.operators.postings import PUSHED, PostingIndex, Segment, numbered, read, small_pages, write_terms
 from corvane.operators.ranking import surfaces
 from corvane.operators.vectors import Embedder, HashingEmbedder, signed
+from corvane.sources import notes as notes_source
 from corvane.storage import age, listed, publish, remove, scratch, small_text, stored
 
 
@@ -262,14 +263,14 @@ class Index:
             raise
         return {"name": name, "rows": size, "dead": gone, **{k: v for k, v in asdict(terms).items() if k != "path"}}, length
 
-    def rebuild(self, notes: DataFrame) -> None:
-        """One segment of all notes in the place of whatever is there."""
+    def rebuild(self, notes: DataFrame, manifest: str | None = None) -> None:
+        """One segment of all notes in the place of whatever is there; ``manifest`` is for ``reconcile``."""
         with scratch(self.spark):
             entry, length = self._write(stored(self._chunked(notes), "chunks"), None, None)
         while True:
             number, parent = self._head()
             try:
-                return self._publish(number, {"segments": [entry], "count": entry["rows"], "length": length}, parent)
+                return self._publish(number, {"segments": [entry], "count": entry["rows"], "length": length, "manifest": manifest}, parent)
             except Conflict:
                 # what is written stands for the whole, whoever was first
                 continue
@@ -299,11 +300,57 @@ class Index:
                     raise
         self.compact()
 
-    def _merge(self, notes: DataFrame, gone: DataFrame) -> None:
+    def reconcile(self, folder: str, attempts: int = 3) -> dict[str, int]:
+        """Brings the index to the state of a folder of Markdown files; how many were listed, read and gone.
+
+        The state keeps a manifest (path, length, mtime) of what was listed before.
+        Only files that are not in it as they are now are opened, so a changed file among many costs
+        one read; whether its text differs, the hashes of its chunks tell. A change by another way
+        drops the manifest, and the next call reads all files. A file that is changed
+        within the store's clock tick and keeps its length is not noticed.
+        """
+        for attempt in range(attempts):
+            try:
+                return self._reconcile(folder)
+            except Conflict:
+                if attempt == attempts - 1:
+                    raise
+        raise ValueError("attempts must be positive")
+
+    def _reconcile(self, folder: str) -> dict[str, int]:
+        state = self.meta() or {}
+        name = uuid.uuid4().hex
+        with scratch(self.spark):
+            now = stored(notes_source.listing(self.spark, folder), "listing")
+            old = read(self.spark, [f"{self._home}/manifests/{state['manifest']}"] if state.get("manifest") else [], "path string, length long, mtime timestamp")
+            changed = [r["file"] for r in now.join(old, ["path", "length", "mtime"], "left_anti").select("file").collect()]
+            if state.get("manifest"):
+                gone = old.join(now, "path", "left_anti").select("path")
+            else:
+                known = self._all(state, "rows", CHUNK).select(F.col("note_path").alias("path")).distinct() if state else read(self.spark, [], "path string")
+                gone = known.join(now, "path", "left_anti")
+            gone = stored(gone, "gone")
+            counts = {"listed": now.count(), "read": len(changed), "gone": gone.count()}
+            if not changed and not counts["gone"] and state.get("manifest"):
+                return counts
+            opened = notes_source.read_notes(self.spark, folder, only=changed).select("path", "title", "content") if changed else read(self.spark, [], "path string, title string, content string")
+            opened = stored(opened, "opened")
+            now.select("path", "length", "mtime").coalesce(1).write.parquet(f"{self._home}/manifests/{name}")
+            try:
+                self._merge(opened, gone, name)
+            except BaseException:
+                remove(self.spark, f"{self._home}/manifests/{name}")
+                raise
+        for other in listed(self.spark, f"{self._home}/manifests"):
+            if other not in {(self._pointer(n) or {}).get("manifest") for n in self._numbers()} and age(self.spark, f"{self._home}/manifests/{other}") > self.orphan_age:
+                remove(self.spark, f"{self._home}/manifests/{other}")
+        return counts
+
+    def _merge(self, notes: DataFrame, gone: DataFrame, manifest: str | None = None) -> None:
         number, head = self._head()
         meta = self.meta()
         if meta is None:
-            self.rebuild(notes)
+            self.rebuild(notes, manifest)
             return
         with scratch(self.spark):
             new = stored(self._chunked(notes), "chunks")
@@ -318,12 +365,14 @@ class Index:
             changed = stored(new.join(old.select("id", "hash"), ["id", "hash"], "left_anti"), "changed")
             dead = stored(old.join(new.select("id", "hash"), ["id", "hash"], "left_anti"), "dead")
             if changed.isEmpty() and dead.isEmpty():
+                if manifest:
+                    self._publish(number, {**{k: meta[k] for k in ("segments", "count", "length")}, "manifest": manifest}, head)
                 return
             terms = [forward(surfaces(x)[1]) for x in (changed, dead)]
             signed_counts = [t.select(F.explode("terms.term").alias("term")).groupBy("term").agg((sign * F.count("*")).alias("df")) for t, sign in zip(terms, (1, -1), strict=True)]
             entry, length = self._write(changed, signed_counts[0].unionByName(signed_counts[1]), dead)
             lost = terms[1].agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).head()[0]
-        state = {"segments": [*meta["segments"], entry], "count": meta["count"] + entry["rows"] - entry["dead"], "length": meta["length"] + length - lost}
+        state = {"segments": [*meta["segments"], entry], "count": meta["count"] + entry["rows"] - entry["dead"], "length": meta["length"] + length - lost, "manifest": manifest}
         self._publish_or_remove(number, state, head, entry["name"])
 
     def _publish_or_remove(self, number: int, state: dict, head: dict | None, name: str) -> None:
@@ -361,7 +410,7 @@ class Index:
                 entry, _ = self._write(rows, counts, None if carried is None or carried.isEmpty() else carried, vectors)
             rest = [s for s in meta["segments"] if s["name"] not in names]
             try:
-                self._publish_or_remove(number, {**{k: meta[k] for k in ("count", "length")}, "segments": [*rest, entry]}, head, entry["name"])
+                self._publish_or_remove(number, {**{k: meta.get(k) for k in ("count", "length", "manifest")}, "segments": [*rest, entry]}, head, entry["name"])
             except Conflict:
                 return
             everything = False

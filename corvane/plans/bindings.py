@@ -34,6 +34,17 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", file.alias("file"), _path().alias("path"), title.alias("title"), F.concat(head, F.lit("# "), title, F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("content"))
 
 
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with a title in one of the ways that people write them: doc_id, path, content."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.col("doc_id").cast("string")
+    ways = [F.concat(F.lit('"Say \\"doc '), n, F.lit('\\" \\\\ \\u00e9\\t."  # note')), F.concat(F.lit("'It''s doc "), n, F.lit("'")), F.concat(F.lit("Doc "), n, F.lit(" # a comment")), n, F.concat(F.lit("[doc, "), n, F.lit("]")), F.lit("true"), F.lit(""), F.concat(F.lit("Doc#"), n, F.lit(",:no"))]
+    value = F.lit("")
+    for k, way in enumerate(ways):
+        value = F.when(F.col("doc_id") % len(ways) == k, way).otherwise(value)
+    return docs.select("doc_id", _path().alias("path"), F.concat(F.lit("---\ntags: x\ntitle: "), value, F.lit("\n---\n"), F.coalesce("text", F.lit(""))).alias("content"))
+
+
 def conversation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as a note with a section for each turn."""
     turns = table(spark, sf_dir, "conversations")

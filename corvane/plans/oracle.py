@@ -179,14 +179,11 @@ def _search(mode: str) -> str:
     return f"SELECT query_id, rank, id, score, semantic_score, lexical_score, note_path, {snippet('text')} AS snippet FROM ({_top(f'r20_{mode}', 20, 'query_id, id, score, semantic_score, lexical_score')}) t JOIN d USING (id)"
 
 
-def _values(items: list[str]) -> str:
-    return "(VALUES " + ", ".join(f"({i}::BIGINT, {_str(x)})" for i, x in enumerate(items)) + ") AS t(n, body)"
-
-
 _PROMPT_HEAD = _str("\n".join([*chat.RULES, "", ""]))
 
 BODIES: dict[str, str] = {
     "note_scan": f"SELECT path, title, length(content) AS n_chars FROM (SELECT path, content, CASE WHEN starts_with(content, '---') THEN title ELSE {basename('path')} END AS title FROM markdown) WHERE NOT {excluded('path')}",
+    "frontmatter_titles": f"SELECT path, CASE doc_id % 8 WHEN 0 THEN concat('Say \"doc ', doc_id, '\" ', chr(92), ' é', chr(9), '.') WHEN 1 THEN 'It''s doc ' || doc_id WHEN 2 THEN 'Doc ' || doc_id WHEN 7 THEN concat('Doc#', doc_id, ',:no') ELSE {basename('path')} END AS title FROM notes",
     "note_title": "SELECT path, title FROM rendered",
     "note_basename": f"SELECT path, {basename('path')} AS base FROM markdown UNION ALL SELECT url, {basename('url')} FROM pages",
     "exclude_folders": f"SELECT path, {excluded('path')} AS excluded FROM notes",
@@ -243,8 +240,8 @@ BODIES: dict[str, str] = {
     "qrels_build": "SELECT query_id, any_value(query) AS query, string_agg(note, ';' ORDER BY r.doc_id) AS relevant FROM qrels r JOIN bench USING (query_id) GROUP BY query_id",
     "qa_slice": "SELECT id, 'question ' || id AS question, min_by(source, doc_id) AS document_title, 'answer ' || min(CASE WHEN toxic = 1 THEN doc_id END) AS answer, string_agg(CASE WHEN toxic = 1 THEN 'answer ' || doc_id END, ';' ORDER BY doc_id) AS answers, string_agg('answer ' || doc_id, ';' ORDER BY doc_id) AS candidates FROM (SELECT doc_id // 20 AS id, doc_id, coalesce(source, '') AS source, toxic FROM documents JOIN (SELECT DISTINCT doc_id, toxic FROM labels) USING (doc_id)) GROUP BY id HAVING count(*) >= 4 AND sum(toxic) > 0 ORDER BY min(doc_id) LIMIT 150",
     "llm_request_build": "SELECT query_id, to_json({'model': 'llama3.1:8b', 'prompt': query, 'stream': false})::VARCHAR AS ollama, to_json({'model': 'local', 'messages': [{'role': 'user', 'content': query}], 'temperature': 0})::VARCHAR AS chat FROM bench",
-    "llm_response_parse": f"SELECT n, coalesce(body::JSON ->> '$.response', '') AS ollama, coalesce(body::JSON ->> '$.choices[0].message.content', '') AS chat FROM {_values(q._REPLIES)}",
-    "model_listing": f"SELECT n, array_to_string(list_prepend('current', list_filter(body::JSON ->> '$.models[*].name', lambda x: x IS NOT NULL AND x <> '')), ';') AS models FROM {_values(q._LISTS)}",
+    "llm_response_parse": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') ELSE '' END AS ollama, CASE WHEN doc_id % 5 = 2 THEN coalesce(text, '') ELSE '' END AS chat FROM documents",
+    "model_listing": "SELECT doc_id, models AS ollama, models AS chat FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat_ws(';', 'current', nullif(source, ''), CASE WHEN lang <> '' AND lang IS DISTINCT FROM source THEN lang END) ELSE 'current' END AS models FROM documents)",
     "model_file_path": r"SELECT page_id, 'org/model/' || url AS path, url AS trimmed, NULL::VARCHAR AS missing FROM pages",
 }
 

@@ -36,6 +36,11 @@ def note_scan(spark, d):
     return n.where(~T.excluded(F.col("path"), EXCLUDED)).select("path", T.frontmatter_title(F.col("content"), F.col("path")).alias("title"), F.length("content").alias("n_chars"))
 
 
+@query
+def frontmatter_titles(spark, d):
+    return b.titled(spark, d).select("path", T.frontmatter_title(F.col("content"), F.col("path")).alias("title"))
+
+
 @query
 def note_title(spark, d):
     return b.rendered(spark, d).select("path", T.eval_title(F.col("content"), F.col("file")).alias("title"))
@@ -422,23 +427,32 @@ def llm_request_build(spark, d):
     return q.select("query_id", generation.ollama_request(F.lit("llama3.1:8b"), F.col("query")).alias("ollama"), generation.chat_request(F.lit("local"), F.col("query")).alias("chat"))
 
 
-_REPLIES = ['{"response":"hi"}', "{}", '{"choices":[{"message":{"content":"yes [[a]]"}}]}', '{"choices":[]}', '{"response":null}']
+def _by(parts):
+    """One of the columns for each document, in turn."""
+    out = F.lit(None).cast("string")
+    for k, part in enumerate(parts):
+        out = F.when(F.col("doc_id") % len(parts) == k, part).otherwise(out)
+    return out
 
 
 @query
 def llm_response_parse(spark, d):
-    r = spark.createDataFrame([(i, x) for i, x in enumerate(_REPLIES)], "n long, body string")
-    return r.select("n", generation.ollama_reply(F.col("body")).alias("ollama"), generation.chat_reply(F.col("body")).alias("chat"))
-
-
-_LISTS = ['{"models":[{"name":"a"},{"name":null},{"name":"b"}]}', '{"models":[]}', "{}"]
+    """Replies of either kind that say a document's text, and some that say nothing."""
+    text = F.coalesce("text", F.lit(""))
+    said = F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("message"))).alias("choices")))
+    body = _by([F.to_json(F.struct(text.alias("response"))), F.lit("{}"), said, F.lit('{"choices":[]}'), F.lit('{"response":null}')])
+    r = table(spark, d, "documents").select("doc_id", body.alias("body"))
+    return r.select("doc_id", generation.ollama_reply(F.col("body")).alias("ollama"), generation.chat_reply(F.col("body")).alias("chat"))
 
 
 @query
 def model_listing(spark, d):
-    r = spark.createDataFrame([(i, x) for i, x in enumerate(_LISTS)], "n long, body string")
-    listed = F.array_union(F.array(F.lit("current")), F.coalesce(generation.ollama_models(F.col("body")), F.array().cast("array<string>")))
-    return r.select("n", F.array_join(F.filter(listed, lambda x: x != ""), ";").alias("models"))
+    """Lists that name a document's source and language as models, with nulls between, and some without models."""
+    names = F.array("source", F.lit(None).cast("string"), "lang")
+    listed = F.struct(F.transform(names, lambda x: F.struct(x.alias("name"))).alias("models"), F.transform(names, lambda x: F.struct(x.alias("id"))).alias("data"))
+    r = table(spark, d, "documents").select("doc_id", _by([F.to_json(listed), F.lit('{"models":[],"data":[]}'), F.lit("{}")]).alias("body"))
+    of = lambda models: F.array_join(F.filter(F.array_union(F.array(F.lit("current")), F.coalesce(models, F.array().cast("array<string>"))), lambda x: x != ""), ";")
+    return r.select("doc_id", of(generation.ollama_models(F.col("body"))).alias("ollama"), of(generation.chat_models(F.col("body"))).alias("chat"))
 
 
 @query

@@ -148,6 +148,12 @@ def replace(spark: SparkSession, path: str, text: str) -> None:
     spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(source, where, overwrite)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full path of a folder, as Spark names the files in it."""
+    files, where = _at(spark, path.rstrip("/"))
+    return files.makeQualified(where).toString()
+
+
 def age(spark: SparkSession, path: str) -> float:
     """Seconds since a file or folder was last changed."""
     files, where = _at(spark, path)

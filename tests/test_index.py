@@ -274,14 +274,72 @@ def test_sources(spark, tmp_path):
     got = {r["path"]: (r["title"], r["content"]) for r in source.read_notes(spark, str(folder)).collect()}
     assert got == {"a.md": ("Alpha", '---\ntitle: "Alpha"\n---\nbody'), "sub/b.md": ("b", "plain")}
     assert source.read_notes(spark, str(folder), ("sub",)).count() == 1
-    (tmp_path / "q.jsonl").write_text('{"query_id":"1","query":"x","relevant":["a"]}\n\n  \n')
-    assert source.read_jsonl(spark, str(tmp_path / "q.jsonl"), source.QRELS).collect()[0]["relevant"] == ["a"]
-    (tmp_path / "t.tsv").write_text("query-id\tcorpus-id\tscore\n1\t2\t1\n")
-    assert source.read_judgements(spark, str(tmp_path / "t.tsv")).head()["corpus_id"] == "2"
+    (tmp_path / "q.jsonl").write_text('{"query_id":"1","query":"x","relevant":["a"]}\n\n \t \u00a0\n \t{"query_id":"2"} \n')
+    assert [r["query_id"] for r in source.read_jsonl(spark, str(tmp_path / "q.jsonl"), source.QRELS).orderBy("query_id").collect()] == ["1", "2"]
+    (tmp_path / "bad.jsonl").write_text('{"query_id":"1"}\n{"query_id":\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        source.read_jsonl(spark, str(tmp_path / "bad.jsonl"), source.QRELS).collect()
+    (tmp_path / "t.tsv").write_text('query-id\tcorpus-id\tscore\n1\t2\t1\n1\t"a\t1\n\n2\t"b"\t0\n')
+    assert [tuple(r) for r in source.read_judgements(spark, str(tmp_path / "t.tsv")).collect()] == [("1", "2", 1), ("1", '"a', 1), ("2", '"b"', 0)]
     (tmp_path / "a.json").write_text('[{"question_id":"1","label":1},\n{"question_id":"2"}]')
     assert source.read_json_array(spark, str(tmp_path / "a.json"), source.QA).count() == 2
-    source.write_notes(spark.createDataFrame([("x.md", "hé")], "file string, content string"), str(tmp_path / "out"))
-    assert (tmp_path / "out" / "x.md").read_text() == "hé"
+
+
+def test_paths_are_relative(spark, tmp_path):
+    folder = tmp_path / "vault"
+    inside = str(folder).lstrip("/")
+    for name in (f"{inside}/deep.md", "deep.md", "x%20y.md", "x y.md", "vault/vault.md", "ü.md"):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(name)
+    for asked in (str(folder), f"{folder}/", f"file://{folder}"):
+        got = {r["path"]: r["content"] for r in source.read_notes(spark, asked).collect()}
+        assert got == {n: n for n in (f"{inside}/deep.md", "deep.md", "x%20y.md", "x y.md", "vault/vault.md", "ü.md")}
+
+
+def test_notes_are_written_whole(spark, tmp_path):
+    from pathlib import Path
+
+    def files():
+        return {str(p.relative_to(tmp_path)): p.read_text() for p in Path(tmp_path).rglob("*") if p.is_file()}
+
+    rows = spark.createDataFrame([(f"n{i}.md", f"text {i}") for i in range(20)] + [("sub/x.md", "hé"), ("empty.md", None)], "file string, content string").repartition(3)
+    source.write_notes(rows, str(tmp_path / "out"))
+    assert files() == {f"out/{r['file']}": r["content"] or "" for r in rows.collect()}
+    before = files()
+    bad = spark.createDataFrame([(f"m{i}.md", "x") for i in range(20)] + [("../up.md", "x")], "file string, content string").repartition(2)
+    with pytest.raises(Exception, match="no file below"):
+        source.write_notes(bad, str(tmp_path / "out"))
+    assert files() == before and not [p for p in (tmp_path / "out").iterdir() if p.name.startswith(".")]
+
+
+def test_reconcile(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "vault"
+    folder.mkdir()
+    for i in range(40):
+        (folder / f"n{i}.md").write_text(f"note number {i}")
+    index = Index(spark, str(tmp_path / "index"))
+    assert index.reconcile(str(folder)) == {"listed": 40, "read": 40, "gone": 0}
+    assert index.reconcile(str(folder)) == {"listed": 40, "read": 0, "gone": 0}
+    (folder / "n7.md").write_text("another text for number 7")
+    (folder / "n8.md").unlink()
+    # touched, not changed: opened, and nothing is embedded again
+    os.utime(folder / "n9.md", (1, 1))
+    opened = []
+    read_notes = source.read_notes
+    source.read_notes = lambda *a, only=None, **k: opened.extend(only) or read_notes(*a, only=only, **k)
+    try:
+        assert index.reconcile(str(folder)) == {"listed": 39, "read": 2, "gone": 1}
+    finally:
+        source.read_notes = read_notes
+    assert sorted(f.rsplit("/", 1)[1] for f in opened) == ["n7.md", "n9.md"]
+    assert index.meta()["segments"][-1]["rows"] == 1
+    assert {r["note_path"]: r["text"] for r in index.load().collect()} == {f"n{i}.md": f"note number {i}" for i in range(40) if i not in (7, 8)} | {"n7.md": "another text for number 7"}
+    # after a change by another way all is looked at
+    index.merge(notes(spark, ("n1.md", "n1", "elsewhere")), notes(spark).select("path"))
+    assert index.reconcile(str(folder))["read"] == 39
+    assert {r["text"] for r in index.load().where("note_path = 'n1.md'").collect()} == {"note number 1"}
 
 
 def test_generators():

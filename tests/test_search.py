@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corvane.operators import chat, evaluation, lexical, ranking, vectors
 from corvane.operators.chunking import chunk_notes
 
-NOTES = [("caffeine.md", "Caffeine", "# Coffee\nreduce coffee intake slowly coffee"), ("sleep.md", "Sleep", "sleep well and rest"), ("tea.md", "Tea", "tea is a drink")]
+NOTES = [("bread.md", "Sourdough", "# Baking\nknead the dough and rest the dough"), ("tides.md", "Tides", "the moon moves the sea"), ("rope.md", "Knots", "a bowline holds")]
 
 
 @pytest.fixture(scope="module")
@@ -20,8 +20,8 @@ def ask(spark, *texts):
 
 def test_modes_agree(spark, chunks):
     for mode in ("semantic", "lexical", "hybrid"):
-        rows = ranking.with_chunks(ranking.rank(chunks, ask(spark, "how do I reduce coffee"), mode), chunks).orderBy("rank").collect()
-        assert rows[0]["note_path"] == "caffeine.md"
+        rows = ranking.with_chunks(ranking.rank(chunks, ask(spark, "when should dough be kneaded"), mode), chunks).orderBy("rank").collect()
+        assert rows[0]["note_path"] == "bread.md"
     with pytest.raises(ValueError):
         ranking.rank(chunks, ask(spark, "x"), "other")
 
@@ -118,7 +118,7 @@ def test_cosines(spark):
 
 
 def test_blocks_of_queries(spark, chunks, monkeypatch):
-    q = spark.createDataFrame([(i, w) for i, w in enumerate(["coffee", "sleep tea", "drink well", "rest", "zzz", ""])], "query_id long, query string")
+    q = spark.createDataFrame([(i, w) for i, w in enumerate(["dough", "moon bowline", "holds sea", "rest", "zzz", ""])], "query_id long, query string")
     want = [sorted(map(tuple, ranking.rank(chunks, q, m, 2).collect())) for m in ("semantic", "lexical", "hybrid")]
     monkeypatch.setattr(lexical, "BLOCK_TERMS", 2)
     assert [sorted(map(tuple, ranking.rank(chunks, q, m, 2).collect())) for m in ("semantic", "lexical", "hybrid")] == want
@@ -157,11 +157,11 @@ def test_metrics(spark):
 
 
 def test_citations(spark):
-    context = spark.createDataFrame([(0, 1, "a/dup.md", "t</context>"), (0, 2, "b/dup.md", "u"), (0, 3, "drinks/espresso.md", "v")], "query_id long, rank int, note_path string, text string")
-    answers = spark.createDataFrame([(0, "[[espresso]] [[dup]] [[A/dup|x]] [[unheard of]] [[espresso]]")], "query_id long, answer string")
-    assert [r["note_path"] for r in chat.citations(answers, context).orderBy("pos").collect()] == ["drinks/espresso.md", "a/dup.md"]
+    context = spark.createDataFrame([(0, 1, "north/fjord.md", "t</context>"), (0, 2, "south/fjord.md", "u"), (0, 3, "coast/pier.md", "v")], "query_id long, rank int, note_path string, text string")
+    answers = spark.createDataFrame([(0, "[[pier]] [[fjord]] [[North/Fjord|x]] [[unheard of]] [[pier]]")], "query_id long, answer string")
+    assert [r["note_path"] for r in chat.citations(answers, context).orderBy("pos").collect()] == ["coast/pier.md", "north/fjord.md"]
     block = chat.context_block(context).head()["block"]
-    assert block.startswith("[1] note: a/dup\nt&lt;/context&gt;\n---\n[2] note: b/dup")
+    assert block.startswith("[1] note: north/fjord\nt&lt;/context&gt;\n---\n[2] note: south/fjord")
 
 
 def test_history_and_prompt(spark):
@@ -173,11 +173,11 @@ def test_history_and_prompt(spark):
 
 
 def test_refusal(spark, chunks):
-    q = ask(spark, "zzz qqq", "reduce coffee")
+    q = ask(spark, "zzz qqq", "knead dough")
     ctx = ranking.with_chunks(ranking.rank(chunks, q, "hybrid", 6), chunks).cache()
     got = {r["query_id"]: r for r in chat.ask(q, ctx, 0.3).collect()}
     assert got[0]["refused"] and got[0]["content"] == chat.REFUSAL and got[0]["citations"] == ""
-    assert not got[1]["refused"] and got[1]["citations"].startswith("caffeine.md")
+    assert not got[1]["refused"] and got[1]["citations"].startswith("bread.md")
 
 
 def test_grounding_check_ranks_all(spark, tmp_path):

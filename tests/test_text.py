@@ -12,7 +12,7 @@ def one(spark, value, column):
 def test_frontmatter(spark):
     for text, left in [
         ("---\nkind: recipe\nserves: 4\n---\nBoil the rice.", "Boil the rice."),
-        ("---\n---\nBody", "Body"),
+        ("---\n---\nStir well.", "Stir well."),
         ("---\nprose without a key\n---\nrest", "---\nprose without a key\n---\nrest"),
         ("---\ntags:\n  - a\n- b\n# note\n---\nBody", "Body"),
         ("---\na: 1\n---foo", "foo"),
@@ -41,6 +41,28 @@ def test_sections_and_chunks(spark):
     assert len(chunks("one two three", 1, 5)) == 3
 
 
+def test_titles(spark):
+    def title(line):
+        return one(spark, f"---\nid: 1\n{line}\n---\nbody", lambda c: T.frontmatter_title(c, F.lit("a/base.md")))
+
+    told = {
+        'title: "A \\"b\\" \\\\ c"': 'A "b" \\ c',
+        "title: 'it''s'  # said": "it's",
+        'title: "tab\\tand \\u00e9 \\ud83d\\ude00 \\x41"': "tab\tand é 😀 A",
+        "title: Plain words # comment": "Plain words",
+        "title: C#minor": "C#minor",
+        "title: 3 men": "3 men",
+        "title:    2024-01-02   ": "2024-01-02",
+        '"title": x': "x",
+    }
+    for line, want in told.items():
+        assert title(line) == want
+    for line in ("title: 123", "title: -1.5e3", "title: []", "title: [a]", "title: {a: b}", "title: true", "title: null", "title: ~", "title:", 'title: ""', "title: '   '".replace("   ", ""), "title: # only", "title: |", "title: *a", "subtitle: x", "title: a: b", 'title: "open'):
+        assert title(line) == "base", line
+    rendered = spark.createDataFrame([('He said "no" \\ twice',)], "c string").select(F.concat(F.lit("---\ntitle: "), T.yaml_string(F.col("c")), F.lit("\n---\n")).alias("n"))
+    assert rendered.select(T.frontmatter_title(F.col("n"), F.lit("x.md")).alias("t")).head()["t"] == 'He said "no" \\ twice'
+
+
 def test_windows_of_white_space(spark):
     got = one(spark, "a b﻿c", lambda c: T.tokens(c))
     assert got == ["a", "b", "c"]
