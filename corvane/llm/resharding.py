@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from corvane.storage import new_path, stored, table
 
 FILE_BYTES = 128 << 20
+#: Files of a shard at least, so that those that stay whole need not be written again.
+LEAST_FILES = 4
 #: Bytes that each row counts for besides its text.
 OVERHEAD = 16
 #: Parts of an even share from which a row is placed on its own.
@@ -131,9 +133,10 @@ def lay_out(rows: DataFrame, text: str, shard: Column, shards: int, path: str, f
     if "shard" in rows.columns:
         raise ValueError("rename the column shard")
     whole = rows.agg(F.coalesce(F.sum(size_of(F.col(text))), F.lit(0))).head()[0]
-    files = -(-whole // (shards * file_bytes)) or 1
+    files = max(LEAST_FILES, -(-whole // (shards * file_bytes)))
     dealt = rows.withColumns({"shard": shard.cast("int"), "__file": F.pmod(F.monotonically_increasing_id(), F.lit(files))})
-    dealt.repartition("shard", "__file").drop("__file").write.partitionBy("shard").parquet(path)
+    # a task for each file, as nearly as hashing has it: small files are what is later left alone
+    dealt.repartition(shards * files, "shard", "__file").drop("__file").write.partitionBy("shard").parquet(path)
     return Layout(rows.sparkSession, ((path, None),))
 
 
