@@ -242,27 +242,82 @@ def test_sessions(spark):
     assert sessions(spark.createDataFrame([], "ts timestamp, path string"), 1500).count() == 0
 
 
-def test_stream(spark, tmp_path):
-    schema = "seq long, op string, path string, old_path string, title string, content string"
+def until(query, done, seconds=60):
+    import time
+
+    end = time.time() + seconds
+    while not done():
+        assert query.exception() is None and time.time() < end, query.exception()
+        time.sleep(0.05)
+
+
+def taken(query, after=-1):
+    """Rows that a query has read from files in the batches after one."""
+    return sum(s["numInputRows"] for p in query.recentProgress if p["batchId"] > after for s in p["sources"] if "File" in s["description"])
+
+
+def test_stream(spark, tmp_path, monkeypatch):
+    """Bursts end when their corpus has been quiet for the gap, deletes pass at once, a restart goes on with what waits."""
+    import time
+
+    # longer than the 1.5 s of the engine, so that a slow machine does not end a burst early
+    gap = 8.0
+
     index = Index(spark, str(tmp_path / "index"))
+    index.rebuild(notes(spark, ("old.md", "Old", "old text"), ("b.md", "B", "bee")))
     (tmp_path / "in").mkdir()
-    for k, rows in enumerate([[(1, "create", "a.md", None, "A", "one"), (2, "modify", "a.md", None, "A", "two")], [(3, "rename", "b.md", "a.md", "B", "two"), (4, "create", "c.md", None, "C", None)]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        query = stream.maintain(index, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "state"), {"availableNow": True})
-        query.awaitTermination()
-        assert {r["note_path"]: r["text"] for r in index.load().collect()} == [{"a.md": "two"}, {"b.md": "two"}][k]
+    applied = []
 
+    def record(i, log):
+        applied.append((time.time(), sorted((r["op"], r["path"], r["content"]) for r in log.collect())))
+        apply_batch(i, log)
 
-def test_streaming_sessions(spark, tmp_path):
-    from datetime import datetime, timedelta
+    apply_batch = stream.apply_batch
+    monkeypatch.setattr(stream, "apply_batch", record)
+    schema = "seq long, op string, path string, old_path string, title string, content string"
 
-    start = datetime(2024, 1, 1)
-    rows = [("c", start + timedelta(milliseconds=m), p) for m, p in [(0, "a"), (1000, "b"), (60000, "c")]]
-    spark.createDataFrame(rows, "corpus_id string, ts timestamp, path string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    events = spark.readStream.schema("corpus_id string, ts timestamp, path string").parquet(str(tmp_path / "in"))
-    query = stream.debounced(events).writeStream.format("memory").queryName("bursts").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert [(sorted(r["paths"]), r["events"]) for r in spark.table("bursts").collect()] == [(["a", "b"], 2)]
+    def send(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        return time.time()
+
+    def start():
+        return stream.maintain(index, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "state"), int(gap * 1000))
+
+    query = start()
+    send((1, "create", "a.md", None, "A", "one"), (2, "modify", "a.md", None, "A", "two"), (3, "create", "gone.md", None, "G", "soon gone"))
+    until(query, lambda: taken(query) == 3)
+    # the burst goes on: the timer starts anew
+    last = send((4, "modify", "a.md", None, "A", "three"), (5, "delete", "gone.md", None, None, None))
+    until(query, lambda: len(applied) >= 2 and len(index.load().collect()) == 3)
+    assert [x for _, x in applied[:2]] == [[("delete", "gone.md", None)], [("upsert", "a.md", "three")]]
+    assert applied[1][0] - last >= gap
+    # a delete and a rename are seen while a change still waits
+    send((6, "modify", "c.md", None, "C", "cee"), (7, "delete", "b.md", None, None, None), (8, "rename", "new.md", "old.md", "New", "old text"))
+    until(query, lambda: len(applied) >= 3)
+    assert applied[2][1] == [("delete", "b.md", None), ("delete", "old.md", None), ("upsert", "new.md", "old text")]
+    until(query, lambda: len(applied) >= 4 and "c.md#0" in {r["id"] for r in index.load().collect()})
+    assert applied[3][1] == [("upsert", "c.md", "cee")]
+    # stopped while a change waits
+    seen = query.lastProgress["batchId"]
+    send((9, "modify", "d.md", None, "D", "dee"))
+    until(query, lambda: taken(query, seen) == 1)
+    query.stop()
+    stopped = len(applied)
+    query = start()
+    until(query, lambda: "d.md#0" in {r["id"] for r in index.load().collect()})
+    query.stop()
+    assert len(applied) <= stopped + 1
+    assert {r["note_path"]: r["text"] for r in index.load().collect()} == {"a.md": "three", "new.md": "old text", "c.md": "cee", "d.md": "dee"}
+
+
+def test_stream_of_corpora(spark, tmp_path):
+    rows = [("x", 1, "create", "a.md", None, "A", "ex"), ("y", 2, "create", "a.md", None, "A", "why"), (None, 3, "create", "n.md", None, "N", "none")]
+    spark.createDataFrame(rows, stream.CHANGES).coalesce(1).write.parquet(str(tmp_path / "in"))
+    of = {c: Index(spark, str(tmp_path / c)) for c in "xy"}
+    query = stream.maintain(of.__getitem__, spark.readStream.schema(stream.CHANGES).parquet(str(tmp_path / "in")), str(tmp_path / "state"), 200)
+    until(query, lambda: all(i.load() is not None for i in of.values()))
+    query.stop()
+    assert {c: [r["text"] for r in i.load().collect()] for c, i in of.items()} == {"x": ["ex"], "y": ["why"]}
 
 
 def test_sources(spark, tmp_path):
