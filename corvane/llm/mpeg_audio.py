@@ -239,8 +239,13 @@ def _number(raw: bytes, bits: int = 8) -> int:
     return value
 
 
+#: What a tag's own size can state; a frame that unpacks to more is named under ``TOO_LARGE`` instead of read.
+UNPACKED = (1 << 28) - 1
+TOO_LARGE = "too large"
+
+
 def _content(major: int, flags: int, body: bytes, unsynced: bool) -> bytes | None:
-    """A frame's content by its format flags; None if it is encrypted or damaged."""
+    """A frame's content by its format flags; None if it is encrypted or damaged, ``OverflowError`` where it unpacks to more than ``UNPACKED`` bytes."""
     if major == 3:
         if flags & 0x40:
             return None
@@ -255,8 +260,14 @@ def _content(major: int, flags: int, body: bytes, unsynced: bool) -> bytes | Non
         packed = flags & 0x08
     body = body[skip:]
     if packed:
+        unpack, parts, size = zlib.decompressobj(), [], 0
         try:
-            return zlib.decompressobj().decompress(body, 1 << 24)
+            while body and not unpack.eof:
+                parts.append(unpack.decompress(body, 1 << 20))
+                size, body = size + len(parts[-1]), unpack.unconsumed_tail
+                if size > UNPACKED:
+                    raise OverflowError
+            return b"".join([*parts, unpack.flush()])
         except zlib.error:
             return None
     return body
@@ -277,7 +288,11 @@ def _tag(major: int, flags: int, body: bytes) -> dict[str, str]:
         n = _number(body[p + named : p + 2 * named], 7 if major == 4 else 8)
         raw = body[p + head : p + head + n]
         p += head + n
-        content = raw if major == 2 else _content(major, body[p - n - 1], raw, bool(flags & 0x80))
+        try:
+            content = raw if major == 2 else _content(major, body[p - n - 1], raw, bool(flags & 0x80))
+        except OverflowError:
+            found[TOO_LARGE] = " ".join([*found.get(TOO_LARGE, "").split(), name])
+            continue
         if name[:1] == "T" and content:
             text = content[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(content[0], "utf-8"), "replace").rstrip("\0")
             if name in ("TXXX", "TXX"):

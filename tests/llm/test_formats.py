@@ -366,3 +366,20 @@ def test_url_keys():
     assert warc.url_key("https://www.Example.com:443/a?b#c") == "com,example)/a?b"
     assert warc.url_key("http://x.org:8080?q") == "org,x:8080)?q"
     assert warc.url_key("") == ""
+
+
+def test_packed_tag_frames(monkeypatch):
+    """A packed frame is read whole, above 16 MB too; one that is too large is named."""
+    import zlib
+
+    from corvane.llm import mpeg_audio
+
+    def tag(text):
+        packed = zlib.compress(b"\3" + text)
+        body = len(text).to_bytes(4, "big") + packed
+        return b"TIT2" + len(body).to_bytes(4, "big") + b"\0\x80" + body
+
+    long = b"a" * ((1 << 24) + 5)
+    assert len(mpeg_audio._tag(3, 0, tag(long))["TIT2"]) == len(long)
+    monkeypatch.setattr(mpeg_audio, "UNPACKED", 1 << 21)
+    assert mpeg_audio._tag(3, 0, tag(long) + tag(b"short")) == {"too large": "TIT2", "TIT2": "short"}
