@@ -6,7 +6,8 @@ null is empty, the word mark U+2581 is a space. Distinct keys alone are joined t
 the stored counts; only the texts of keys that miss are read on, reduced to one
 for each key (map-side first, so a text that makes up a third of all rows leaves
 each task once), encoded, and appended to the cache, a folder for each tokenizer.
-So with a filled cache no text is shuffled. Counts are joined back by key; those
+So with a filled cache no text is shuffled, and where many keys miss, a bitmap of
+them keeps nearly all others from moving. Counts are joined back by key; those
 of keys with more than ``HEAVY`` rows are broadcast, so no task gets all rows of one.
 
 Defined results: null and empty texts have 0 tokens; repeated rows repeat;
@@ -15,12 +16,13 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import tokenizers_
+from corvane.llm import jaccard_join, tokenizers_
 from corvane.llm.arrow import as_texts, pieces, record
 from corvane.storage import new_path, stored, table
 
@@ -62,6 +64,26 @@ def keyed(documents: DataFrame) -> DataFrame:
     return stored(rows, "keys")
 
 
+def likely(texts: DataFrame, misses: DataFrame, n: int) -> DataFrame:
+    """The rows whose digest may be among ``n`` misses: all that are, and few others, by a broadcast bitmap.
+
+    So of the texts that the cache knows hardly one is shuffled, however many
+    others there are; beyond ``jaccard_join.BITMAP_BITS`` / 16 misses more pass.
+    """
+    hashed = F.xxhash64("digest")
+    bits, wanted = jaccard_join.bitmap(misses.select(hashed.alias("key")), n)
+
+    def run(batches):
+        held = np.frombuffer(wanted.value, dtype=np.uint8)
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            rows = batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            yield rows.select([0, 1])
+
+    placed = texts.select("digest", "text", F.pmod(hashed, F.lit(bits)).alias("place"))
+    return placed.mapInArrow(run, "digest binary, text string")
+
+
 def fill(documents: DataFrame, cache: str, model: str | None = None, keys: DataFrame | None = None) -> None:
     """Encodes the distinct texts that the cache misses and appends their counts; ``keys`` are those of ``documents``, if known."""
     file = model or tokenizers_.path(MODEL)
@@ -71,7 +93,10 @@ def fill(documents: DataFrame, cache: str, model: str | None = None, keys: DataF
     if (known := cached(documents.sparkSession, cache, tokenizer)) is not None:
         # digests only, until it is known which texts are needed
         distinct = (keyed(documents) if keys is None else keys).select("digest").distinct()
-        texts = texts.join(_few(stored(distinct.join(known, "digest", "left_anti"), "misses")), "digest", "left_semi")
+        misses = stored(distinct.join(known, "digest", "left_anti"), "misses")
+        if (n := misses.count()) > BROADCAST_ROWS:
+            texts = likely(texts, misses, n)
+        texts = texts.join(_few(misses), "digest", "left_semi")
     distinct = texts.groupBy("digest").agg(F.first("text").alias("text"))
 
     def run(batches):

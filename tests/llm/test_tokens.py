@@ -126,3 +126,20 @@ def test_buckets(spark, tmp_path):
     packing.write_buckets(packing.pack(documents(spark, ["one two three", "four"])), str(tmp_path / "b"))
     back = spark.read.parquet(str(tmp_path / "b"))
     assert back.where("pow(2, bucket) <> length").count() == 0
+
+
+def test_many_misses_move_no_hits(spark, tmp_path, monkeypatch):
+    """Above the size of a broadcast, the texts that the cache knows stay where they are."""
+    old, new = [f"known text number {i}" for i in range(3000)], [f"new text number {i}" for i in range(400)]
+    cache = str(tmp_path / "cache")
+    token_counts.fill(documents(spark, old), cache)
+    monkeypatch.setattr(token_counts, "BROADCAST_ROWS", 100)
+    seen = []
+    likely = token_counts.likely
+    monkeypatch.setattr(token_counts, "likely", lambda *a: seen.append(likely(*a)) or seen[-1])
+    docs = documents(spark, [*old, *new, *new])
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, cache).collect()}
+    passed = [r["text"] for r in seen[0].collect()]
+    assert set(new) <= set(passed) and len(passed) - 2 * len(new) < 0.1 * len(old)
+    plain = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, str(tmp_path / "other")).collect()}
+    assert got == plain and len(got) == 3800
