@@ -137,12 +137,21 @@ def publish(spark: SparkSession, path: str, text: str) -> bool:
 def replace(spark: SparkSession, path: str, text: str) -> None:
     """Writes a small file whole and puts it in the place of what was there; readers see the one or the other."""
     files, where = _at(spark, path)
+    if files.getScheme() == "file":
+        local = where.toUri().getPath()
+        folder, name = os.path.split(local)
+        os.makedirs(folder, exist_ok=True)
+        draft = f"{local}.{uuid.uuid4().hex}.draft"
+        with open(draft, "w", encoding="utf-8") as f:
+            f.write(text)
+        # a checksum of the former file would not fit the new one
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(f"{folder}/.{name}.crc")
+        os.replace(draft, local)
+        return
     draft = f"{path}.{uuid.uuid4().hex}.draft"
     create(spark, draft, text)
     _, source = _at(spark, draft)
-    if files.getScheme() == "file":
-        os.replace(source.toUri().getPath(), where.toUri().getPath())
-        return
     overwrite = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
     overwrite[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(source, where, overwrite)

@@ -179,7 +179,7 @@ def test_random_changes(spark, tmp_path):
     index.rebuild(notes(spark, *((p, p, t) for p, t in state.items())))
     before = tables(spark)
     most, queries = 0, spark.createDataFrame([(i, " ".join(rng.sample(words, 3))) for i in range(6)], "query_id long, query string")
-    for step in range(12):
+    for step in range(8):
         gone = rng.sample(sorted(state), 2)
         edits = {f"n{rng.randint(0, 40)}.md": " ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(3)}
         gone = [p for p in gone if p not in edits]
@@ -261,7 +261,7 @@ def test_stream(spark, tmp_path, monkeypatch):
     import time
 
     # longer than the 1.5 s of the engine, so that a slow machine does not end a burst early
-    gap = 8.0
+    gap = 6.0
 
     index = Index(spark, str(tmp_path / "index"))
     index.rebuild(notes(spark, ("old.md", "Old", "old text"), ("b.md", "B", "bee")))

@@ -7,7 +7,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["note_scan", "section_split", "chunk_notes", "chunk_windows", "bm25_topk", "idf", "fnv1a_hash", "knn_exact", "knn_ann", "grounding_check", "search_hybrid", "eval_all_modes", "hash_diff", "change_log_apply", "debounce_sessions", "index_reload", "chat_prompt", "chat_ask_batch", "qrels_build", "llm_request_build"]
+NAMES = ["note_scan", "frontmatter_titles", "llm_response_parse", "model_listing", "search_lexical", "section_split", "chunk_notes", "chunk_windows", "bm25_topk", "idf", "fnv1a_hash", "knn_exact", "knn_ann", "grounding_check", "search_hybrid", "eval_all_modes", "hash_diff", "change_log_apply", "debounce_sessions", "index_reload", "chat_prompt", "chat_ask_batch", "qrels_build", "llm_request_build"]
 
 
 def shown(value):
