@@ -36,4 +36,9 @@ def grounding_check(scored: DataFrame) -> DataFrame:
     placed = scored.select("question", "positive", F.struct(falling.alias("falling"), "candidate").alias("place"))
     best = placed.groupBy("question").agg(F.min(F.when(F.col("positive"), F.col("place"))).alias("best"))
     first = placed.join(best, "question").groupBy("question").agg(F.when(F.max("best").isNotNull(), 1 + F.count_if(F.col("place") < F.col("best"))).alias("first"))
+    return first_places(first)
+
+
+def first_places(first: DataFrame) -> DataFrame:
+    """One row (questions, accuracy_at_1, mrr) of the place ``first`` of each question's best positive, null where it has none."""
     return first.agg(F.count("*").alias("questions"), F.round(F.coalesce(F.avg((F.coalesce("first", F.lit(0)) == 1).cast("double")), F.lit(0.0)), 6).alias("accuracy_at_1"), F.round(F.coalesce(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), F.lit(0.0)), 6).alias("mrr"))
