@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Rows and bytes of texts whose terms are worked out at once; arrays over the terms take many times as much.
+ROWS, BYTES = 2048, 1 << 20
 
 _TERM = np.zeros(256, dtype=bool)
 _TERM[ord("0") : ord("9") + 1] = True
 _TERM[ord("a") : ord("z") + 1] = True
 
 
+def pieces(batch: pa.RecordBatch, text: int = 1, align: np.ndarray | None = None, limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` bytes of texts (``BYTES`` by default), whatever Spark puts into a batch; a longer text is a slice of its own.
+
+    align: sorted groups of the rows; a slice holds rows of one only.
+    """
+    if batch.num_rows == 0:
+        return
+    size = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    borders = [] if align is None else (np.flatnonzero(align[1:] != align[:-1]) + 1).tolist()
+    start = 0
+    for border in [*borders, batch.num_rows]:
+        while start < border:
+            most = (ends[start - 1] if start else 0) + (BYTES if limit is None else limit)
+            stop = min(border, start + ROWS, max(start + 1, int(np.searchsorted(ends, most, "right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def term_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
     """(row, term number) of every term in order, and the distinct terms; null texts have none."""
     column = texts.cast(pa.large_string())

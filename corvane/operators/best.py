@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 BLOCK_QUERIES = 2048
 #: Scores that a task holds at once.
 CELLS = 1 << 21
+#: Contributions to them: (query, term, document).
+ENTRIES = 1 << 19
 
 
 def key_type(df: DataFrame, name: str) -> pa.DataType:

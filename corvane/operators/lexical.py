@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from corvane.config import B, K1
 from corvane.functions import text as T
-from corvane.functions.terms import counted
-from corvane.operators.best import CELLS, Best, key_type
+from corvane.functions.terms import counted, pieces
+from corvane.operators.best import CELLS, ENTRIES, Best, key_type
 from corvane.storage import stored
 
 #: (query, term) rows of one broadcast.
@@ -39,8 +39,7 @@ def forward(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
+            for part in pieces(batch):
                 n = part.num_rows
                 row, code, tf, terms = counted(part.column(1))
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))).astype(np.int32)
@@ -176,7 +175,7 @@ def _scored(block: _Block, batches: Iterator[pa.RecordBatch], k1: float, b: floa
     for batch in batches:
         at = 0
         while at < batch.num_rows:
-            rows = min(batch.num_rows - at, max(1, CELLS // n_queries))
+            rows = min(batch.num_rows - at, max(1, min(1024, CELLS // n_queries)))
             part = batch.slice(at, rows)
             terms = part.column(2)
             sizes = pc.list_value_length(terms).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -185,9 +184,9 @@ def _scored(block: _Block, batches: Iterator[pa.RecordBatch], k1: float, b: floa
             hit = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
             term = place.take(pa.array(hit)).to_numpy(zero_copy_only=False).astype(np.int64)
             total = int(degree[term].sum())
-            if total > 2 * CELLS and rows > 1:
+            if total > 2 * ENTRIES and rows > 1:
                 # few rows at a time where many queries share the terms
-                rows = max(1, rows * CELLS // total)
+                rows = max(1, rows * ENTRIES // total)
                 part = part.slice(0, rows)
                 last = int(sizes[:rows].sum())
                 keep = hit < last

@@ -32,19 +32,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.config import B, K1
-from corvane.functions.terms import counted
+from corvane.functions.terms import counted, pieces
 from corvane.operators import lexical
-from corvane.operators.best import CELLS, Best, key_type
+from corvane.operators.best import CELLS, ENTRIES, Best, key_type
 from corvane.storage import listed, new_path, scratch, stored
 
 #: Documents of a block, and numbers that a task can give out.
 DOCS = 2048
 RANGE = 1 << 24
+#: Bytes of texts of a block that are counted at once.
+BLOCK_BYTES = 1 << 23
 #: Numbers of one segment.
 SEGMENT = 1 << 44
 #: Folders of the terms of a large segment; one for each so many documents, up to a power of two.
 FOLDERS = 256
 FOLDER_DOCS = 4096
+#: A task that writes postings has the rows of a folder for 1 << SPREAD blocks.
+SPREAD = 8
 #: Names that are pushed down to the files as single comparisons.
 PUSHED = 200
 
@@ -99,10 +103,11 @@ def _lists(group: np.ndarray, values: np.ndarray, groups: int) -> pa.ListArray:
 
 
 def posting_rows(docs: DataFrame) -> DataFrame:
-    """(doc, surface) to ``POSTINGS``; a block that two batches share gives two rows a term."""
+    """(doc, surface) to ``POSTINGS``; a block that several batches or pieces share gives as many rows a term."""
 
     def run(batches):
-        for batch in batches:
+        # a block at a time, so that no array grows with Spark's batches
+        for batch in (part for whole in batches for part in pieces(whole, align=whole.column(0).to_numpy(zero_copy_only=False) // DOCS, limit=BLOCK_BYTES)):
             row, code, tf, terms = counted(batch.column(1))
             if len(row) == 0:
                 continue
@@ -131,9 +136,9 @@ def posting_rows(docs: DataFrame) -> DataFrame:
 def write_postings(docs: DataFrame, path: str, n: int) -> None:
     """The postings of (doc, surface) in ``n`` folders, rows of a term side by side."""
     rows = posting_rows(docs).withColumn("folder", _folder(n))
-    # a frequent term's rows are dealt over several tasks, in order
-    dealt = rows.coalesce(1).sortWithinPartitions("folder", "term", "block") if n == 1 else rows.repartitionByRange("folder", "term", "block").sortWithinPartitions("folder", "term", "block")
-    small_pages(dealt.write.partitionBy("folder")).parquet(path)
+    # dealt by a hash, as ranges would have all texts counted twice; of many blocks, a folder's rows go to several tasks
+    dealt = rows.coalesce(1) if n == 1 else rows.repartition("folder", F.shiftright("block", SPREAD))
+    small_pages(dealt.sortWithinPartitions("folder", "term", "block").write.partitionBy("folder")).parquet(path)
 
 
 def write_frequencies(counts: DataFrame, path: str, n: int) -> None:
@@ -339,18 +344,24 @@ class _Scorer:
         weight = _weights(known, np.repeat(term, sizes), tf, dl, self.k1, self.b)
         use = place[of] >= 0
         of, row = place[of[use]], row[use]
-        step = max(1, CELLS // len(queries))
-        for at in range(0, DOCS, step):
-            width = min(step, DOCS - at)
-            n = sizes[row]
-            flat = np.repeat(start[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            column, query = pos[flat] - at, np.repeat(of, n)
-            inside = (column >= 0) & (column < width)
-            scores = np.bincount(query[inside] * width + column[inside], weights=weight[flat][inside], minlength=len(queries) * width).reshape(len(queries), width)
+        # queries in parts, by their cells and by the postings of their terms
+        order = np.argsort(of, kind="stable")
+        of, row = of[order], row[order]
+        n = sizes[row]
+        entries = np.cumsum(np.bincount(of, weights=n, minlength=len(queries)).astype(np.int64))
+        begin = 0
+        while begin < len(queries):
+            done = int(entries[begin - 1]) if begin else 0
+            end = max(begin + 1, min(len(queries), begin + max(1, CELLS // DOCS), int(np.searchsorted(entries, done + ENTRIES, "right"))))
+            a, b = np.searchsorted(of, [begin, end])
+            own, some = n[a:b], row[a:b]
+            flat = np.repeat(start[some] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            cell = np.repeat(of[a:b] - begin, own) * DOCS + pos[flat]
+            scores = np.bincount(cell, weights=weight[flat], minlength=(end - begin) * DOCS).reshape(end - begin, DOCS)
             scores = np.where(scores > 0, np.round(scores, 6), -np.inf)
-            gone = dead[(dead >= at) & (dead < at + width)] - at
-            scores[:, gone] = -np.inf
-            self._take(queries, scores, first + at, kept)
+            scores[:, dead] = -np.inf
+            self._take(queries[begin:end], scores, first, kept)
+            begin = end
 
     def _kept(self, first: int) -> tuple[np.ndarray, np.ndarray] | None:
         """(query, number) of the documents in the block that are asked for by name."""

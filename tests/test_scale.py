@@ -3,9 +3,12 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corvane.operators import evaluation, vectors
+from corvane.functions import terms
+from corvane.operators import evaluation, postings, vectors
 
 
 def _odd_vectors(spark):
@@ -49,3 +52,56 @@ def test_grounding_gives_no_pairs_to_the_shuffle(spark, monkeypatch):
     assert {r["query_id"]: r["first"] for r in first.collect()} == {q: p.index(True) + 1 if True in p else None for q, p in ranked.items()}
     assert vectors.places(q.limit(0), v).count() == 0
     assert vectors.places(q, v.limit(0)).count() == 0
+
+
+def test_texts_are_counted_in_bounded_pieces():
+    texts = ["word " * n for n in (0, 1, 500, 3, 4, 5, 900, 2)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], names=["id", "surface"])
+    got = list(terms.pieces(batch, limit=1000))
+    assert pa.Table.from_batches(got).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 1000 for p in got)
+    assert [p.num_rows for p in got] == [2, 1, 3, 1, 2]
+    assert [p.num_rows for p in terms.pieces(batch, align=np.array([0, 0, 0, 0, 1, 1, 1, 2, 2]))] == [4, 3, 2]
+    many = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(["x"] * 5000)], names=["id", "surface"])
+    assert max(p.num_rows for p in terms.pieces(many)) <= 2048
+    assert list(terms.pieces(batch.slice(0, 0))) == []
+
+
+def test_a_block_is_scored_in_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefghij", k=rng.randint(1, 9)))) for i in range(300)], "doc long, surface string")
+    rows = postings.posting_rows(docs.coalesce(1)).toArrow().combine_chunks()
+    vocabulary = pa.array(list("abcdefghij"))
+    pairs = sorted((t, q) for q in range(40) for t in rng.sample(range(10), 3))
+    start = np.concatenate(([0], np.cumsum(np.bincount([t for t, _ in pairs], minlength=10))))
+    none = np.zeros(0, dtype=np.int64)
+    known = postings._Known(pa.array(range(40)), vocabulary, np.linspace(0.1, 1.0, 10), start, np.array([q for _, q in pairs]), 5.0, ("s",), none, np.zeros(1, dtype=np.int64), none)
+
+    def found():
+        scorer = postings._Scorer(known, 7, np.zeros(40), 1.2, 0.75, low := np.full(40, np.inf), high := np.full(40, -np.inf))
+        scorer.add(postings._Group("s", 0, rows), np.array([3, 5]), 0)
+        q, s, ids = scorer.best.rows()
+        return q.tolist(), s.tolist(), ids.to_pylist(), low.tolist(), high.tolist()
+
+    whole, most, bincount = found(), [], np.bincount
+    # the queries' postings of a block are not laid out all at once
+    monkeypatch.setattr(postings, "ENTRIES", 500)
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **k: (most.append(len(x)), bincount(x, *a, **k))[1])
+    assert found() == whole
+    assert max(most) <= 500
+
+
+def test_postings_count_texts_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        seen.add(1)
+        return text
+
+    docs = spark.range(0, 900, 1, 3).select(F.col("id").alias("doc"), told(F.concat(F.lit("word w"), F.col("id").cast("string"))).alias("surface"))
+    postings.write_postings(docs, f"{tmp_path}/p", 4)
+    got = spark.read.parquet(f"{tmp_path}/p")
+    assert got.where("term = 'word'").agg(F.sum("df")).head()[0] == 900
+    # ranges would have them counted for a sample too
+    assert seen.value == 900
