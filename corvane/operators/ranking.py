@@ -23,29 +23,33 @@ def surfaces(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chunks.select("id", T.embed_surface(F.col("heading"), F.col("text")).alias("surface")), chunks.select("id", T.lexical_surface(F.col("note_title"), F.col("heading"), F.col("text")).alias("surface"))
 
 
-def rank(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K, alpha: float = ALPHA, embedder=None, index: lexical.Searchable | None = None, embedded: DataFrame | None = None, threshold: int | None = None, rows: int | None = None) -> DataFrame:
+def pool(chunks: DataFrame, queries: DataFrame, k: int, embedder=None, embedded: DataFrame | None = None, threshold: int | None = None, rows: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the nearest chunks of each query that a ranking of ``k`` looks at."""
+    embedder = embedder or vectors.HashingEmbedder()
+    q = embedder.embed(queries.select(F.col("query_id").alias("id"), F.concat(F.lit(embedder.query_instruction), F.coalesce("query", F.lit(""))).alias("surface"))).withColumnRenamed("id", "query_id")
+    known, size = embedded if embedded is not None else embedder.embed(surfaces(chunks)[0]), max(POOL_FACTOR * k, MIN_POOL)
+    return vectors.knn_exact(q, known, size) if threshold is None else vectors.knn(q, known, size, threshold, rows)
+
+
+def rank(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K, alpha: float = ALPHA, embedder=None, index: lexical.Searchable | None = None, embedded: DataFrame | None = None, threshold: int | None = None, rows: int | None = None, nearest: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, id, score, semantic_score, lexical_score): the k best chunks of each query.
 
-    A mode builds only the side that it needs, and only what ``index`` and
-    ``embedded`` do not give. Above ``threshold`` vectors (None: never) the
+    A mode builds only the side that it needs, and only what ``index``,
+    ``embedded`` and ``nearest`` (a stored ``pool`` for the same k) do not give. Above ``threshold`` vectors (None: never) the
     semantic side is approximate; ``rows`` is their number, if known. Text joins
     after the cut, see ``with_chunks``.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    embedder = embedder or vectors.HashingEmbedder()
-    for_vectors, for_terms = surfaces(chunks)
     none = queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id string, score double")
     semantic, lex, weight = none, none, {"semantic": 1.0, "lexical": 0.0, "hybrid": alpha}[mode]
     if mode != "lexical":
-        q = embedder.embed(queries.select(F.col("query_id").alias("id"), F.concat(F.lit(embedder.query_instruction), F.coalesce("query", F.lit(""))).alias("surface"))).withColumnRenamed("id", "query_id")
-        known, pool = embedded if embedded is not None else embedder.embed(for_vectors), max(POOL_FACTOR * k, MIN_POOL)
-        semantic = vectors.knn_exact(q, known, pool) if threshold is None else vectors.knn(q, known, pool, threshold, rows)
-    if mode == "hybrid":
-        # at most ``pool`` rows a query, read by both sides of the blend
+        semantic = pool(chunks, queries, k, embedder, embedded, threshold, rows) if nearest is None else nearest
+    if mode == "hybrid" and nearest is None:
+        # a bounded number of rows a query, read by both sides of the blend
         semantic = stored(semantic, "pool")
     if mode != "semantic":
-        lex = lexical.best_scaled(index or lexical.LexicalIndex.build(for_terms), queries, k, semantic if mode == "hybrid" else None, 1 - weight)
+        lex = lexical.best_scaled(index or lexical.LexicalIndex.build(surfaces(chunks)[1]), queries, k, semantic if mode == "hybrid" else None, 1 - weight)
     return lexical.top(blend(semantic, lex, weight), k)
 
 

@@ -105,3 +105,14 @@ def test_postings_count_texts_once(spark, tmp_path):
     assert got.where("term = 'word'").agg(F.sum("df")).head()[0] == 900
     # ranges would have them counted for a sample too
     assert seen.value == 900
+
+
+def test_all_modes_share_one_pool(spark, monkeypatch):
+    from corvane.plans import queries
+
+    made, knn, embed = [], vectors.knn_exact, queries.stored
+    monkeypatch.setattr(vectors, "knn_exact", lambda *a: (made.append("knn"), knn(*a))[1])
+    monkeypatch.setattr(queries, "stored", lambda df, name: (made.append(name), embed(df, name))[1])
+    assert queries.eval_all_modes(spark, "/root/testdata/sf0.001").count() == 3
+    # before, the modes compared all vectors twice and wrote them once
+    assert made.count("knn") == 1 and "embedded" not in made
