@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: Texts that are hashed at once.
+ROWS = 2048
+
 _PRIME, _BASIS, _MASK = np.uint64(16777619), 2166136261, np.uint64(0xFFFFFFFF)
 
 
@@ -15,13 +18,13 @@ def fnv1a(texts: list[str]) -> np.ndarray:
     raw = [t.encode("utf-16-le", "surrogatepass") for t in texts]
     sizes = np.array([len(r) // 2 for r in raw], dtype=np.int64)
     order = np.argsort(-sizes, kind="stable")
-    units = np.frombuffer(b"".join(raw[i] for i in order), dtype="<u2").astype(np.uint64)
+    units = np.frombuffer(b"".join(raw[i] for i in order), dtype="<u2")
     sizes = sizes[order]
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
     hashes = np.full(len(texts), _BASIS, dtype=np.uint64)
     for j in range(int(sizes[0]) if len(sizes) else 0):
         n = int(np.searchsorted(-sizes, -j, "left"))
-        hashes[:n] = (hashes[:n] ^ units[starts[:n] + j]) * _PRIME & _MASK
+        hashes[:n] = (hashes[:n] ^ units[starts[:n] + j].astype(np.uint64)) * _PRIME & _MASK
     out = np.empty_like(hashes)
     out[order] = hashes
     return out
@@ -30,4 +33,6 @@ def fnv1a(texts: list[str]) -> np.ndarray:
 @F.pandas_udf(StringType())
 def content_hash(texts: pd.Series) -> pd.Series:
     """Eight hexadecimal digits; null is hashed as the empty text."""
-    return pd.Series([f"{h:08x}" for h in fnv1a(["" if t is None else t for t in texts]).tolist()], dtype=object)
+    # some at a time, as a batch of Spark's is encoded in full otherwise
+    parts = (fnv1a(["" if t is None else t for t in texts.iloc[at : at + ROWS]]) for at in range(0, len(texts), ROWS))
+    return pd.Series([f"{h:08x}" for part in parts for h in part.tolist()], dtype=object)

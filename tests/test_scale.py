@@ -116,3 +116,21 @@ def test_all_modes_share_one_pool(spark, monkeypatch):
     assert queries.eval_all_modes(spark, "/root/testdata/sf0.001").count() == 3
     # before, the modes compared all vectors twice and wrote them once
     assert made.count("knn") == 1 and "embedded" not in made
+
+
+def test_hashing_holds_little_more_than_the_texts():
+    import tracemalloc
+
+    import pandas as pd
+
+    from corvane.functions import hashing
+
+    texts = pd.Series(["ab" * 1000] * 6000 + [None, ""])
+    tracemalloc.start()
+    got = hashing.content_hash.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 6002 and got.nunique() == 2 and got.iloc[-1] == got.iloc[-2] == "811c9dc5"
+    assert got.iloc[0] == f"{int(hashing.fnv1a([texts.iloc[0]])[0]):08x}"
+    # 12 million units at 8 bytes each, and more, before
+    assert peak < 60_000_000
