@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 #: Texts that are hashed at once.
 ROWS = 2048
 
-_PRIME, _BASIS, _MASK = np.uint64(16777619), 2166136261, np.uint64(0xFFFFFFFF)
+_PRIME, _BASIS = np.uint32(16777619), 2166136261
 
 
 def fnv1a(texts: list[str]) -> np.ndarray:
@@ -20,11 +20,20 @@ def fnv1a(texts: list[str]) -> np.ndarray:
     order = np.argsort(-sizes, kind="stable")
     units = np.frombuffer(b"".join(raw[i] for i in order), dtype="<u2")
     sizes = sizes[order]
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
-    hashes = np.full(len(texts), _BASIS, dtype=np.uint64)
-    for j in range(int(sizes[0]) if len(sizes) else 0):
-        n = int(np.searchsorted(-sizes, -j, "left"))
-        hashes[:n] = (hashes[:n] ^ units[starts[:n] + j].astype(np.uint64)) * _PRIME & _MASK
+    at = np.cumsum(sizes) - sizes
+    # 32 bits, as products wrap
+    hashes, unit = np.full(len(texts), _BASIS, dtype=np.uint32), np.empty(len(texts), dtype=np.uint16)
+    done = 0
+    for size in np.unique(sizes).tolist():
+        n = int(np.searchsorted(-sizes, -size, "right"))
+        running, read, where = hashes[:n], unit[:n], at[:n]
+        for _ in range(done, size):
+            # places are within the units; "clip" only spares a copy
+            np.take(units, where, out=read, mode="clip")
+            running ^= read
+            running *= _PRIME
+            where += 1
+        done = size
     out = np.empty_like(hashes)
     out[order] = hashes
     return out

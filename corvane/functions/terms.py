@@ -55,7 +55,8 @@ def term_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
     offsets = np.append(np.flatnonzero(opens[inside]), np.count_nonzero(inside))
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[inside]))
     coded = words.dictionary_encode()
-    return np.searchsorted(bounds, starts, "right") - 1, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.cast(pa.string())
+    rows = np.repeat(np.arange(n), np.diff(np.searchsorted(starts, bounds)))
+    return rows, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.cast(pa.string())
 
 
 def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
@@ -63,3 +64,12 @@ def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Str
     rows, codes, terms = term_rows(texts)
     keys, counts = np.unique(rows * max(1, len(terms)) + codes, return_counts=True)
     return keys // max(1, len(terms)), keys % max(1, len(terms)), counts, terms
+
+
+def counted_by_term(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
+    """(term number, row, count) of each text's distinct terms, by term, the lengths of all texts, and the distinct terms."""
+    rows, codes, terms = term_rows(texts)
+    keys = np.sort(codes * max(1, len(texts)) + rows)
+    opens = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1])))
+    code, row = np.divmod(keys[opens], max(1, len(texts)))
+    return code, row, np.diff(np.append(opens, len(keys))), np.bincount(rows, minlength=len(texts)), terms

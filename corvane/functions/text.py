@@ -34,8 +34,15 @@ def trimmed(c: Column) -> Column:
 
 def spaced(c: Column) -> Column:
     """White space as single spaces, none at the ends: the tokens of a text between spaces."""
-    # a single space before anything else stays as it is; most characters are told by the first test
-    return F.btrim(F.regexp_replace(c, f"(?![!-~])(?: {WS}|{WS.replace(' ', '', 1)}){WS}*", " "))
+
+    def flat(x: Column) -> Column:
+        # a single space before anything else stays as it is; most characters are told by the first test
+        runs = F.regexp_replace(x, f"(?![!-~])(?: {WS}|{WS.replace(' ', '', 1)}){WS}*", " ")
+        odd = x.contains("  ") | x.contains("\t") | x.contains("\x0b") | x.contains("\f") | x.contains("\r")
+        return F.when(odd | ((F.octet_length(x) > F.length(x)) & x.rlike(f"(?=[^\\x00-\\x7F]){WS}")), runs).otherwise(x)
+
+    # in most texts line feeds are all that must go, and looking for single strings takes a tenth of what an expression does
+    return F.btrim(bound(F.replace(c, F.lit("\n"), F.lit(" ")), flat))
 
 
 def tokens(c: Column) -> Column:
@@ -57,7 +64,8 @@ def without_frontmatter(c: Column) -> Column:
 
 def sections(body: Column) -> Column:
     """ATX sections, array<struct<heading, body>>: split before each heading line, within the row."""
-    parts = F.split(body, rf"(?=#)(?<![^\n])(?={_HEADING}(?:\n|\z))", -1)
+    # most texts have no heading and are not searched for one
+    parts = F.when(body.contains("#"), F.split(body, rf"(?=#)(?<![^\n])(?={_HEADING}(?:\n|\z))", -1)).otherwise(F.array(body))
 
     def section(part: Column) -> Column:
         line = F.when(part.startswith("#"), F.regexp_extract(part, rf"^{_HEADING}(?:\n|\z)", 0)).otherwise("")

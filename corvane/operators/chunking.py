@@ -20,8 +20,7 @@ def windows(text, size: int, overlap: int):
 
     def whole(line):
         # most texts are one window and are not split
-        n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-        return F.when(n <= size, F.array(line)).otherwise(T.bound(F.split(line, " "), cut))
+        return F.when(F.substring_index(line, " ", size) == line, F.array(line)).otherwise(T.bound(F.split(line, " "), cut))
 
     return T.bound(T.spaced(text), whole)
 

@@ -27,12 +27,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast, TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.config import B, K1
-from corvane.functions.terms import counted, pieces
+from corvane.functions.terms import counted_by_term, pieces
 from corvane.operators import lexical
 from corvane.operators.best import CELLS, ENTRIES, Best, key_type
 from corvane.storage import listed, new_path, scratch, stored
@@ -58,18 +58,10 @@ POSTINGS = "term string, block long, df int, total long, " + ", ".join(f"{c} arr
 
 def numbered(rows: DataFrame) -> DataFrame:
     """The rows, all columns, in the order of their ids, with ``doc``, a number that rises with the id; ids are distinct."""
-    schema = f"doc long, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}"
-
-    def run(batches):
-        at = TaskContext.get().partitionId() * RANGE
-        last = at + RANGE
-        for batch in batches:
-            if at + batch.num_rows > last:
-                raise ValueError("too many documents in one task")
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + batch.num_rows)), *batch.columns], names=["doc", *batch.schema.names])
-            at += batch.num_rows
-
-    return rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(run, schema)
+    order = rows.repartitionByRange("id").sortWithinPartitions("id").select(F.monotonically_increasing_id().alias("doc"), *(F.col(f"`{c}`") for c in rows.columns))
+    # Spark's own number: 33 bits for the place within a task
+    task, place = F.shiftrightunsigned("doc", 33), F.col("doc").bitwiseAND((1 << 33) - 1)
+    return order.withColumn("doc", F.when(place < RANGE, task * RANGE + place).otherwise(F.raise_error(F.lit("too many documents in one task"))))
 
 
 def folders(docs: int) -> int:
@@ -88,46 +80,58 @@ def _folder(n: int):
     return F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(n)).cast("int")
 
 
-def _bounds(group: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Places of the pairs that no other pair of their group exceeds in the one and undercuts in the other."""
-    order = np.lexsort((second, -first, group))
-    width = int(second.max()) + 2 if len(second) else 1
-    key = second[order] - group[order] * width
-    best = np.minimum.accumulate(key)
-    return order[np.concatenate(([True], key[1:] < best[:-1]))] if len(order) else order
-
+def _bounds(group: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, first, second) of the pairs that no other pair of their group exceeds in the one and undercuts in the other, by group; nothing is negative.
 
-def _lists(group: np.ndarray, values: np.ndarray, groups: int) -> pa.ListArray:
+    A pair is one number, as sorting numbers takes a fraction of sorting by three columns.
+    """
+    if len(group) == 0:
+        return group, first, second
+    most, wide = int(first.max()), int(second.max()).bit_length()
+    deep = most.bit_length()
+    pairs = np.sort((group << deep | most - first) << wide | second)
+    group, second = pairs >> (deep + wide), pairs & ((1 << wide) - 1)
+    best = np.minimum.accumulate(second - (group << wide))
+    keep = np.concatenate(([True], best[1:] < best[:-1]))
+    return group[keep], most - (pairs[keep] >> wide & ((1 << deep) - 1)), second[keep]
+
+
+def _lists(group: np.ndarray, values: np.ndarray, groups: int, missing: np.ndarray | None = None) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=groups)))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)), mask=None if missing is None else pa.array(missing))
 
 
 def posting_rows(docs: DataFrame) -> DataFrame:
-    """(doc, surface) to ``POSTINGS``; a block that several batches or pieces share gives as many rows a term."""
+    """(doc, surface) to ``POSTINGS``; a block that several batches or pieces share gives as many rows a term. Rows of one document have no bounds."""
 
     def run(batches):
         # a block at a time, so that no array grows with Spark's batches
         for batch in (part for whole in batches for part in pieces(whole, align=whole.column(0).to_numpy(zero_copy_only=False) // DOCS, limit=BLOCK_BYTES)):
-            row, code, tf, terms = counted(batch.column(1))
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            if (doc[1:] < doc[:-1]).any():
+                batch = batch.take(pa.array(np.argsort(doc)))
+                doc = batch.column(0).to_numpy(zero_copy_only=False)
+            code, row, tf, lengths, terms = counted_by_term(batch.column(1))
             if len(row) == 0:
                 continue
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            dl = np.bincount(row, weights=tf, minlength=batch.num_rows).astype(np.int64)[row]
-            block, pos = doc[row] // DOCS, doc[row] % DOCS
-            order = np.lexsort((pos, block, code))
-            code, block, pos, tf, dl = code[order], block[order], pos[order], tf[order], dl[order]
-            opens = np.concatenate(([True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])))
-            group, n = np.cumsum(opens) - 1, int(opens.sum())
-            at = np.flatnonzero(opens)
-            high, low = _bounds(group, tf, dl), _bounds(group, -tf, -dl + int(dl.max()))
-            high, low = high[np.argsort(group[high], kind="stable")], low[np.argsort(group[low], kind="stable")]
-            lists = [_lists(group, x, n) for x in (pos, tf, dl)]
-            ends = [_lists(group[i], x[i], n) for i in (high, low) for x in (tf, dl)]
-            df, total = np.bincount(group, minlength=n), np.bincount(group, weights=tf, minlength=n)
+            opens = np.concatenate(([True], code[1:] != code[:-1]))
+            group, n, at = np.cumsum(opens) - 1, int(opens.sum()), np.flatnonzero(opens)
+            block = np.full(n, doc[0] // DOCS)
+            # lengths by their places among those of the piece
+            known, place = np.unique(lengths, return_inverse=True)
+            dl, most = place[row], int(tf.max())
+            df, total = np.diff(np.append(at, len(code))), np.add.reduceat(tf, at)
+            lists = [_lists(group, x, n) for x in ((doc % DOCS)[row], tf, known[dl])]
+            # a single document is its own bound, and half the rows have one
+            single = df == 1
+            several = np.flatnonzero(~single[group])
+            of, high, low = group[several], tf[several], dl[several]
+            high, low = _bounds(of, high, low), _bounds(of, most - high, len(known) - 1 - low)
+            ends = [_lists(of, x, n, single) for of, *pair in ((high[0], high[1], known[high[2]]), (low[0], most - low[1], known[len(known) - 1 - low[2]])) for x in pair]
             for start in range(0, n, 1 << 15):
                 stop = min(n, start + (1 << 15))
                 cut = slice(start, stop)
-                columns = [terms.take(pa.array(code[at[cut]])), pa.array(block[at[cut]]), pa.array(df[cut].astype(np.int32)), pa.array(total[cut].astype(np.int64)), *(x.slice(start, stop - start) for x in (*lists, *ends))]
+                columns = [terms.take(pa.array(code[at[cut]])), pa.array(block[cut]), pa.array(df[cut].astype(np.int32)), pa.array(total[cut].astype(np.int64)), *(x.slice(start, stop - start) for x in (*lists, *ends))]
                 yield pa.RecordBatch.from_arrays(columns, names=["term", "block", "df", "total", *_LISTS])
 
     return docs.select("doc", F.lower(F.coalesce("surface", F.lit("")))).mapInArrow(run, POSTINGS)
@@ -242,12 +246,13 @@ class PostingIndex:
         return {t: df for t, df in out.items() if df > 0}
 
     def postings(self, terms: list[str]) -> DataFrame | None:
-        """The posting rows of the terms with ``segment``."""
+        """The posting rows of the terms with ``segment``, all with bounds."""
         paths = [p for s in self.segments for p in s.of("postings", terms)]
         if not paths:
             return None
         rows, few = self.spark.read.schema(POSTINGS).parquet(*paths), named(terms)
         rows = rows.withColumn("segment", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/postings/", 1))
+        rows = rows.withColumns({f"{end}_{x}": F.coalesce(f"{end}_{x}", x) for end in ("top", "low") for x in ("tf", "dl")})
         return rows.where(few) if few is not None else rows.join(F.broadcast(self.spark.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")
 
 

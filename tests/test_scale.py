@@ -2,9 +2,11 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import terms
@@ -134,3 +136,84 @@ def test_hashing_holds_little_more_than_the_texts():
     assert got.iloc[0] == f"{int(hashing.fnv1a([texts.iloc[0]])[0]):08x}"
     # 12 million units at 8 bytes each, and more, before
     assert peak < 60_000_000
+
+
+def test_posting_rows_are_those_of_a_plain_count(spark):
+    from collections import Counter, defaultdict
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(60)], [1 / (k + 1) for k in range(60)], k=rng.randint(0, 30))) for _ in range(400)]
+    texts[7], texts[8] = None, "--"
+    # numbers of two blocks that do not rise
+    docs = [(3 * postings.DOCS - 200 + i, t) for i, t in enumerate(texts)]
+    docs = docs[100:200] + docs[:100] + docs[200:]
+    want = defaultdict(list)
+    for doc, text in sorted(docs):
+        counts = Counter((text or "").replace("--", "").split())
+        for term, n in counts.items():
+            want[term, doc // postings.DOCS].append((doc % postings.DOCS, n, sum(counts.values())))
+
+    def ends(of, sign):
+        """Pairs that no other exceeds and undercuts."""
+        pairs = {(sign * n, sign * dl) for _, n, dl in of}
+        return {(sign * n, sign * dl) for n, dl in pairs if not any((m, -k) != (n, -dl) and m >= n and k <= dl for m, k in pairs)}
+
+    got = postings.posting_rows(spark.createDataFrame(docs, "doc long, surface string").coalesce(1)).collect()
+    assert len(got) == len(want)
+    for r in got:
+        of = want[r["term"], r["block"]]
+        assert (list(zip(r["pos"], r["tf"], r["dl"], strict=True)), r["df"], r["total"]) == (of, len(of), sum(n for _, n, _ in of))
+        if r["df"] == 1:
+            # before, a row of one document said the same three times
+            assert r["top_tf"] is r["top_dl"] is r["low_tf"] is r["low_dl"] is None
+            continue
+        for end, sign in (("top", 1), ("low", -1)):
+            pairs = list(zip(r[f"{end}_tf"], r[f"{end}_dl"], strict=True))
+            assert set(pairs) == ends(of, sign) and len(pairs) == len(set(pairs))
+
+
+def test_rows_are_numbered_without_python(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"n{i:03d}#{i}", f"t{i}") for i in random.Random(2).sample(range(500), 500)], "`id` string, `a b` string").repartition(3)
+    got = postings.numbered(rows)
+    assert got.columns == ["doc", "id", "a b"]
+    found = sorted(map(tuple, got.collect()))
+    assert [r[1:] for r in found] == sorted(map(tuple, rows.collect()))
+    assert len({r[0] for r in found}) == 500 and found[0][0] % postings.RANGE == 0
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(postings, "RANGE", 10)
+    with pytest.raises(Exception, match="too many documents in one task"):
+        postings.numbered(rows.limit(100)).collect()
+
+
+def test_common_texts_are_chunked_without_expressions(spark):
+    """The forms that take no search by an expression give what it gives."""
+    from corvane.functions import text as T
+    from corvane.operators.chunking import windows
+
+    plain = ["a b", "a\nb", " a \n b\n", "\n\n", "", "a  b", "a\tb", "a\r\nb", "é b", "é\u00a0b", "é\u2003\u3000b\ufeff", "é\nb", "a\x0bb\fc", "a\u2028b", None]
+    rows = spark.createDataFrame([(t,) for t in plain], "t string")
+    strip = lambda t: None if t is None else " ".join(x for x in re.split(T.WS + "+", t) if x)
+    assert [r[0] for r in rows.select(T.spaced(F.col("t"))).collect()] == [strip(t) for t in plain]
+    # one window up to the size, more above it
+    for n in (2, 3, 4):
+        assert len(spark.createDataFrame([(" ".join("x" * n),)], "t string").select(windows(F.col("t"), 3, 0)).head()[0]) == (1 if n <= 3 else 2)
+    bodies = ["x", "# h\nx", "a # b", "", "x\n# h\ny"]
+    got = spark.createDataFrame([(t,) for t in bodies], "t string").select(T.bound(F.col("t"), T.sections)).collect()
+    assert [[tuple(s) for s in r[0]] for r in got] == [[("", "x")], [("h", "x")], [("", "a # b")], [], [("", "x"), ("h", "y")]]
+
+
+def test_hashes_are_those_of_a_plain_loop():
+    from corvane.functions import hashing
+
+    def plain(text):
+        h, raw = 2166136261, text.encode("utf-16-le", "surrogatepass")
+        for i in range(0, len(raw), 2):
+            h = (h ^ (raw[i] | raw[i + 1] << 8)) * 16777619 & 0xFFFFFFFF
+        return h
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("ab é一😀\ud800", k=rng.choice([0, 1, 5, 50, 50, 300]))) for _ in range(200)]
+    got = hashing.fnv1a(texts)
+    assert got.tolist() == [plain(t) for t in texts] and hashing.fnv1a([]).tolist() == []
+    # before, products had 64 bits and were cut in a step of their own
+    assert got.dtype == np.uint32
