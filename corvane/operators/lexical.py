@@ -143,13 +143,28 @@ def _grouped(keys: list, values: list[int], kind: pa.DataType) -> tuple[pa.Array
     return pa.array(names, kind), np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(names))))).astype(np.int64), np.array(values, dtype=np.int64)[np.argsort(at, kind="stable")]
 
 
+def _frequencies(docs: DataFrame, terms: list[str]) -> dict[str, int]:
+    """df of the given terms, of those that some document holds; a task gives a row for each term, documents are not taken apart."""
+    names = docs.sparkSession.sparkContext.broadcast(pa.array(terms, pa.string()))
+
+    def run(batches):
+        counts = np.zeros(len(names.value), dtype=np.int64)
+        for batch in batches:
+            place = pc.index_in(batch.column(0).flatten(), value_set=names.value).drop_null()
+            counts += np.bincount(place.to_numpy(zero_copy_only=False), minlength=len(counts))
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([names.value.take(pa.array(found)), pa.array(counts[found])], names=["term", "df"])
+
+    rows = docs.select("terms.term").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return {r["term"]: r["df"] for r in rows.collect()}
+
+
 def _blocks(index: LexicalIndex, queries: DataFrame, keep: DataFrame | None) -> Iterator[Broadcast]:
     spark = queries.sparkSession
     q_type, id_type = key_type(queries, "query_id"), key_type(index.docs, "id")
     n, avgdl = index.stats.head()
     for rows, kept_rows in asked(queries, keep):
-        names = spark.createDataFrame([(t,) for t in sorted({t for _, t in rows})], "term string")
-        found = {r["term"]: r["df"] for r in index.docs.select(F.explode("terms.term").alias("term")).join(F.broadcast(names), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).collect()}
+        found = _frequencies(index.docs, sorted({t for _, t in rows}))
         rows = [r for r in rows if r[1] in found]
         if not rows:
             continue

@@ -217,3 +217,17 @@ def test_hashes_are_those_of_a_plain_loop():
     assert got.tolist() == [plain(t) for t in texts] and hashing.fnv1a([]).tolist() == []
     # before, products had 64 bits and were cut in a step of their own
     assert got.dtype == np.uint32
+
+
+def test_frequencies_are_counted_within_tasks(spark, monkeypatch):
+    from corvane.operators import lexical
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a", "b é", None, "c a", "--", "b"])], "id long, surface string").repartition(3)
+    index = lexical.LexicalIndex.build(docs)
+    assert lexical._frequencies(index.docs, ["a", "b", "z"]) == {"a": 2, "b": 3}
+    assert lexical._frequencies(index.docs, []) == lexical._frequencies(index.docs.limit(0), ["a"]) == {}
+    # before, every term of every document became a row
+    taken, explode = [], F.explode
+    monkeypatch.setattr(lexical.F, "explode", lambda c: (taken.append(str(c)), explode(c))[1])
+    got = lexical.search(index, spark.createDataFrame([("q", "b a")], "query_id string, query string"), 9)
+    assert {r["id"] for r in got.collect()} == {0, 1, 3, 5} and not any("terms.term" in c for c in taken)
