@@ -23,7 +23,7 @@ MIN_POOL = 50
 METRIC_CUTOFF = 10
 DEBOUNCE_MS = 1500
 HASH_DIM = 384
-INDEX_VERSION = 2
+INDEX_VERSION = 3
 MODES = ("semantic", "lexical", "hybrid")
 BACKENDS = ("none", "ollama", "lmstudio", "hosted")
 

@@ -4,7 +4,7 @@ The documents of a segment are numbered in the order of their ids and form
 blocks of ``DOCS`` numbers. A row of the postings holds a term's documents in one
 block, with counts and lengths, and the few (count, length) pairs that bound its
 contributions from above and from below; as pairs, they hold for any average
-length that later segments bring about. Terms are spread over folders by a hash, so a
+length that later segments bring about. What is a list of numbers is stored as bytes. Terms are spread over folders by a hash, so a
 search opens only the folders of its own terms, and rows of one term lie side by
 side in them.
 
@@ -53,7 +53,11 @@ SPREAD = 8
 PUSHED = 200
 
 _LISTS = ("pos", "tf", "dl", "top_tf", "top_dl", "low_tf", "low_dl")
-POSTINGS = "term string, block long, df int, total long, " + ", ".join(f"{c} array<int>" for c in _LISTS)
+_ROW = ("term", "block", "df", "total")
+_KEYS = "term string, block long, df int, total long, "
+POSTINGS = _KEYS + ", ".join(f"{c} array<int>" for c in _LISTS)
+#: As stored: lists as bytes, since Spark takes several times as long to shuffle and write seven lists a row.
+STORED = _KEYS + "entries binary, top binary, low binary"
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -101,8 +105,55 @@ def _lists(group: np.ndarray, values: np.ndarray, groups: int, missing: np.ndarr
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)), mask=None if missing is None else pa.array(missing))
 
 
-def posting_rows(docs: DataFrame) -> DataFrame:
-    """(doc, surface) to ``POSTINGS``; a block that several batches or pieces share gives as many rows a term. Rows of one document have no bounds."""
+def _bytes(lists: list[pa.ListArray], kind: str) -> pa.Array:
+    """The lists of each row, equally long, as bytes: the first of each, the second of each; nothing where they are null."""
+    sizes = pc.list_value_length(lists[0]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = np.stack([x.flatten().to_numpy(zero_copy_only=False) for x in lists], axis=1).astype(kind)
+    offsets = np.concatenate(([0], np.cumsum(sizes))) * (len(lists) * values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _packed(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """``POSTINGS`` as ``STORED``: numbers of two bytes where all fit, else of four."""
+    entries, top, low = ([rows.column(c) for c in names] for names in (_LISTS[:3], _LISTS[3:5], _LISTS[5:]))
+    wide = max((pc.max(x.flatten()).as_py() or 0 for x in entries), default=0) >= 1 << 16
+    columns = [*(rows.column(c) for c in _ROW), _bytes(entries, "<i4" if wide else "<u2"), _bytes(top, "<i4"), _bytes(low, "<i4")]
+    return pa.RecordBatch.from_arrays(columns, names=[*_ROW, "entries", "top", "low"])
+
+
+def _raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column without nulls, and how many each row has."""
+    whole = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
+    ends = np.frombuffer(whole.buffers()[1], dtype=np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    data = whole.buffers()[2]
+    return np.frombuffer(b"" if data is None else data, dtype=np.uint8)[ends[0] : ends[-1]], np.diff(ends)
+
+
+def _unpacked(rows: pa.Table) -> pa.Table:
+    """``STORED`` rows, at least one, as ``POSTINGS``, all with bounds."""
+    df = rows.column("df").to_numpy().astype(np.int64)
+    raw, sizes = _raw(rows.column("entries"))
+    if (sizes == 6 * df).all():
+        entries = raw.view("<u2").reshape(-1, 3)
+    else:
+        # few blocks hold numbers of both sizes
+        ends = np.cumsum(sizes)
+        entries = np.concatenate([raw[e - s : e].view("<u2" if s == 6 * n else "<i4").astype(np.int64).reshape(-1, 3) for e, s, n in zip(ends.tolist(), sizes.tolist(), df.tolist(), strict=True)])
+    group = np.repeat(np.arange(len(df)), df)
+    columns = [rows.column(c) for c in _ROW] + [_lists(group, entries[:, i], len(df)) for i in range(3)]
+    single = df == 1
+    for end in ("top", "low"):
+        raw, sizes = _raw(rows.column(end))
+        of = np.repeat(np.arange(len(df)), np.where(single, 1, sizes // 8))
+        pairs = np.empty((len(of), 2), dtype=np.int64)
+        pairs[single[of]] = entries[single[group], 1:]
+        pairs[~single[of]] = raw.view("<i4").reshape(-1, 2)
+        columns += [_lists(of, pairs[:, i], len(df)) for i in range(2)]
+    return pa.table(columns, names=[*_ROW, *_LISTS])
+
+
+def posting_rows(docs: DataFrame, packed: bool = False) -> DataFrame:
+    """(doc, surface) to ``POSTINGS``, or to ``STORED``; a block that several batches or pieces share gives as many rows a term. Rows of one document have no bounds."""
 
     def run(batches):
         # a block at a time, so that no array grows with Spark's batches
@@ -132,17 +183,18 @@ def posting_rows(docs: DataFrame) -> DataFrame:
                 stop = min(n, start + (1 << 15))
                 cut = slice(start, stop)
                 columns = [terms.take(pa.array(code[at[cut]])), pa.array(block[cut]), pa.array(df[cut].astype(np.int32)), pa.array(total[cut].astype(np.int64)), *(x.slice(start, stop - start) for x in (*lists, *ends))]
-                yield pa.RecordBatch.from_arrays(columns, names=["term", "block", "df", "total", *_LISTS])
+                found = pa.RecordBatch.from_arrays(columns, names=[*_ROW, *_LISTS])
+                yield _packed(found) if packed else found
 
-    return docs.select("doc", F.lower(F.coalesce("surface", F.lit("")))).mapInArrow(run, POSTINGS)
+    return docs.select("doc", F.lower(F.coalesce("surface", F.lit("")))).mapInArrow(run, STORED if packed else POSTINGS)
 
 
 def write_postings(docs: DataFrame, path: str, n: int) -> None:
     """The postings of (doc, surface) in ``n`` folders, rows of a term side by side."""
-    rows = posting_rows(docs).withColumn("folder", _folder(n))
+    rows = posting_rows(docs, packed=True).withColumn("folder", _folder(n))
     # dealt by a hash, as ranges would have all texts counted twice; of many blocks, a folder's rows go to several tasks
     dealt = rows.coalesce(1) if n == 1 else rows.repartition("folder", F.shiftright("block", SPREAD))
-    small_pages(dealt.sortWithinPartitions("folder", "term", "block").write.partitionBy("folder")).parquet(path)
+    small_pages(dealt.sortWithinPartitions("folder", "term", "block").write.partitionBy("folder")).option("parquet.enable.dictionary#entries", "false").parquet(path)
 
 
 def write_frequencies(counts: DataFrame, path: str, n: int) -> None:
@@ -159,7 +211,7 @@ def write_terms(rows: DataFrame, path: str, size: int, counts: DataFrame | None
     """
     spark, n = rows.sparkSession, folders(size)
     write_postings(rows, f"{path}/postings", n)
-    found = read(spark, [f"{path}/postings"], POSTINGS)
+    found = read(spark, [f"{path}/postings"], STORED)
     write_frequencies(found.select("term", "df") if counts is None else counts, f"{path}/terms", n)
     return Segment.of_folder(spark, path, n), found.agg(F.coalesce(F.sum("total"), F.lit(0))).head()[0]
 
@@ -246,13 +298,12 @@ class PostingIndex:
         return {t: df for t, df in out.items() if df > 0}
 
     def postings(self, terms: list[str]) -> DataFrame | None:
-        """The posting rows of the terms with ``segment``, all with bounds."""
+        """The posting rows of the terms as ``STORED``, with ``segment``."""
         paths = [p for s in self.segments for p in s.of("postings", terms)]
         if not paths:
             return None
-        rows, few = self.spark.read.schema(POSTINGS).parquet(*paths), named(terms)
+        rows, few = self.spark.read.schema(STORED).parquet(*paths), named(terms)
         rows = rows.withColumn("segment", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/postings/", 1))
-        rows = rows.withColumns({f"{end}_{x}": F.coalesce(f"{end}_{x}", x) for end in ("top", "low") for x in ("tf", "dl")})
         return rows.where(few) if few is not None else rows.join(F.broadcast(self.spark.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")
 
 
@@ -486,7 +537,7 @@ def found(index: PostingIndex, queries: DataFrame, k: int, keep: DataFrame | Non
                 dead = _flat(gone, "pos") if gone.num_rows else np.zeros(0, dtype=np.int64)
                 live = group.rows.filter(has)
                 if live.num_rows:
-                    scorer.add(_Group(group.segment, group.block, live), dead, known.segments.index(own) * SEGMENT + group.block * DOCS)
+                    scorer.add(_Group(group.segment, group.block, _unpacked(live)), dead, known.segments.index(own) * SEGMENT + group.block * DOCS)
             if scorer is not None:
                 yield from results(scorer, own)
                 met, scored = met + scorer.blocks, scored + scorer.scored

@@ -231,3 +231,21 @@ def test_frequencies_are_counted_within_tasks(spark, monkeypatch):
     monkeypatch.setattr(lexical.F, "explode", lambda c: (taken.append(str(c)), explode(c))[1])
     got = lexical.search(index, spark.createDataFrame([("q", "b a")], "query_id string, query string"), 9)
     assert {r["id"] for r in got.collect()} == {0, 1, 3, 5} and not any("terms.term" in c for c in taken)
+
+
+def test_postings_are_stored_as_bytes(spark, tmp_path):
+    """One piece with numbers that fit two bytes, one with a text whose length does not, singles and several in both."""
+    docs = [(i, f"a b b {'c' if i % 3 else 'd'} only{i}") for i in range(50)] + [(postings.DOCS + i, "a x" if i else "a " * 70_000 + "y") for i in range(3)]
+    rows = spark.createDataFrame(docs, "doc long, surface string").coalesce(1)
+    postings.write_postings(rows, f"{tmp_path}/p", 2)
+    got = spark.read.parquet(f"{tmp_path}/p")
+    # before, seven lists a row were shuffled and written
+    assert not [f.name for f in got.schema if f.dataType.typeName() == "array"]
+    stored = got.select("term", "block", "df", "total", "entries", "top", "low").toArrow().combine_chunks()
+    assert {len(e) // n for e, n in zip(stored["entries"].to_pylist(), stored["df"].to_pylist(), strict=True)} == {6, 12}
+    lists = {(r["term"], r["block"]): r.asDict() for r in postings.posting_rows(rows).collect()}
+    for r in lists.values():
+        r |= {f"{end}_{x}": r[x] for end in ("top", "low") for x in ("tf", "dl") if r[f"{end}_{x}"] is None}
+    assert {(r["term"], r["block"]): r for r in postings._unpacked(stored).to_pylist()} == lists
+    narrow = stored.filter(pa.array([b == 0 for b in stored["block"].to_pylist()]))
+    assert {(r["term"], r["block"]): r for r in postings._unpacked(narrow.slice(2)).to_pylist()}.items() <= lists.items()
