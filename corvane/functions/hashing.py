@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -14,15 +15,26 @@ _PRIME, _BASIS = np.uint32(16777619), 2166136261
 
 
 def fnv1a(texts: list[str]) -> np.ndarray:
-    """All texts advance a unit at a time; the longest come first, so those still running are a prefix."""
     raw = [t.encode("utf-16-le", "surrogatepass") for t in texts]
-    sizes = np.array([len(r) // 2 for r in raw], dtype=np.int64)
+    return _hashes(np.frombuffer(b"".join(raw), dtype="<u2"), np.array([len(r) // 2 for r in raw], dtype=np.int64))
+
+
+def fnv1a_ascii(texts: pa.StringArray) -> np.ndarray:
+    """As ``fnv1a``, of ASCII texts without nulls: their bytes are their units, so no text becomes a Python string."""
+    if len(texts) == 0:
+        return np.zeros(0, dtype=np.uint32)
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    return _hashes(np.frombuffer(b"" if data is None else data, dtype=np.uint8)[ends[0] : ends[-1]], np.diff(ends))
+
+
+def _hashes(units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of texts that lie side by side. All advance a unit at a time; the longest come first, so those still running are a prefix."""
     order = np.argsort(-sizes, kind="stable")
-    units = np.frombuffer(b"".join(raw[i] for i in order), dtype="<u2")
+    at = (np.cumsum(sizes) - sizes)[order]
     sizes = sizes[order]
-    at = np.cumsum(sizes) - sizes
     # 32 bits, as products wrap
-    hashes, unit = np.full(len(texts), _BASIS, dtype=np.uint32), np.empty(len(texts), dtype=np.uint16)
+    hashes, unit = np.full(len(sizes), _BASIS, dtype=np.uint32), np.empty(len(sizes), dtype=units.dtype)
     done = 0
     for size in np.unique(sizes).tolist():
         n = int(np.searchsorted(-sizes, -size, "right"))

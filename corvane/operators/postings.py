@@ -245,6 +245,11 @@ class Segment:
         return cls(path, n, *have)
 
 
+def _terms(spark: SparkSession, terms: list[str]) -> DataFrame:
+    """As a table; of a Python list Spark would make it in Python workers, which then stay beside those of the search."""
+    return F.broadcast(spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string())})))
+
+
 def named(terms: list[str]):
     """A condition on ``term`` that reaches the files where there are few."""
     if len(terms) <= PUSHED:
@@ -269,13 +274,14 @@ class PostingIndex:
     id_type: str = field(default="string")
 
     @classmethod
-    def build(cls, surfaces: DataFrame) -> PostingIndex:
-        """One segment of (id, surface), written to the shared folder."""
+    def build(cls, surfaces: DataFrame, keep: bool = True) -> PostingIndex:
+        """One segment of (id, surface), written to the shared folder; without ``keep`` the surfaces, as of a stored table, are made twice instead of being written first."""
         spark = surfaces.sparkSession
         path = new_path(spark, "postings")
         with scratch(spark):
             # dealing rows out by ranges of ids goes through them twice
-            numbered(stored(surfaces.select("id", "surface"), "surfaces")).write.parquet(f"{path}/rows")
+            rows = surfaces.select("id", "surface")
+            numbered(stored(rows, "surfaces") if keep else rows).write.parquet(f"{path}/rows")
         rows = spark.read.parquet(f"{path}/rows")
         size = rows.count()
         segment, length = write_terms(rows, path, size)
@@ -290,7 +296,7 @@ class PostingIndex:
         if not paths:
             return {}
         rows, few = self.spark.read.schema("term string, df long").parquet(*paths), named(terms)
-        rows = rows.where(few) if few is not None else rows.join(F.broadcast(self.spark.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")
+        rows = rows.where(few) if few is not None else rows.join(_terms(self.spark, terms), "term", "left_semi")
         out: dict[str, int] = {}
         # segments x terms rows
         for r in rows.select("term", "df").collect():
@@ -304,7 +310,7 @@ class PostingIndex:
             return None
         rows, few = self.spark.read.schema(STORED).parquet(*paths), named(terms)
         rows = rows.withColumn("segment", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/postings/", 1))
-        return rows.where(few) if few is not None else rows.join(F.broadcast(self.spark.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")
+        return rows.where(few) if few is not None else rows.join(_terms(self.spark, terms), "term", "left_semi")
 
 
 def read(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:

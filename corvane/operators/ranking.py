@@ -27,8 +27,10 @@ def pool(chunks: DataFrame, queries: DataFrame, k: int, embedder=None, embedded:
     """(query_id, id, score, rank): the nearest chunks of each query that a ranking of ``k`` looks at."""
     embedder = embedder or vectors.HashingEmbedder()
     q = embedder.embed(queries.select(F.col("query_id").alias("id"), F.concat(F.lit(embedder.query_instruction), F.coalesce("query", F.lit(""))).alias("surface"))).withColumnRenamed("id", "query_id")
-    known, size = embedded if embedded is not None else embedder.embed(surfaces(chunks)[0]), max(POOL_FACTOR * k, MIN_POOL)
-    return vectors.knn_exact(q, known, size) if threshold is None else vectors.knn(q, known, size, threshold, rows)
+    size = max(POOL_FACTOR * k, MIN_POOL)
+    if threshold is None:
+        return vectors.knn_exact(q, vectors.Texts(surfaces(chunks)[0], embedder) if embedded is None else embedded, size)
+    return vectors.knn(q, embedder.embed(surfaces(chunks)[0]) if embedded is None else embedded, size, threshold, rows)
 
 
 def rank(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K, alpha: float = ALPHA, embedder=None, index: lexical.Searchable | None = None, embedded: DataFrame | None = None, threshold: int | None = None, rows: int | None = None, nearest: DataFrame | None = None) -> DataFrame:

@@ -249,3 +249,56 @@ def test_postings_are_stored_as_bytes(spark, tmp_path):
     assert {(r["term"], r["block"]): r for r in postings._unpacked(stored).to_pylist()} == lists
     narrow = stored.filter(pa.array([b == 0 for b in stored["block"].to_pylist()]))
     assert {(r["term"], r["block"]): r for r in postings._unpacked(narrow.slice(2)).to_pylist()}.items() <= lists.items()
+
+
+def test_terms_are_hashed_from_their_bytes():
+    from corvane.functions import hashing
+
+    words = pa.array(["", "a", "w1", "abcdefghij" * 9, "0"])
+    for some in (words, words.slice(1, 3), words.slice(0, 0), pa.array([""]), pa.array([], pa.string())):
+        assert hashing.fnv1a_ascii(some).tolist() == hashing.fnv1a(some.to_pylist()).tolist()
+
+
+def test_vectors_are_compared_as_they_are_made(spark):
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(i, " ".join(rng.choices(["Brot", "mehl", "ÄPFEL", "x1", ""], k=rng.randint(0, 6)))) for i in range(200)] + [(200, None)], "id long, surface string")
+    e = vectors.HashingEmbedder(16)
+    q = e.embed(rows.where("id % 50 = 0")).withColumnRenamed("id", "query_id")
+    shown = lambda df: sorted(tuple(r) for r in df.select("query_id", "id", "score", "rank").collect())
+    got = vectors.knn_exact(q, vectors.Texts(rows, e), 7)
+    assert shown(got) == shown(vectors.knn_exact(q, e.embed(rows), 7))
+    # a second Python worker for each core before, and the vectors through Spark between the two
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    other = vectors.CallableEmbedder(lambda: lambda texts: [[len(t), 1.0] for t in texts], 2, "lengths")
+    q = other.embed(rows.where("id < 3")).withColumnRenamed("id", "query_id")
+    assert shown(vectors.knn_exact(q, vectors.Texts(rows, other), 3)) == shown(vectors.knn_exact(q, other.embed(rows), 3))
+
+
+def test_a_pool_makes_no_vectors_apart(spark):
+    from corvane.operators import ranking
+
+    chunks = spark.createDataFrame([("a#0", "A", "H", "some text"), ("b#0", "B", "", "other text")], "id string, note_title string, heading string, text string")
+    asked = spark.createDataFrame([(1, "text")], "query_id long, query string")
+    assert ranking.pool(chunks, asked, 5)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_names_of_terms_need_no_python_workers(spark):
+    terms_ = postings._terms(spark, ["b", "a"])
+    assert sorted(r[0] for r in terms_.collect()) == ["a", "b"]
+    assert "PythonRDD" not in terms_._jdf.rdd().toDebugString()
+
+
+def test_a_search_shuffles_and_writes_no_texts_again(spark, monkeypatch):
+    from corvane.plans import queries
+
+    made, write = [], postings.stored
+    monkeypatch.setattr(postings, "stored", lambda df, name: (made.append(name), write(df, name))[1])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # what is small is far below the size of the texts
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        plan = queries.search_lexical(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "surfaces" not in made
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
